@@ -1,0 +1,84 @@
+"""Row-local building blocks over array columns.
+
+Spark's higher-order functions have no `let` and no fold that emits. Both are
+needed to keep sequential per-document logic inside one narrow projection, so
+that a scan of any size has no exchange.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Appending to an array copies it. Emitting into blocks of this size keeps a fold
+# over n items at about n * BLOCK / 2 + (n / BLOCK)^2 / 2 element copies, so a
+# document with millions of findings stays cheap.
+BLOCK = 256
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind `value` once and use it many times in `body`.
+
+    Catalyst may inline a projected column into a lambda that runs per element;
+    a lambda variable is evaluated exactly once whatever the optimizer does.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def fold_emit(
+    items: Column,
+    state: Column,
+    step: Callable[[Column, Column], Column],
+    state_type: str,
+    out_type: str,
+) -> Column:
+    """Left fold that also emits elements.
+
+    `step(state, item)` returns `struct(state, emit)` where `emit` is an array
+    appended to the output. The result is `struct(state, out)`.
+    """
+
+    def inner(items_: Column, acc: Column, block: Column) -> Column:
+        zero = F.struct(
+            acc["state"].cast(state_type).alias("state"),
+            F.array().cast(f"array<{out_type}>").alias("cur"),
+        )
+        return F.aggregate(
+            F.slice(items_, block * BLOCK + 1, F.lit(BLOCK)),
+            zero,
+            lambda a, x: let(
+                step(a["state"], x),
+                lambda r: F.struct(
+                    r["state"].cast(state_type).alias("state"),
+                    F.concat(a["cur"], r["emit"].cast(f"array<{out_type}>")).alias("cur"),
+                ),
+            ),
+        )
+
+    def outer(items_: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(items_) / F.lit(BLOCK)).cast("int") - 1, F.lit(0)))
+        zero = F.struct(
+            state.cast(state_type).alias("state"),
+            F.array().cast(f"array<array<{out_type}>>").alias("done"),
+        )
+        folded = F.aggregate(
+            blocks,
+            zero,
+            lambda acc, block: let(
+                inner(items_, acc, block),
+                lambda r: F.struct(
+                    r["state"].alias("state"),
+                    F.concat(acc["done"], F.array(r["cur"])).alias("done"),
+                ),
+            ),
+        )
+        return let(folded, lambda o: F.struct(o["state"].alias("state"), F.flatten(o["done"]).alias("out")))
+
+    return let(items, outer)
+
+
+def emit_if(cond: Column, item: Column, item_type: str) -> Column:
+    """One-element array when `cond` holds, else an empty one."""
+    return F.when(cond, F.array(item.cast(item_type))).otherwise(F.array().cast(f"array<{item_type}>"))
