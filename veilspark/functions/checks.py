@@ -3,77 +3,76 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-from veilspark.functions.arrays import let
+from veilspark.functions.rowsql import column, fresh, let
 
 # Weights of the 11-test over nine digits.
 ELEVEN_WEIGHTS = (9, 8, 7, 6, 5, 4, 3, 2, -1)
 
 
-def eleven_sum(value: Column) -> Column:
-    """Weighted digit sum of a nine-digit string."""
-    total = F.lit(0)
-    for i, weight in enumerate(ELEVEN_WEIGHTS, start=1):
-        total = total + F.substring(value, i, 1).try_cast("int") * F.lit(weight)
-    return total
+def bsn_test(value: str) -> str:
+    """SQL: nine ASCII digits whose weighted sum is a non-zero multiple of 11."""
+    total = " + ".join(
+        f"coalesce(try_cast(substring({value}, {i}, 1) AS int), 0) * ({w})" for i, w in enumerate(ELEVEN_WEIGHTS, start=1)
+    )
+    return f"({value} RLIKE '^[0-9]{{9}}\\\\z' AND {let(total, lambda t: f'{t} % 11 = 0 AND {t} <> 0')})"
 
 
-def valid_bsn(value: Column) -> Column:
-    """Nine ASCII digits whose weighted sum is a non-zero multiple of 11."""
-    total = eleven_sum(value)
-    return F.coalesce(value.rlike(r"^[0-9]{9}\z") & (total % 11 == 0) & (total != 0), F.lit(False))
+def luhn_test(value: str) -> str:
+    """SQL: Luhn test on the digits of `value`; separators are ignored."""
 
+    def test(d: str) -> str:
+        acc, i = fresh("acc"), fresh("i")
+        digit = f"CAST(substring({d}, -{i}, 1) AS int)"
+        doubled = f"CASE WHEN {digit} > 4 THEN {digit} * 2 - 9 ELSE {digit} * 2 END"
+        total = (
+            f"aggregate(sequence(1, length({d})), 0, "
+            f"({acc}, {i}) -> {acc} + CASE WHEN {i} % 2 = 0 THEN {doubled} ELSE {digit} END)"
+        )
+        return f"CASE WHEN length({d}) > 0 THEN {total} % 10 = 0 ELSE false END"
 
-def luhn_sum(digits: Column) -> Column:
-    """Luhn sum of a digit string: every second digit from the right is doubled."""
+    return let(f"regexp_replace({value}, '[^0-9]', '')", test)
 
-    def add(acc: Column, i: Column) -> Column:
-        d = F.substring(digits, -i, F.lit(1)).try_cast("int")
-        doubled = F.when(d > 4, d * 2 - 9).otherwise(d * 2)
-        return acc + F.when(i % 2 == 0, doubled).otherwise(d)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add)
+def iban_test(value: str) -> str:
+    """SQL: remainder 1 mod 97 of the rearranged, letter-expanded account number."""
 
+    def test(v: str) -> str:
+        acc, c = fresh("acc"), fresh("c")
+        step = (
+            f"CASE WHEN ascii({c}) < 58 THEN ({acc} * 10 + ascii({c}) - 48) % 97 "
+            f"ELSE ({acc} * 100 + ascii({c}) - 55) % 97 END"
+        )
+        remainder = f"aggregate(split(concat(substring({v}, 5), substring({v}, 1, 4)), ''), 0, ({acc}, {c}) -> {step})"
+        return f"CASE WHEN length({v}) >= 15 THEN {remainder} = 1 ELSE false END"
 
-def valid_luhn(value: Column) -> Column:
-    """Luhn test on the digits of `value`; separators are ignored."""
-    return let(
-        F.regexp_replace(value, "[^0-9]", ""),
-        lambda d: (F.length(d) > 0) & (luhn_sum(d) % 10 == 0),
-    )
+    return let(f"upper(regexp_replace({value}, '[^A-Za-z0-9]', ''))", test)
 
 
-def iban_mod97(value: Column) -> Column:
-    """Remainder mod 97 of the rearranged, letter-expanded account number."""
-    compact = F.upper(F.regexp_replace(value, "[^A-Za-z0-9]", ""))
+def entropy_of(value: str) -> str:
+    """SQL: Shannon entropy of the characters, in bits."""
 
-    def step(acc: Column, c: Column) -> Column:
-        code = F.ascii(c)
-        return F.when(code < 58, (acc * 10 + code - 48) % 97).otherwise((acc * 100 + code - 55) % 97)
+    def bits(v: str) -> str:
+        acc, ch, p = fresh("acc"), fresh("ch"), fresh("p")
+        share = f"(length({v}) - length(replace({v}, {ch}, ''))) / length({v})"
+        term = f"element_at(transform(array({share}), {p} -> {p} * log2({p})), 1)"
+        total = f"aggregate(array_distinct(split({v}, '')), 0D, ({acc}, {ch}) -> {acc} - {term})"
+        return f"CASE WHEN length({v}) > 0 THEN {total} ELSE 0D END"
 
-    return let(
-        compact,
-        lambda v: F.aggregate(F.split(F.concat(F.substr(v, F.lit(5)), F.substring(v, 1, 4)), ""), F.lit(0), step),
-    )
+    return let(value, bits)
 
 
-def valid_iban(value: Column) -> Column:
-    return F.coalesce(
-        (F.length(F.regexp_replace(value, "[^A-Za-z0-9]", "")) >= 15) & (iban_mod97(value) == 1), F.lit(False)
-    )
+def valid_bsn(value: Column) -> Column:
+    return column(lambda v: bsn_test(v), v=value)
 
 
-def entropy(value: Column) -> Column:
-    """Shannon entropy of the characters, in bits."""
+def valid_luhn(value: Column) -> Column:
+    return column(lambda v: luhn_test(v), v=value)
 
-    def bits(v: Column) -> Column:
-        n = F.length(v).cast("double")
 
-        def add(acc: Column, ch: Column) -> Column:
-            p = (n - F.length(F.replace(v, ch, F.lit("")))) / n
-            return acc - p * F.log2(p)
+def valid_iban(value: Column) -> Column:
+    return column(lambda v: iban_test(v), v=value)
 
-        return F.when(n > 0, F.aggregate(F.array_distinct(F.split(v, "")), F.lit(0.0), add)).otherwise(F.lit(0.0))
 
-    return let(value, bits)
+def entropy(value: Column) -> Column:
+    return column(lambda v: entropy_of(v), v=value)

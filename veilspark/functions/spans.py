@@ -10,12 +10,35 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilspark.functions.arrays import fold_emit, let
-from veilspark.schema import SPAN, SPANS
+from veilspark.functions.rowsql import column, each_at, empty, fold_emit, let, struct
+from veilspark.schema import SPAN
 
 
-def no_spans() -> Column:
-    return F.array().cast(SPANS)
+def matches_of(text: str, pattern: str) -> str:
+    return f"regexp_extract_all({text}, {pattern}, 0)"
+
+
+def placed(text: str, pattern: str, matches: str) -> str:
+    """SQL: the matches of `pattern` with their offsets."""
+
+    def step(pos: str, item: str) -> tuple[str, str]:
+        start = f"{pos} + {item}.gap"
+        end = f"{start} + length({item}.text)"
+        return end, f"array({struct(start=start, end=end, text=f'{item}.text')})"
+
+    def offsets(gaps: str) -> str:
+        items = each_at(matches, lambda m, i: struct(gap=f"length(get({gaps}, {i}))", text=m))
+        return fold_emit(items, "0", step, "int", SPAN) + ".out"
+
+    return let(f"split({text}, {pattern}, -1)", offsets)
+
+
+def spans_of(text: str, pattern: str) -> str:
+    """SQL of `spans`."""
+    return let(
+        matches_of(text, pattern),
+        lambda ms: f"CASE WHEN size({ms}) > 0 THEN {placed(text, pattern, ms)} ELSE {empty(SPAN)} END",
+    )
 
 
 def spans(text: Column, pattern: str | Column) -> Column:
@@ -25,29 +48,9 @@ def spans(text: Column, pattern: str | Column) -> Column:
     for the `split`.
     """
     regex = pattern if isinstance(pattern, Column) else F.lit(pattern)
-
-    def step(pos: Column, item: Column) -> Column:
-        start = pos + item["gap"]
-        end = start + F.length(item["text"])
-        return F.struct(
-            end.alias("state"),
-            F.array(F.struct(start.alias("start"), end.alias("end"), item["text"].alias("text"))).alias("emit"),
-        )
-
-    def offsets(matches: Column, gaps: Column) -> Column:
-        items = F.transform(
-            matches, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), m.alias("text"))
-        )
-        return fold_emit(items, F.lit(0), step, "int", SPAN)["out"]
-
-    return let(
-        F.regexp_extract_all(text, regex, F.lit(0)),
-        lambda ms: F.when(
-            F.size(ms) > 0, let(F.split(text, regex, -1), lambda gaps: offsets(ms, gaps))
-        ).otherwise(no_spans()),
-    )
+    return column(lambda t, p: spans_of(t, p), t=text, p=regex)
 
 
-def guarded(hint: Column | None, value: Column, empty: Column) -> Column:
+def guarded(hint: Column, value: Column, otherwise: Column) -> Column:
     """Run a costly expression only on rows that pass a cheap test."""
-    return value if hint is None else F.when(hint, value).otherwise(empty)
+    return F.when(hint, value).otherwise(otherwise)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilspark.functions.rowsql import let, struct
+
 # Word characters as Python's `\w` sees them; written as classes so that the
 # meaning does not depend on the Java release.
 WORD = r"\p{L}\p{N}_"
@@ -31,31 +33,31 @@ def decode_text(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
-def segments(text: Column) -> Column:
-    """Cut a text into fixed runs of code points.
+def segments(text: str) -> str:
+    """SQL: cut a text into fixed runs of code points.
 
     `substring` walks from the start of the string, so many slices of a long text
     cost (slices x length). Slicing out of segments costs (slices x segment).
     """
-    return F.regexp_extract_all(text, F.lit(r"(?s).{1,%d}" % _SEG), F.lit(0))
-
-
-def segment_slice(segs: Column, start: Column, end: Column) -> Column:
-    """Code points [start, end) of the text behind `segs`."""
-    first, last = F.shiftright(start, _SEG_BITS), F.shiftright(end - 1, _SEG_BITS)
-    head = start.bitwiseAND(_SEG - 1) + 1
-    tail = (end - 1).bitwiseAND(_SEG - 1) + 1
-    return (
-        F.when(end <= start, F.lit(""))
-        .when(first == last, F.substring(F.get(segs, first), head, end - start))
-        .otherwise(
-            F.concat(
-                F.substring(F.get(segs, first), head, F.lit(_SEG)),
-                F.array_join(F.slice(segs, first + 2, F.greatest(last - first - 1, F.lit(0))), ""),
-                F.substring(F.get(segs, last), F.lit(1), tail),
-            )
+    return f"regexp_extract_all({text}, '(?s).{{1,{_SEG}}}', 0)"
+
+
+def segment_slice(segs: str, start: str, end: str) -> str:
+    """SQL: code points [start, end) of the text behind `segs`."""
+
+    def cut(p: str) -> str:
+        a, b = f"{p}.a", f"{p}.b"
+        first, last = f"shiftright({a}, {_SEG_BITS})", f"shiftright({b} - 1, {_SEG_BITS})"
+        head, tail = f"({a} & {_SEG - 1}) + 1", f"(({b} - 1) & {_SEG - 1}) + 1"
+        return (
+            f"CASE WHEN {b} <= {a} THEN '' "
+            f"WHEN {first} = {last} THEN substring(get({segs}, {first}), {head}, {b} - {a}) "
+            f"ELSE concat(substring(get({segs}, {first}), {head}), "
+            f"array_join(slice({segs}, {first} + 2, {last} - {first} - 1), ''), "
+            f"substring(get({segs}, {last}), 1, {tail})) END"
         )
-    )
+
+    return let(struct(a=start, b=end), cut)
 
 
 # Patterns masked in log lines, applied in this order.

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from veilspark.functions.arrays import let
+from veilspark.functions.rowsql import keep, let, lit, some, strings
 from veilspark.functions.text import WORD, segment_slice
 
 WORDS_BEFORE = 5
@@ -15,42 +12,42 @@ BOOST, FLOOR, CAP = 0.35, 0.4, 1.0
 _WINDOW = 512
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), rf"[^{WORD}]+"), lambda w: w != "")
+def words(text: str) -> str:
+    return keep(f"split(lower({text}), {lit(f'[^{WORD}]+')})", lambda w: f"{w} <> ''")
 
 
-def last_words(segs: Column, start: Column, n: int = WORDS_BEFORE) -> Column:
-    """The last `n` words before `start`.
+def last_words(segs: str, start: str, n: int = WORDS_BEFORE) -> str:
+    """SQL: the last `n` words before `start`.
 
     A short window is enough unless it holds so few words that its first one may
     be cut; then the whole text before the match is used.
     """
 
-    def tail(ws: Column) -> Column:
-        return F.slice(ws, F.greatest(F.lit(1), F.size(ws) - (n - 1)), F.lit(n))
+    def tail(ws: str) -> str:
+        return f"slice({ws}, greatest(1, size({ws}) - {n - 1}), {n})"
 
-    window = words(segment_slice(segs, F.greatest(F.lit(0), start - _WINDOW), start))
+    window = words(segment_slice(segs, f"greatest(0, {start} - {_WINDOW})", start))
+    whole = let(words(segment_slice(segs, "0", start)), tail)
     return let(
-        window,
-        lambda ws: F.when((start <= _WINDOW) | (F.size(ws) > n), tail(ws)).otherwise(
-            let(words(segment_slice(segs, F.lit(0), start)), tail)
-        ),
+        window, lambda ws: f"CASE WHEN {start} <= {_WINDOW} OR size({ws}) > {n} THEN {tail(ws)} ELSE {whole} END"
+    )
+
+
+def cue_lists(cues: tuple[str, ...]) -> tuple[str, str]:
+    """SQL arrays of the one-word cues and of the phrases (padded by blanks)."""
+    split_cues = [cue.lower().replace("-", " ").split() for cue in cues]
+    return (
+        strings(c[0] for c in split_cues if len(c) == 1),
+        strings(f" {' '.join(c)} " for c in split_cues if len(c) > 1),
     )
 
 
-def has_cue(before: Column, cues: tuple[str, ...]) -> Column:
-    """Whether the words before a match hold a cue; a cue of several words must
-    stand there as a phrase."""
-    split_cues = [tuple(w for w in cue.lower().replace("-", " ").split()) for cue in cues]
-    single = [c[0] for c in split_cues if len(c) == 1]
-    phrases = [" ".join(c) for c in split_cues if len(c) > 1]
-    test = F.lit(False)
-    if single:
-        test = test | F.arrays_overlap(before, F.array(*[F.lit(s) for s in single]))
-    for phrase in phrases:
-        test = test | F.concat(F.lit(" "), F.array_join(before, " "), F.lit(" ")).contains(f" {phrase} ")
-    return test
+def has_cue(before: str, single: str, phrases: str) -> str:
+    """SQL: whether the words before a match hold a cue; a cue of several words
+    must stand there as a phrase."""
+    joined = f"concat(' ', array_join({before}, ' '), ' ')"
+    return f"(arrays_overlap({before}, {single}) OR {some(phrases, lambda p: f'contains({joined}, {p})')})"
 
 
-def boosted(score: Column) -> Column:
-    return F.least(F.lit(CAP), F.greatest(F.lit(FLOOR), score + F.lit(BOOST)))
+def boosted(score: str) -> str:
+    return f"least({CAP}D, greatest({FLOOR}D, {score} + {BOOST}D))"

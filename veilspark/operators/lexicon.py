@@ -12,13 +12,13 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.functions.arrays import fold_emit, let
-from veilspark.functions.spans import spans
+from veilspark.functions.rowsql import column, each, each_at, empty, fold_emit, keep, let, lit, struct
+from veilspark.functions.spans import spans_of
 from veilspark.functions.text import RUNS, W_END, W_START, WORD
 from veilspark.operators.propagate import PARTICLES
-from veilspark.operators.rules import Rule, detect, rule_findings, sort_by_start
-from veilspark.operators.structured import BSN, EMAIL, NL_PHONE, PATTERN_RULES, _java
-from veilspark.schema import LEXICON, PATTERN, finding, no_findings
+from veilspark.operators.rules import Rule, detect_sql, sort_by_start
+from veilspark.operators.structured import BSN, EMAIL, NL_PHONE, java_form
+from veilspark.schema import LEXICON, NO_FINDINGS, PATTERN, finding
 
 LEXICON_SCORE = 0.75
 ENTITY_SCORE = 0.85
@@ -108,39 +108,36 @@ def lexicon_pattern(terms: Iterable[str]) -> str:
     return W_START + _alternation(t for t in terms if t) + W_END
 
 
-def lexicon_findings(text: Column, lexicon: Lexicon, layer: str = LEXICON) -> Column:
-    """Listed terms in a text, with the term's tag (lexicon layer) or the entity of
-    its tag (pattern layer)."""
+def lexicon_findings(text: str, lexicon: Lexicon, layer: str = LEXICON) -> str:
+    """SQL: listed terms in a text, with the term's tag (lexicon layer) or the
+    entity of its tag (pattern layer)."""
     tags = lexicon.tags()
-    if not tags:
-        return no_findings()
     labels = tags if layer == LEXICON else {t: ENTITY_OF_TAG[g] for t, g in tags.items() if g in ENTITY_OF_TAG}
     if not labels:
-        return no_findings()
+        return NO_FINDINGS
     score = LEXICON_SCORE if layer == LEXICON else ENTITY_SCORE
-    label_of = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
-    return F.transform(
-        spans(text, lexicon_pattern(labels)),
-        lambda s: finding(s["start"], s["end"], score, layer, label_of[s["text"]], s["text"]),
+    label_of = "map(" + ", ".join(f"{lit(t)}, {lit(g)}" for t, g in labels.items()) + ")"
+    return each(
+        spans_of(text, lit(lexicon_pattern(labels))),
+        lambda s: finding(f"{s}.start", f"{s}.end", f"{score}D", lit(layer), f"{label_of}[{s}.text]", f"{s}.text"),
     )
 
 
 _PARTICLE = "(?:" + "|".join(sorted(set(PARTICLES) | {"'t", "el", "al", "da", "di"}, key=lambda p: (-len(p), p))) + ")"
 _CAPITAL = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)*"
-PERSON_PATTERN = W_START + _CAPITAL + rf"(?:(?: {_PARTICLE}){{0,3}} {_CAPITAL}){{0,4}}" + W_END
+_NAME_TAIL = rf"(?:(?: {_PARTICLE}){{0,3}} {_CAPITAL}){{0,4}}"
 
 
-def person_findings(text: Column, lexicon: Lexicon, layer: str = LEXICON) -> Column:
-    """Runs of capitalised words and particles whose first word is a listed name."""
+def person_findings(text: str, lexicon: Lexicon, layer: str = LEXICON) -> str:
+    """SQL: runs of capitalised words and particles that start with a listed name."""
     names = lexicon.with_tag(PERSON_TAG)
     if not names:
-        return no_findings()
-    heads = sorted({n.split(" ")[0] for n in names})
+        return NO_FINDINGS
     label, score = (PERSON_TAG, LEXICON_SCORE) if layer == LEXICON else (ENTITY_OF_TAG[PERSON_TAG], ENTITY_SCORE)
-    # a run only counts from a listed name on, so the pattern starts with one
-    pattern = W_START + _alternation(heads) + W_END + PERSON_PATTERN.removeprefix(W_START + _CAPITAL)
-    return F.transform(
-        spans(text, pattern), lambda s: finding(s["start"], s["end"], score, layer, label, s["text"])
+    pattern = W_START + _alternation(names) + W_END + _NAME_TAIL + W_END
+    return each(
+        spans_of(text, lit(pattern)),
+        lambda s: finding(f"{s}.start", f"{s}.end", f"{score}D", lit(layer), lit(label), f"{s}.text"),
     )
 
 
@@ -168,34 +165,48 @@ LEXICON_RULES = (
     AGE,
     PATIENT,
     *[
-        replace(_java(r), entity="telefoonnummer", score=LEXICON_SCORE, context=())
+        replace(java_form(r), entity="telefoonnummer", score=LEXICON_SCORE, context=())
         for r in NL_PHONE
     ],
     replace(EMAIL, entity="emailadres", score=LEXICON_SCORE),
-    replace(_java(BSN), entity="bsn", score=LEXICON_SCORE, checked_score=None, context=()),
+    replace(java_form(BSN), entity="bsn", score=LEXICON_SCORE, checked_score=None, context=()),
 )
 
 
+def lexicon_sql(text: str, lexicon: Lexicon | None, rules: Iterable[Rule]) -> str:
+    parts = [detect_sql(text, rules, LEXICON, "0.0D")]
+    if lexicon is not None:
+        parts += _names_and_places(text, lexicon, LEXICON)
+    if len(parts) == 1:
+        return parts[0]
+    return let(
+        f"concat({', '.join(parts)})", lambda fs: f"CASE WHEN size({fs}) > 1 THEN {sort_by_start(fs)} ELSE {fs} END"
+    )
+
+
 def detect_lexicon(text: Column, lexicon: Lexicon | None = None, rules: Iterable[Rule] = LEXICON_RULES) -> Column:
     """The lexicon layer of one text, all at one fixed score, sorted by start."""
-    parts = [detect(text, rules, LEXICON, 0.0)]
-    if lexicon is not None:
-        parts += [_names_and_places(text, lexicon, LEXICON)]
-    return let(F.concat(*parts), lambda fs: F.when(F.size(fs) > 1, sort_by_start(fs)).otherwise(fs))
+    rules = list(rules)
+    return column(lambda t: lexicon_sql(t, lexicon, rules), t=text)
 
 
-def detect_entities(text: Column, lexicon: Lexicon | None, entities: Iterable[str] | None = None) -> Column:
-    """PERSON, LOCATION and ORGANIZATION of the pattern layer, from the lexicon."""
+def entities_sql(text: str, lexicon: Lexicon | None, entities: Iterable[str] = ()) -> str:
+    """SQL: PERSON, LOCATION and ORGANIZATION of the pattern layer, from the lexicon."""
     if lexicon is None:
-        return no_findings()
-    wanted = set(entities or ())
-    found = _names_and_places(text, lexicon, PATTERN)
-    return found if not wanted else F.filter(found, lambda f: f["entity_type"].isin(*wanted))
+        return NO_FINDINGS
+    wanted = ", ".join(lit(e) for e in entities)
+    found = f"concat({', '.join(_names_and_places(text, lexicon, PATTERN))})"
+    return keep(found, lambda f: f"{f}.entity_type IN ({wanted})") if wanted else found
+
 
+def detect_entities(text: Column, lexicon: Lexicon | None, entities: Iterable[str] = ()) -> Column:
+    entities = tuple(entities)
+    return column(lambda t: entities_sql(t, lexicon, entities), t=text)
 
-def _names_and_places(text: Column, lexicon: Lexicon, layer: str) -> Column:
+
+def _names_and_places(text: str, lexicon: Lexicon, layer: str) -> list[str]:
     others = Lexicon(tuple(t for t in lexicon.terms if t[1] != PERSON_TAG))
-    return F.concat(person_findings(text, lexicon, layer), lexicon_findings(text, others, layer))
+    return [person_findings(text, lexicon, layer), lexicon_findings(text, others, layer)]
 
 
 def lexicon_join(docs: DataFrame, lexicon: DataFrame, max_words: int, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -217,46 +228,50 @@ def lexicon_join(docs: DataFrame, lexicon: DataFrame, max_words: int, id: str =
 def word_ngrams(text: Column, max_words: int) -> Column:
     """array<struct<start,end,text>> of all runs of 1..n words, offsets kept."""
 
-    def grams(runs: Column) -> Column:
-        at = F.filter(F.transform(runs, lambda r, i: F.when(r["text"].rlike(f"^[{WORD}]"), i)), lambda i: i.isNotNull())
-        sizes = F.sequence(F.lit(0), F.lit(max_words - 1))
-        made = F.flatten(
-            F.transform(
-                at,
-                lambda i: F.transform(
-                    F.filter(sizes, lambda k: i + k * 2 < F.size(runs)),
-                    lambda k: F.struct(
-                        F.get(runs, i)["start"].alias("start"),
-                        F.get(runs, i + k * 2)["end"].alias("end"),
-                        F.array_join(
-                            F.transform(F.slice(runs, i + 1, k * 2 + 1), lambda r: r["text"]), ""
-                        ).alias("text"),
-                    ),
-                ),
-            )
+    def grams(runs: str) -> str:
+        words = keep(
+            each_at(runs, lambda r, i: f"CASE WHEN {r}.text RLIKE {lit(f'^[{WORD}]')} THEN {i} END"),
+            lambda i: f"{i} IS NOT NULL",
         )
-        return made
 
-    return let(spans(text, RUNS), grams)
+        def made(i: str, k: str) -> str:
+            parts = each(f"slice({runs}, {i} + 1, {k} * 2 + 1)", lambda r: f"{r}.text")
+            return struct(
+                start=f"get({runs}, {i}).start", end=f"get({runs}, {i} + {k} * 2).end", text=f"array_join({parts}, '')"
+            )
 
+        def sizes(i: str) -> str:
+            fitting = keep(f"sequence(0, {max_words - 1})", lambda k: f"{i} + {k} * 2 < size({runs})")
+            return each(fitting, lambda k: made(i, k))
 
-def longest_first(hits: DataFrame, id: str) -> DataFrame:
-    """Disjoint hits per document: leftmost first, longest at one start."""
-    span = "struct<start:int,neg_end:int,tag:string,text:string>"
+        return f"flatten({each(words, sizes)})"
 
-    def step(last: Column, h: Column) -> Column:
-        free = h["start"] >= last
-        return F.struct(
-            F.when(free, -h["neg_end"]).otherwise(last).alias("state"),
-            F.when(free, F.array(h)).otherwise(F.array().cast(f"array<{span}>")).alias("emit"),
-        )
+    return column(lambda t: let(spans_of(t, lit(RUNS)), grams), t=text)
 
-    packed = F.array_sort(
-        F.collect_list(F.struct(F.col("start"), (-F.col("end")).alias("neg_end"), "tag", "text").cast(span))
-    )
-    kept = hits.groupBy(id).agg(packed.alias("hs")).select(
-        id, F.explode_outer(fold_emit(F.col("hs"), F.lit(0), step, "int", span)["out"]).alias("h")
+
+_HIT = "struct<start:int,neg_end:int,tag:string,text:string>"
+
+
+def leftmost_longest(hits: str) -> str:
+    """SQL: disjoint hits out of hits sorted by start, longest first."""
+
+    def step(last: str, h: str) -> tuple[str, str]:
+        free = f"{h}.start >= {last}"
+        return f"CASE WHEN {free} THEN -{h}.neg_end ELSE {last} END", f"CASE WHEN {free} THEN array({h}) ELSE {empty(_HIT)} END"
+
+    return fold_emit(hits, "0", step, "int", _HIT) + ".out"
+
+
+def longest_first(hits: DataFrame, id: str) -> DataFrame:
+    """Disjoint hits per document: leftmost first, longest at one start."""
+    hit = F.struct(F.col("start"), (-F.col("end")).alias("neg_end"), F.col("tag"), F.col("text")).cast(_HIT)
+    kept = hits.groupBy(id).agg(F.array_sort(F.collect_list(hit)).alias("hs")).select(
+        id, F.explode_outer(column(leftmost_longest, hits=F.col("hs"))).alias("h")
     )
     return kept.select(
-        id, F.col("h.start").alias("start"), (-F.col("h.neg_end")).alias("end"), F.col("h.tag").alias("tag"), F.col("h.text").alias("text")
+        id,
+        F.col("h.start").alias("start"),
+        (-F.col("h.neg_end")).alias("end"),
+        F.col("h.tag").alias("tag"),
+        F.col("h.text").alias("text"),
     )

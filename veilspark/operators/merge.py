@@ -9,103 +9,97 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.functions.arrays import emit_if, fold_emit, let
-from veilspark.schema import FINDING, FINDINGS, ORDERED, PRIORITY, finding, no_findings
+from veilspark.functions.rowsql import column, each, each_at, emit_if, fold_emit, let, lit, struct
+from veilspark.schema import FINDING, FINDING_FIELDS, FINDINGS, NO_FINDINGS, ORDERED, PRIORITY, finding
 
 
-def priority(source: Column) -> Column:
-    """Layer priority; an unknown layer has 0."""
-    out = F.lit(0)
-    for name, value in PRIORITY.items():
-        out = F.when(source == name, F.lit(value)).otherwise(out)
-    return out
+def priority(source: str) -> str:
+    """SQL: layer priority; an unknown layer has 0."""
+    return f"CASE {source} " + " ".join(f"WHEN {lit(k)} THEN {v}" for k, v in PRIORITY.items()) + " ELSE 0 END"
 
 
 def combine(*layers: Column) -> Column:
     """Findings of all layers in layer order; a layer that did not run adds none."""
-    return F.concat(*[F.coalesce(layer.cast(FINDINGS), no_findings()) for layer in layers])
-
-
-def order_findings(findings: Column) -> Column:
-    """start asc, score desc, priority desc, then input order."""
-    keyed = F.transform(
-        findings,
-        lambda f, i: F.struct(
-            f["start"].alias("start"),
-            (-f["score"]).alias("neg_score"),
-            (-priority(f["source"])).alias("neg_prio"),
-            i.alias("ord"),
-            f["end"].alias("end"),
-            f["source"].alias("source"),
-            f["entity_type"].alias("entity_type"),
-            f["text"].alias("text"),
-            f["description"].alias("description"),
-            f["reason"].alias("reason"),
-        ).cast(ORDERED),
-    )
-    return F.array_sort(keyed)
+    return F.concat(*[F.coalesce(layer.cast(FINDINGS), F.expr(NO_FINDINGS)) for layer in layers])
+
+
+def ordered_sql(findings: str) -> str:
+    """SQL: start asc, score desc, priority desc, then input order."""
+
+    def key(f: str, i: str) -> str:
+        fields = struct(
+            start=f"{f}.start", neg_score=f"-{f}.score", neg_prio=f"-({priority(f'{f}.source')})", ord=i, end=f"{f}.end",
+            source=f"{f}.source", entity_type=f"{f}.entity_type", text=f"{f}.text", description=f"{f}.description",
+            reason=f"{f}.reason",
+        )
+        return f"CAST({fields} AS {ORDERED})"
+
+    return f"array_sort({each_at(findings, key)})"
 
 
-def _plain(k: Column) -> Column:
+def _plain(k: str) -> str:
     return finding(
-        k["start"], k["end"], -k["neg_score"], k["source"], k["entity_type"], k["text"], k["description"], k["reason"]
+        f"{k}.start", f"{k}.end", f"-{k}.neg_score", f"{k}.source", f"{k}.entity_type", f"{k}.text", f"{k}.description",
+        f"{k}.reason",
     )
 
 
-def wins_over(f: Column, prev: Column) -> Column:
-    """An overlapping finding replaces the kept one only if it ends later and has
-    a higher score, or the same score and a higher priority."""
-    return (f["end"] > prev["end"]) & (
-        (f["neg_score"] < prev["neg_score"])
-        | ((f["neg_score"] == prev["neg_score"]) & (f["neg_prio"] < prev["neg_prio"]))
-    )
+def _better(f: str, prev: str) -> str:
+    return f"({f}.neg_score < {prev}.neg_score OR ({f}.neg_score = {prev}.neg_score AND {f}.neg_prio < {prev}.neg_prio))"
 
 
-def merge_ordered(ordered: Column) -> Column:
-    """Greedy pass over ordered findings; the result is disjoint and sorted."""
+def _closing(overlap: str, last: str, f: str) -> tuple[str, str]:
+    """Fold step that keeps one open finding: a finding that starts at or after its
+    end closes it, any other one gives the state `overlap`."""
+    opens = f"({last} IS NULL OR {f}.start >= {last}.end)"
+    return f"CASE WHEN {opens} THEN {f} ELSE {overlap} END", emit_if(f"{opens} AND {last} IS NOT NULL", last, ORDERED)
 
-    def step(last: Column, f: Column) -> Column:
-        opens = last.isNull() | (f["start"] >= last["end"])
-        return F.struct(
-            F.when(opens | wins_over(f, last), f).otherwise(last).alias("state"),
-            emit_if(opens & last.isNotNull(), last, ORDERED).alias("emit"),
-        )
 
-    def run(fs: Column) -> Column:
-        folded = fold_emit(fs, F.lit(None), step, ORDERED, ORDERED)
-        return let(folded, lambda r: F.concat(r["out"], F.array(r["state"])))
+def _closed(ordered: str, step) -> str:
+    folded = fold_emit(ordered, "NULL", step, ORDERED, ORDERED)
+    return let(folded, lambda r: f"concat({r}.out, array({r}.state))")
 
-    return let(ordered, lambda fs: F.when(F.size(fs) > 1, run(fs)).otherwise(fs))
 
+def merge_sql(findings: str) -> str:
+    """SQL of `merge_findings`."""
 
-def merge_findings(findings: Column) -> Column:
-    """Disjoint findings out of overlapping ones, sorted by start."""
-    return F.when(
-        F.size(findings) > 0, F.transform(merge_ordered(order_findings(findings)), _plain)
-    ).otherwise(no_findings())
+    def step(last: str, f: str) -> tuple[str, str]:
+        replaces = f"{f}.end > {last}.end AND {_better(f, last)}"
+        return _closing(f"CASE WHEN {replaces} THEN {f} ELSE {last} END", last, f)
 
+    return f"CASE WHEN size({findings}) > 0 THEN {each(_closed(ordered_sql(findings), step), _plain)} ELSE {NO_FINDINGS} END"
 
-def cover_findings(findings: Column) -> Column:
-    """Opt-in: every overlapping cluster becomes one finding over its whole extent,
-    so no detected character stays. Type and layer come from the best member."""
 
-    def step(last: Column, f: Column) -> Column:
-        opens = last.isNull() | (f["start"] >= last["end"])
-        better = (f["neg_score"] < last["neg_score"]) | (
-            (f["neg_score"] == last["neg_score"]) & (f["neg_prio"] < last["neg_prio"])
-        )
-        best = F.when(better, f).otherwise(last)
-        joined = best.withField("start", last["start"]).withField("end", F.greatest(last["end"], f["end"]))
-        return F.struct(
-            F.when(opens, f).otherwise(joined).alias("state"),
-            emit_if(opens & last.isNotNull(), last, ORDERED).alias("emit"),
-        )
+def cover_sql(findings: str) -> str:
+    """SQL of `cover_findings`."""
+
+    def step(last: str, f: str) -> tuple[str, str]:
+        def joined(best: str) -> str:
+            return struct(
+                start=f"{last}.start", neg_score=f"{best}.neg_score", neg_prio=f"{best}.neg_prio", ord=f"{best}.ord",
+                end=f"greatest({last}.end, {f}.end)", source=f"{best}.source", entity_type=f"{best}.entity_type",
+                text=f"{best}.text", description=f"{best}.description", reason=f"{best}.reason",
+            )
+
+        best = let(f"CASE WHEN {_better(f, last)} THEN {f} ELSE {last} END", joined)
+        return _closing(best, last, f)
+
+    return f"CASE WHEN size({findings}) > 0 THEN {each(_closed(ordered_sql(findings), step), _plain)} ELSE {NO_FINDINGS} END"
+
+
+def merge_findings(findings: Column) -> Column:
+    """Disjoint findings out of overlapping ones, sorted by start.
+
+    An overlapping finding replaces the kept one only if it ends later and has a
+    higher score, or the same score and a higher priority.
+    """
+    return column(merge_sql, findings=findings)
 
-    def run(fs: Column) -> Column:
-        folded = fold_emit(fs, F.lit(None), step, ORDERED, ORDERED)
-        return let(folded, lambda r: F.transform(F.concat(r["out"], F.array(r["state"])), _plain))
 
-    return F.when(F.size(findings) > 0, let(order_findings(findings), run)).otherwise(no_findings())
+def cover_findings(findings: Column) -> Column:
+    """Opt-in: every overlapping cluster becomes one finding over its whole extent,
+    so no detected character stays. Type, layer and text come from the best member."""
+    return column(cover_sql, findings=findings)
 
 
 def with_islands(df: DataFrame, key: list[str], start: str = "start", end: str = "end") -> DataFrame:
@@ -129,13 +123,14 @@ def merge_findings_table(findings: DataFrame, key: str = "doc_id", mode: str = "
     Clusters of overlapping spans are independent of each other, so the greedy
     pass runs per cluster and a document with very many findings is cheap.
     """
-    fields = [F.col(c) for c in ("start", "end", "score", "source", "entity_type", "text", "description", "reason")]
-    packed = F.sort_array(F.collect_list(F.struct(F.col("ord"), F.struct(*fields).cast(FINDING).alias("f"))))
+    packed = F.sort_array(
+        F.collect_list(F.struct(F.col("ord"), F.struct(*FINDING_FIELDS).cast(FINDING).alias("f")))
+    )
     merge = merge_findings if mode == "greedy" else cover_findings
     return (
         with_islands(findings, [key])
         .groupBy(key, "island")
-        .agg(packed.alias("members"))
-        .select(key, F.explode_outer(merge(F.transform("members", lambda m: m["f"]))).alias("f"))
+        .agg(F.transform(packed, lambda m: m["f"]).alias("members"))
+        .select(key, F.explode_outer(merge(F.col("members"))).alias("f"))
         .select(key, "f.*")
     )

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-from veilspark.functions.arrays import fold_emit, let
-from veilspark.functions.spans import spans
+from veilspark.functions.rowsql import column, each, each_at, empty, fold_emit, keep, let, lit, some, struct
+from veilspark.functions.spans import spans_of
 from veilspark.functions.text import W_BOUND, W_END, W_START, WORD
-from veilspark.operators.secrets import quoted
-from veilspark.schema import CROSSREF, FINDING, finding, no_findings
+from veilspark.operators.secrets import quoted_sql
+from veilspark.schema import CROSSREF, FINDING, NO_FINDINGS, SPAN, finding
 
 # Words that are never searched for.
 SKIP_WORDS = (
@@ -29,132 +28,137 @@ MIN_VALUE, DEFAULT_SCORE, NAME_SCORE = 3, 0.7, 0.5
 EMAIL_TYPES = ("EMAIL_ADDRESS", "email")
 VALUE_REASON, NAME_REASON = "value-propagation", "email-extraction"
 
-_SPAN_PAIR = "array<struct<start:int,end:int>>"
+def common_word(value: str) -> str:
+    words = ", ".join(lit(w) for w in dict.fromkeys(SKIP_WORDS + PARTICLES))
+    return f"lower({value}) IN ({words})"
 
 
-def common_word(value: Column) -> Column:
-    return F.lower(value).isin(*dict.fromkeys(SKIP_WORDS + PARTICLES))
+def eligible_sql(value: str) -> str:
+    return f"(length({value}) >= {MIN_VALUE} AND NOT {common_word(value)})"
 
 
 def eligible(value: Column) -> Column:
     """Long enough and no common word or particle."""
-    return (F.length(value) >= MIN_VALUE) & ~common_word(value)
+    return column(eligible_sql, value=value)
+
+
+def email_names_sql(email: str) -> str:
+    def names(local: str) -> str:
+        strip = lit(r"(?U)^\s+|\s+\z")
+        alphabetic = lit(r"^\p{L}+\z")
+        parts = each(f"split({local}, {lit('[._-]')})", lambda p: f"regexp_replace({p}, {strip}, '')")
+        kept = keep(parts, lambda p: f"length({p}) >= 2 AND {p} RLIKE {alphabetic} AND NOT {common_word(p)}")
+        return f"CASE WHEN length({local}) >= 3 THEN {kept} ELSE {empty('string')} END"
+
+    return let(f"CASE WHEN contains({email}, '@') THEN substring_index({email}, '@', 1) ELSE '' END", names)
 
 
 def email_names(email: Column) -> Column:
     """Likely person names in the local part of an address."""
-    local = F.when(email.contains("@"), F.substring_index(email, "@", 1)).otherwise(F.lit(""))
-    parts = F.transform(F.split(local, r"[._\-]"), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+\z", ""))
-    names = F.filter(
-        parts, lambda p: (F.length(p) >= 2) & p.rlike(r"^\p{L}+\z") & ~common_word(p)
-    )
-    return F.when(F.length(local) >= 3, names).otherwise(F.array().cast("array<string>"))
+    return column(email_names_sql, email=email)
 
 
-def occurrence_pattern(value: Column) -> Column:
-    """Case-insensitive literal match between word boundaries."""
+def occurrence_pattern(value: str) -> str:
+    """SQL: case-insensitive literal match between word boundaries."""
     # next to a word character the boundary is a one-sided test, which is cheaper
-    head = F.when(value.rlike(f"^[{WORD}]"), F.lit(W_START)).otherwise(F.lit(W_BOUND))
-    tail = F.when(value.rlike(rf"[{WORD}]\z"), F.lit(W_END)).otherwise(F.lit(W_BOUND))
-    return F.concat(F.lit("(?iu)"), head, quoted(value), tail)
+    starts, ends = lit(f"^[{WORD}]"), lit(rf"[{WORD}]\z")
+    head = f"CASE WHEN {value} RLIKE {starts} THEN {lit(W_START)} ELSE {lit(W_BOUND)} END"
+    tail = f"CASE WHEN {value} RLIKE {ends} THEN {lit(W_END)} ELSE {lit(W_BOUND)} END"
+    return f"concat('(?iu)', {head}, {quoted_sql(value)}, {tail})"
+
+
+def occurrences_sql(text: str, value: str) -> str:
+    found = let(occurrence_pattern(value), lambda p: spans_of(text, p))
+    return f"CASE WHEN length({value}) >= {MIN_VALUE} THEN {found} ELSE {empty(SPAN)} END"
 
 
 def occurrences(text: Column, value: Column) -> Column:
     """Where a value stands in the text; none for a value that is too short."""
-    return F.when(F.length(value) >= MIN_VALUE, spans(text, occurrence_pattern(value))).otherwise(
-        F.array().cast("array<struct<start:int,end:int,text:string>>")
+    return column(occurrences_sql, text=text, value=value)
+
+
+def uncovered_sql(found: str, covered: str) -> str:
+    return keep(
+        found,
+        lambda o: "NOT "
+        + some(covered, lambda c: f"{o}.start < {c}.end AND {c}.start < {o}.end AND {c}.end > {c}.start"),
     )
 
 
 def uncovered(found: Column, covered: Column) -> Column:
     """Matches of which no position is covered yet."""
-    return F.filter(
-        found,
-        lambda o: ~F.exists(
-            covered, lambda c: (o["start"] < c["end"]) & (c["start"] < o["end"]) & (c["end"] > c["start"])
-        ),
-    )
+    return column(uncovered_sql, found=found, covered=covered)
 
 
 _SEED = "struct<pass:int,ord:int,value:string,entity_type:string,score:double,reason:string>"
 
 
-def _seed(step: int, order: Column, value: Column, entity: Column, score: Column, reason: str) -> Column:
-    return F.struct(
-        F.lit(step).alias("pass"),
-        order.cast("int").alias("ord"),
-        value.alias("value"),
-        entity.alias("entity_type"),
-        score.cast("double").alias("score"),
-        F.lit(reason).alias("reason"),
-    ).cast(_SEED)
-
-
-def seeds(findings: Column) -> Column:
-    """Values to search for, in claim order: the found values first, then the names
-    taken from found addresses. Of values that are equal without case only the
-    first stays, since it claims every match."""
-    values = F.transform(
-        F.filter(
-            F.transform(findings, lambda f, i: F.struct(f.alias("f"), i.alias("i"))),
-            lambda x: eligible(x["f"]["text"]),
-        ),
-        lambda x: _seed(
-            1, x["i"], x["f"]["text"], x["f"]["entity_type"], F.coalesce(x["f"]["score"], F.lit(DEFAULT_SCORE)), VALUE_REASON
+def seeds_sql(findings: str) -> str:
+    """SQL: values to search for, in claim order: the found values first, then the
+    names taken from found addresses."""
+
+    def seed(number: int, order: str, value: str, entity: str, score: str, reason: str) -> str:
+        made = struct(**{
+            "pass": str(number), "ord": order, "value": value, "entity_type": entity, "score": score, "reason": lit(reason)
+        })
+        return f"CAST({made} AS {_SEED})"
+
+    values = keep(
+        each_at(
+            findings,
+            lambda f, i: seed(1, i, f"{f}.text", f"{f}.entity_type", f"coalesce({f}.score, {DEFAULT_SCORE}D)", VALUE_REASON),
         ),
+        lambda s: eligible_sql(f"{s}.value"),
     )
-    addresses = F.filter(findings, lambda f: f["entity_type"].isin(*EMAIL_TYPES) & f["text"].contains("@"))
-    names = F.filter(
-        F.flatten(F.transform(addresses, lambda f: email_names(f["text"]))), lambda n: F.length(n) >= MIN_VALUE
+    types = ", ".join(lit(t) for t in EMAIL_TYPES)
+    addresses = keep(findings, lambda f: f"{f}.entity_type IN ({types})")
+    names = keep(
+        f"flatten({each(addresses, lambda f: email_names_sql(f'{f}.text'))})", lambda n: f"length({n}) >= {MIN_VALUE}"
     )
-    named = F.transform(names, lambda n, i: _seed(2, i, n, F.lit("PERSON"), F.lit(NAME_SCORE), NAME_REASON))
-    return first_claims(F.concat(values, named))
+    named = each_at(names, lambda n, i: seed(2, i, n, "'PERSON'", f"{NAME_SCORE}D", NAME_REASON))
+    return _first_claims(f"concat({values}, {named})")
 
 
-def caseless(value: Column) -> Column:
-    """Comparison key: lower case, unless that changes the number of characters."""
-    return F.when(F.length(F.lower(value)) == F.length(value), F.lower(value)).otherwise(value)
+def caseless(value: str) -> str:
+    """SQL: comparison key: lower case, unless that changes the number of characters."""
+    return f"CASE WHEN length(lower({value})) = length({value}) THEN lower({value}) ELSE {value} END"
 
 
-def first_claims(seeds_: Column) -> Column:
-    """One seed per value (compared without case), the earliest, in claim order."""
-    keyed = F.transform(
-        seeds_,
-        lambda s: F.struct(caseless(s["value"]).alias("key"), s["pass"].alias("pass"), s["ord"].alias("ord"), s.alias("s")),
-    )
+def _first_claims(seeds: str) -> str:
+    """One seed per value (compared without case), the earliest, in claim order:
+    the first one claims every match, so the others would find nothing."""
 
-    def step(prev: Column, x: Column) -> Column:
-        return F.struct(
-            x["key"].alias("state"),
-            F.when(prev.isNull() | (prev != x["key"]), F.array(x["s"])).otherwise(F.array().cast(f"array<{_SEED}>")).alias("emit"),
-        )
+    def step(prev: str, x: str) -> tuple[str, str]:
+        return f"{x}.key", f"CASE WHEN {prev} IS NULL OR {prev} <> {x}.key THEN array({x}.s) ELSE {empty(_SEED)} END"
 
-    return F.array_sort(fold_emit(F.array_sort(keyed), F.lit(None), step, "string", _SEED)["out"])
+    keyed = each(seeds, lambda s: struct(key=caseless(f"{s}.value"), s=s))
+    return f"array_sort({fold_emit(f'array_sort({keyed})', 'NULL', step, 'string', _SEED)}.out)"
 
 
-def propagate(text: Column, findings: Column) -> Column:
-    """Additional findings of a document: each seed claims the matches of its value
-    that no finding and no earlier seed covers."""
+def propagate_sql(text: str, findings: str) -> str:
+    """SQL of `propagate`."""
+    pair = "array<struct<start:int,end:int>>"
+
+    def extents(items: str) -> str:
+        return each(items, lambda o: struct(start=f"{o}.start", end=f"{o}.end"))
 
-    def step(covered: Column, s: Column) -> Column:
-        def claim(claimed: Column) -> Column:
-            return F.struct(
-                F.concat(
-                    covered,
-                    F.transform(claimed, lambda o: F.struct(o["start"].alias("start"), o["end"].alias("end"))),
-                ).alias("state"),
-                F.transform(
-                    claimed,
-                    lambda o: finding(
-                        o["start"], o["end"], s["score"], CROSSREF, s["entity_type"], o["text"], None, s["reason"]
-                    ),
-                ).alias("emit"),
+    def step(covered: str, s: str) -> str:
+        def claim(claimed: str) -> str:
+            made = each(
+                claimed,
+                lambda o: finding(
+                    f"{o}.start", f"{o}.end", f"{s}.score", lit(CROSSREF), f"{s}.entity_type", f"{o}.text", "NULL", f"{s}.reason"
+                ),
             )
+            return struct(state=f"concat({covered}, {extents(claimed)})", emit=made)
+
+        return let(uncovered_sql(occurrences_sql(text, f"{s}.value"), covered), claim)
 
-        return let(uncovered(occurrences(text, s["value"]), covered), claim)
+    folded = fold_emit(seeds_sql(findings), extents(findings), step, pair, FINDING)
+    return f"CASE WHEN size({findings}) > 0 THEN {folded}.out ELSE {NO_FINDINGS} END"
 
-    def run(fs: Column) -> Column:
-        spanned = F.transform(fs, lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end")))
-        return fold_emit(seeds(fs), spanned, step, _SPAN_PAIR, FINDING)["out"]
 
-    return let(findings, lambda fs: F.when(F.size(fs) > 0, run(fs)).otherwise(no_findings()))
+def propagate(text: Column, findings: Column) -> Column:
+    """Additional findings of a document: each seed claims the matches of its value
+    that no finding and no earlier seed covers."""
+    return column(propagate_sql, text=text, findings=findings)

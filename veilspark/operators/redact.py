@@ -5,38 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilspark.functions.arrays import let
+from veilspark.functions.rowsql import column, each_at, let, lit
 from veilspark.functions.text import segment_slice, segments
 from veilspark.schema import PATTERN, SECRET
 
 
-def tag(source: Column, entity_type: Column) -> Column:
-    """`[REDACTED:TYPE]` for secrets, `[TYPE]` for the pattern layer, upper case otherwise."""
+def tag_sql(source: str, entity_type: str) -> str:
     return (
-        F.when(source == SECRET, F.concat(F.lit("[REDACTED:"), entity_type, F.lit("]")))
-        .when(source == PATTERN, F.concat(F.lit("["), entity_type, F.lit("]")))
-        .otherwise(F.concat(F.lit("["), F.upper(entity_type), F.lit("]")))
+        f"CASE {source} WHEN {lit(SECRET)} THEN concat('[REDACTED:', {entity_type}, ']') "
+        f"WHEN {lit(PATTERN)} THEN concat('[', {entity_type}, ']') ELSE concat('[', upper({entity_type}), ']') END"
     )
 
 
+def tag(source: Column, entity_type: Column) -> Column:
+    """`[REDACTED:TYPE]` for secrets, `[TYPE]` for the pattern layer, upper case otherwise."""
+    return column(tag_sql, source=source, entity_type=entity_type)
+
+
+def redact_sql(text: str, merged: str) -> str:
+    """SQL of `redact`."""
+
+    def splice(segs: str) -> str:
+        def piece(f: str, i: str) -> str:
+            gap = segment_slice(segs, f"coalesce(get({merged}, {i} - 1).end, 0)", f"{f}.start")
+            return f"concat({gap}, {tag_sql(f'{f}.source', f'{f}.entity_type')})"
+
+        rest = segment_slice(segs, f"element_at({merged}, -1).end", f"length({text})")
+        return f"concat(array_join({each_at(merged, piece)}, ''), {rest})"
+
+    return f"CASE WHEN size({merged}) > 0 THEN {let(segments(text), splice)} ELSE {text} END"
+
+
 def redact(text: Column, merged: Column) -> Column:
     """Put a tag in place of every merged (disjoint, sorted) finding."""
-
-    def splice(segs: Column, ms: Column) -> Column:
-        pieces = F.transform(
-            ms,
-            lambda f, i: F.concat(
-                segment_slice(segs, F.when(i > 0, F.get(ms, i - 1)["end"]).otherwise(F.lit(0)), f["start"]),
-                tag(f["source"], f["entity_type"]),
-            ),
-        )
-        rest = segment_slice(segs, F.element_at(ms, -1)["end"], F.length(text))
-        return F.concat(F.array_join(pieces, ""), rest)
-
-    return let(
-        merged,
-        lambda ms: F.when(F.size(ms) > 0, let(segments(text), lambda segs: splice(segs, ms))).otherwise(text),
-    )
+    return column(redact_sql, text=text, merged=merged)
 
 
 def project_findings(merged: Column, debug: bool = False, offsets: bool = False) -> Column:

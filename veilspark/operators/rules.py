@@ -2,36 +2,40 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilspark.functions.arrays import emit_if, fold_emit, let
-from veilspark.functions.spans import spans
+from veilspark.functions.rowsql import (
+    column, each, each_at, emit_if, fold_emit, keep, let, lit, some, struct,
+)
+from veilspark.functions.spans import matches_of, placed
 from veilspark.functions.text import segments
-from veilspark.operators.context import boosted, has_cue, last_words
-from veilspark.schema import FINDING, PATTERN, SPANS, finding, no_findings
+from veilspark.operators.context import boosted, cue_lists, has_cue, last_words
+from veilspark.schema import FINDING, NO_FINDINGS, PATTERN, finding
 
 
 @dataclass(frozen=True)
 class Rule:
     """A pattern rule.
 
-    `hint` is a cheap test on the text (literals, any of which must occur, or a
-    short regex); rows that fail it never run the pattern. `check` keeps a match,
-    `checked_score` replaces the score of a kept one, `refine` may shorten a
-    match (NULL drops it). `context` words before a match raise its score.
+    `literals` (any must occur) and `hint` (a short regex) are cheap tests on the
+    text; rows that fail them never run the pattern. `check` is a SQL condition
+    on `value`, the matched text; `checked_score` replaces the score of a match
+    that passes it. `refine` is a SQL expression that gives a leading part of
+    `value`, or NULL to drop the match. `context` words before a match raise its
+    score.
     """
 
     entity: str
     pattern: str
     score: float
     context: tuple[str, ...] = ()
-    check: Callable[[Column], Column] | None = None
+    check: str | None = None
     checked_score: float | None = None
-    refine: Callable[[Column], Column] | None = None
+    refine: str | None = None
     literals: tuple[str, ...] = ()
     hint: str | None = None
     name: str | None = None
@@ -40,14 +44,6 @@ class Rule:
     def base_score(self) -> float:
         return self.score if self.checked_score is None else self.checked_score
 
-    def guard(self, text: Column) -> Column | None:
-        test = None
-        for literal in self.literals:
-            test = text.contains(literal) if test is None else test | text.contains(literal)
-        if self.hint is not None:
-            test = text.rlike(self.hint) if test is None else test & text.rlike(self.hint)
-        return test
-
 
 @dataclass
 class Registry:
@@ -65,55 +61,83 @@ class Registry:
         return [r for r in self.rules if not wanted or r.entity in wanted]
 
 
-def rule_spans(text: Column, rule: Rule) -> Column:
-    """Checked matches of one rule, without its guard."""
-    found = spans(text, rule.pattern)
-    if rule.refine is not None:
-        refined = F.transform(
-            found, lambda s: F.struct(s["start"].alias("start"), rule.refine(s["text"]).alias("text"))
+def guard(text: str, literals: tuple[str, ...], hint: str | None) -> str:
+    """SQL: the cheap tests of a rule."""
+    tests = []
+    if literals:
+        tests.append("(" + " OR ".join(f"contains({text}, {lit(v)})" for v in literals) + ")")
+    if hint is not None:
+        tests.append(f"{text} RLIKE {lit(hint)}")
+    return " AND ".join(tests) or "true"
+
+
+def _hits(text: str, rules: list[Rule]) -> str:
+    """Per rule with matches: its number and its matched texts."""
+    parts = [
+        struct(rule=str(i), ms=f"CASE WHEN {guard(text, r.literals, r.hint)} THEN {matches_of(text, lit(r.pattern))} END")
+        for i, r in enumerate(rules)
+    ]
+    return keep(f"array({', '.join(parts)})", lambda h: f"size({h}.ms) > 0")
+
+
+def _infos(rules: list[Rule]) -> str:
+    """Constant array of what the later steps need to know of each rule."""
+    rows = []
+    for rule in rules:
+        single, phrases = cue_lists(rule.context)
+        rows.append(
+            struct(
+                pattern=lit(rule.pattern), entity=lit(rule.entity), score=f"{rule.base_score}D", single=single, phrases=phrases
+            )
         )
-        found = F.transform(
-            F.filter(refined, lambda s: s["text"].isNotNull()),
-            lambda s: F.struct(
-                s["start"].alias("start"), (s["start"] + F.length(s["text"])).alias("end"), s["text"].alias("text")
-            ),
+    return f"array({', '.join(rows)})"
+
+
+def _by_rule(rules: list[Rule], attr: str, number: str, value: str, default: str) -> str:
+    """CASE over the rules that have `attr`, a SQL text over `value`."""
+    cases = [
+        f"WHEN {i} THEN {let(value, lambda _, r=r: getattr(r, attr), 'value')}"
+        for i, r in enumerate(rules)
+        if getattr(r, attr) is not None
+    ]
+    return f"CASE {number} {' '.join(cases)} ELSE {default} END" if cases else default
+
+
+def _located(text: str, rules: list[Rule], infos: str, hit: str) -> str:
+    """Checked spans of one rule with the rule number."""
+    found = placed(text, f"get({infos}, {hit}.rule).pattern", f"{hit}.ms")
+    refined = each(
+        found,
+        lambda s: struct(
+            rule=f"{hit}.rule", start=f"{s}.start", text=_by_rule(rules, "refine", f"{hit}.rule", f"{s}.text", f"{s}.text")
+        ),
+    )
+    return keep(
+        refined,
+        lambda s: f"{s}.text IS NOT NULL AND {_by_rule(rules, 'check', f'{s}.rule', f'{s}.text', 'true')}",
+    )
+
+
+def _scored(rules: list[Rule], layer: str, infos: str, segs: str, span: str) -> str:
+    info = f"get({infos}, {span}.rule)"
+
+    def with_info(i: str) -> str:
+        score = f"{i}.score"
+        if any(r.context for r in rules):
+            cue = has_cue(last_words(segs, f"{span}.start"), f"{i}.single", f"{i}.phrases")
+            score = f"CASE WHEN size({i}.single) + size({i}.phrases) > 0 AND {cue} THEN {boosted(f'{i}.score')} ELSE {i}.score END"
+        made = finding(
+            f"{span}.start", f"{span}.start + length({span}.text)", f"round({score}, 2)", lit(layer), f"{i}.entity", f"{span}.text"
         )
-    if rule.check is not None:
-        found = F.filter(found, lambda s: rule.check(s["text"]))
-    return found.cast(SPANS)
-
-
-def rule_findings(text: Column, rule: Rule, layer: str = PATTERN) -> Column:
-    """Findings of one rule with their context-adjusted score."""
-
-    def to_finding(s: Column, score: Column) -> Column:
-        return finding(s["start"], s["end"], F.round(score, 2), layer, rule.entity, s["text"])
-
-    def scored(found: Column) -> Column:
-        if not rule.context:
-            return F.transform(found, lambda s: to_finding(s, F.lit(rule.base_score)))
-        return F.when(
-            F.size(found) > 0,
-            let(
-                segments(text),
-                lambda segs: F.transform(
-                    found,
-                    lambda s: to_finding(
-                        s,
-                        F.when(
-                            has_cue(last_words(segs, s["start"]), rule.context), boosted(F.lit(rule.base_score))
-                        ).otherwise(F.lit(rule.base_score)),
-                    ),
-                ),
-            ),
-        ).otherwise(no_findings())
+        return struct(rule=f"{span}.rule", f=made)
+
+    return let(info, with_info)
+
 
-    value = let(rule_spans(text, rule), scored)
-    guard = rule.guard(text)
-    return value if guard is None else F.when(guard, value).otherwise(no_findings())
+_KEYED = f"struct<start:int,neg_end:int,neg_score:double,rule:int,f:{FINDING}>"
 
 
-def drop_contained(findings: Column, n_rules: int) -> Column:
+def _drop_contained(found: str) -> str:
     """Same-entity duplicates: a finding inside another one of its entity goes if
     the other has the higher score, or the same score and starts first or is longer.
 
@@ -121,72 +145,62 @@ def drop_contained(findings: Column, n_rules: int) -> Column:
     comes before what it contains, and of every rule only the last one seen can
     still contain the next; so the fold carries one candidate per rule.
     """
-    key_type = "struct<start:int,neg_end:int,neg_score:double,rule:int,f:" + FINDING + ">"
-
-    def order(f: Column, r: Column) -> Column:
-        return F.struct(
-            f["start"].alias("start"),
-            (-f["end"]).alias("neg_end"),
-            (-f["score"]).alias("neg_score"),
-            r.alias("rule"),
-            f.alias("f"),
-        )
 
-    def step(seen: Column, x: Column) -> Column:
-        covered = F.exists(
-            seen, lambda y: (y["neg_end"] <= x["neg_end"]) & (y["neg_score"] <= x["neg_score"])
-        )
-        kept = F.filter(seen, lambda y: y["rule"] != x["rule"])
-        return F.struct(
-            F.concat(kept, F.array(x)).alias("state"), emit_if(~covered, x["f"], FINDING).alias("emit")
+    def step(seen: str, x: str) -> tuple[str, str]:
+        covered = some(
+            seen,
+            lambda y: f"{y}.f.entity_type = {x}.f.entity_type AND {y}.neg_end <= {x}.neg_end AND {y}.neg_score <= {x}.neg_score",
         )
+        state = f"concat({keep(seen, lambda y: f'{y}.rule <> {x}.rule')}, array({x}))"
+        return state, emit_if(f"NOT {covered}", x, _KEYED)
 
-    if n_rules == 1:
-        return findings[0]
-    def keyed_by(number: int) -> Column:
-        return F.transform(findings[number], lambda f: order(f, F.lit(number)))
-
-    keyed = F.concat(*[keyed_by(i) for i in range(n_rules)])
-    return let(
-        keyed,
-        lambda k: F.when(
-            F.size(k) > 0,
-            fold_emit(
-                F.array_sort(k.cast(f"array<{key_type}>")),
-                F.array(),
-                step,
-                f"array<{key_type}>",
-                FINDING,
-            )["out"],
-        ).otherwise(no_findings()),
+    keyed = each(
+        found,
+        lambda k: f"CAST({struct(start=f'{k}.f.start', neg_end=f'-{k}.f.end', neg_score=f'-{k}.f.score', rule=f'{k}.rule', f=f'{k}.f')} AS {_KEYED})",
     )
+    return fold_emit(f"array_sort({keyed})", "array()", step, f"array<{_KEYED}>", _KEYED) + ".out"
+
+
+def detect_sql(text: str, rules: Iterable[Rule], layer: str = PATTERN, threshold: str = "0.5D") -> str:
+    """SQL of `detect`. A text without a match costs the cheap tests, and the
+    patterns that pass them, and nothing else."""
+    rules = list(rules)
+    if not rules:
+        return NO_FINDINGS
+
+    def findings(hits: str) -> str:
+        def all_rules(infos: str) -> str:
+            located = f"flatten({each(hits, lambda h: _located(text, rules, infos, h))})"
+            scored = let(segments(text), lambda segs: each(located, lambda s: _scored(rules, layer, infos, segs, s)))
+            kept = keep(_drop_contained(scored), lambda k: f"{k}.f.score >= {threshold}")
+            # within one start: higher score first, then longer first
+            keys = each(
+                kept,
+                lambda k: struct(
+                    start=f"{k}.start", neg_score=f"{k}.neg_score", neg_end=f"{k}.neg_end", rule=f"{k}.rule", f=f"{k}.f"
+                ),
+            )
+            return each(f"array_sort({keys})", lambda k: f"{k}.f")
+
+        return f"CASE WHEN size({hits}) > 0 THEN {let(_infos(rules), all_rules)} ELSE {NO_FINDINGS} END"
 
+    return let(_hits(text, rules), findings)
 
-def detect(
-    text: Column, rules: Iterable[Rule], layer: str = PATTERN, threshold: Column | float = 0.5
-) -> Column:
+
+def detect(text: Column, rules: Iterable[Rule], layer: str = PATTERN, threshold: Column | float = 0.5) -> Column:
     """All findings of a rule set: scored, deduplicated per entity, cut at the
-    threshold, sorted by start (rule order within one start)."""
-    by_entity: dict[str, list[Rule]] = {}
-    for rule in rules:
-        by_entity.setdefault(rule.entity, []).append(rule)
-    if not by_entity:
-        return no_findings()
-    groups = [
-        drop_contained([rule_findings(text, r, layer) for r in rs], len(rs)) for rs in by_entity.values()
-    ]
+    threshold, sorted by start."""
+    rules = list(rules)
     limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    return let(
-        F.concat(*groups),
-        lambda fs: F.when(
-            F.size(fs) > 0, sort_by_start(F.filter(fs, lambda f: f["score"] >= limit))
-        ).otherwise(no_findings()),
-    )
+    return column(lambda t, k: detect_sql(t, rules, layer, k), t=text, k=limit)
 
 
-def sort_by_start(findings: Column) -> Column:
-    """Stable sort by start offset."""
-    keyed = F.transform(
-        findings, lambda f, i: F.struct(f["start"].alias("start"), i.alias("ord"), f.alias("f"))
-    )
-    return F.transform(F.array_sort(keyed), lambda k: k["f"])
+def sort_by_start(findings: str) -> str:
+    """SQL: stable sort by start offset."""
+    keyed = each_at(findings, lambda f, i: struct(start=f"{f}.start", ord=i, f=f))
+    return each(f"array_sort({keyed})", lambda k: f"{k}.f")
+
+
+def no_findings() -> Column:
+    return F.expr(NO_FINDINGS)
+

@@ -8,11 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilspark.functions.arrays import let
-from veilspark.functions.checks import entropy
-from veilspark.functions.spans import spans
+from veilspark.functions.checks import entropy_of
+from veilspark.functions.rowsql import column, each, each_at, empty, keep, let, lit, struct
+from veilspark.functions.spans import spans_of
 from veilspark.functions.text import A_END, A_START
-from veilspark.schema import FINDINGS, SECRET, finding, no_findings
+from veilspark.operators.rules import guard
+from veilspark.schema import NO_FINDINGS, SECRET, finding
 
 SECRET_SCORE = 1.0
 
@@ -32,16 +33,6 @@ class SecretRule:
     literals: tuple[str, ...] = ()
     hint: str | None = None
 
-    def guard(self, text: Column) -> Column:
-        test = F.lit(True)
-        if self.literals:
-            test = text.contains(self.literals[0])
-            for literal in self.literals[1:]:
-                test = test | text.contains(literal)
-        if self.hint is not None:
-            test = test & text.rlike(self.hint)
-        return test
-
 
 _KEY = r"(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|wachtwoord)"
 _KEY_HINT = r"(?i)pass|pwd|secret|token|key|wachtwoord"
@@ -142,79 +133,88 @@ ALLOWED_PATHS = (
 
 
 def allowed_path(path: Column, patterns: Iterable[str] = ALLOWED_PATHS) -> Column:
-    return F.coalesce(path.rlike("|".join(f"(?:{p})" for p in patterns)), F.lit(False))
+    return F.coalesce(path.rlike(_alternatives(patterns)), F.lit(False))
 
 
-def is_allowed(secret: Column, patterns: Iterable[str]) -> Column:
+def _alternatives(patterns: Iterable[str]) -> str:
     """One alternation instead of one test per pattern."""
-    joined = "|".join(f"(?:{p})" for p in patterns)
-    return secret.rlike(joined) if joined else F.lit(False)
+    return "|".join(f"(?:{p})" for p in patterns)
+
+
+def _reports(text: str, rules: list[SecretRule], allow: tuple[str, ...]) -> str:
+    """array<struct<rule,description,secret>> in rule order, then text order;
+    duplicates kept. Allowlisted and low-entropy matches are dropped."""
+
+    def reported(rule: SecretRule) -> str:
+        def wanted(s: str) -> str:
+            tests = [f"{s} <> ''"]
+            if allow or rule.allow:
+                tests.append(f"NOT {s} RLIKE {lit(_alternatives((*allow, *rule.allow)))}")
+            if rule.min_entropy > 0:
+                tests.append(f"{entropy_of(s)} >= {rule.min_entropy}D")
+            return " AND ".join(tests)
+
+        found = keep(f"regexp_extract_all({text}, {lit(rule.pattern)}, {rule.group})", wanted)
+        return (
+            f"CASE WHEN {guard(text, rule.literals, rule.hint)} THEN "
+            + each(found, lambda s: struct(rule=lit(rule.name), description=lit(rule.description), secret=s))
+            + f" ELSE {empty(_REPORT)} END"
+        )
+
+    return f"concat({', '.join(reported(r) for r in rules)})" if rules else empty(_REPORT)
+
+
+_REPORT = "struct<rule:string,description:string,secret:string>"
+
+
+def _longest_first(reports: str) -> str:
+    keyed = each_at(reports, lambda r, i: struct(n=f"-length({r}.secret)", ord=i, r=r))
+    return each(f"array_sort({keyed})", lambda k: f"{k}.r")
+
+
+def _place(r: str, start: str) -> str:
+    return finding(
+        start, f"{start} + length({r}.secret)", f"{SECRET_SCORE}D", lit(SECRET), f"{r}.rule", f"{r}.secret",
+        f"coalesce({r}.description, {r}.rule)",
+    )
+
+
+def locate_sql(text: str, reports: str, all_occurrences: bool = False) -> str:
+    """SQL of `locate_secrets`."""
 
+    def first_only(rs: str) -> str:
+        placed = each(_longest_first(rs), lambda r: let(f"instr({text}, {r}.secret) - 1", lambda at: _place(r, at)))
+        return keep(placed, lambda f: f"{f}.start >= 0")
 
-def rule_secrets(text: Column, rule: SecretRule, allow: Iterable[str] = ALLOWED_VALUES) -> Column:
-    """array<string> of what one rule reports, in text order, duplicates kept."""
-    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
+    def everywhere(rs: str) -> str:
+        def places(r: str) -> str:
+            return each(spans_of(text, quoted_sql(f"{r}.secret")), lambda s: _place(r, f"{s}.start"))
 
-    def keep(s: Column) -> Column:
-        test = (s != "") & ~is_allowed(s, (*allow, *rule.allow))
-        return test & (entropy(s) >= rule.min_entropy) if rule.min_entropy > 0 else test
+        return f"flatten({each(_longest_first(f'array_distinct({rs})'), places)})"
 
-    return F.when(rule.guard(text), F.filter(found, keep)).otherwise(F.array().cast("array<string>"))
+    body = everywhere if all_occurrences else first_only
+    return let(reports, lambda rs: f"CASE WHEN size({rs}) > 0 THEN {body(rs)} ELSE {NO_FINDINGS} END")
 
 
-def locate_secrets(text: Column, reported: Column, all_occurrences: bool = False) -> Column:
+def locate_secrets(text: Column, reports: Column, all_occurrences: bool = False) -> Column:
     """Place reported secrets in the text.
 
-    `reported` is array<struct<rule,description,secret>>. Longest secret first;
+    `reports` is array<struct<rule,description,secret>>. Longest secret first;
     each report maps to the first place of its secret in the text, and one that
     is not found is dropped. Repeats are kept and counted. With
     `all_occurrences`, every place of every distinct secret is a finding.
     """
+    return column(lambda t, r: locate_sql(t, r, all_occurrences), t=text, r=reports)
 
-    def place(r: Column, start: Column) -> Column:
-        return finding(
-            start,
-            start + F.length(r["secret"]),
-            SECRET_SCORE,
-            SECRET,
-            r["rule"],
-            r["secret"],
-            F.coalesce(r["description"], r["rule"]),
-        )
 
-    def first_only(rs: Column) -> Column:
-        keyed = F.transform(
-            rs, lambda r, i: F.struct((-F.length(r["secret"])).alias("n"), i.alias("ord"), r.alias("r"))
-        )
-        placed = F.transform(
-            F.array_sort(keyed),
-            lambda k: place(k["r"], F.instr(text, k["r"]["secret"]) - 1),
-        )
-        return F.filter(placed, lambda f: f["start"] >= 0)
+def quoted_sql(value: str) -> str:
+    """SQL: regex that matches `value` literally."""
+    begin, end = r"\Q", r"\E"
+    return f"concat({lit(begin)}, replace({value}, {lit(end)}, {lit(end + chr(92) + end + begin)}), {lit(end)})"
 
-    def everywhere(rs: Column) -> Column:
-        keyed = F.transform(
-            F.array_distinct(rs),
-            lambda r, i: F.struct((-F.length(r["secret"])).alias("n"), i.alias("ord"), r.alias("r")),
-        )
-        return F.flatten(
-            F.transform(
-                F.array_sort(keyed),
-                lambda k: F.transform(
-                    spans(text, quoted(k["r"]["secret"])), lambda s: place(k["r"], s["start"])
-                ),
-            )
-        )
 
-    return let(
-        reported,
-        lambda rs: F.when(F.size(rs) > 0, (everywhere if all_occurrences else first_only)(rs)).otherwise(no_findings()),
-    )
-
-
-def quoted(value: Column) -> Column:
-    """Regex that matches `value` literally."""
-    return F.concat(F.lit("\\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+def secrets_sql(text: str, rules: Iterable[SecretRule], allow: Iterable[str], all_occurrences: bool = False) -> str:
+    return locate_sql(text, _reports(text, list(rules), tuple(allow)), all_occurrences)
 
 
 def detect_secrets(
@@ -225,15 +225,6 @@ def detect_secrets(
     path: Column | None = None,
 ) -> Column:
     """The secret layer of one text; empty for an allowlisted path."""
-    allow = tuple(allow)
-
-    def report(rule: SecretRule) -> Column:
-        name, about = F.lit(rule.name), F.lit(rule.description).cast("string")
-        return F.transform(
-            rule_secrets(text, rule, allow),
-            lambda s: F.struct(name.alias("rule"), about.alias("description"), s.alias("secret")),
-        )
-
-    reports = [report(rule) for rule in rules]
-    found = locate_secrets(text, F.concat(*reports), all_occurrences).cast(FINDINGS)
-    return found if path is None else F.when(allowed_path(path), no_findings()).otherwise(found)
+    rules, allow = list(rules), tuple(allow)
+    found = column(lambda t: secrets_sql(t, rules, allow, all_occurrences), t=text)
+    return found if path is None else F.when(allowed_path(path), F.expr(NO_FINDINGS)).otherwise(found)

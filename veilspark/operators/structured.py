@@ -6,10 +6,9 @@ from collections.abc import Iterable
 from dataclasses import replace
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-from veilspark.functions.arrays import let
-from veilspark.functions.checks import valid_bsn, valid_iban, valid_luhn
+from veilspark.functions.checks import bsn_test, iban_test, luhn_test
+from veilspark.functions.rowsql import each, keep, let
 from veilspark.functions.text import W_BOUND, W_END, W_START
 from veilspark.operators.admit import ENTITIES
 from veilspark.operators.rules import Registry, Rule, detect
@@ -19,17 +18,15 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 _TLD = r"(?:com|net|org|edu|gov|info|io|dev|app|nl|be|de|fr|es|eu|uk)"
 
 
-def longest_valid_iban(match: Column) -> Column:
-    """The longest prefix of whole blank-separated groups that is a valid IBAN;
-    a following upper-case word may have been taken for a group."""
-    def shortened(groups: Column) -> Column:
-        prefixes = F.transform(
-            F.sequence(F.size(groups), F.lit(1), F.lit(-1)),
-            lambda n: F.array_join(F.slice(groups, F.lit(1), n), " "),
-        )
-        return F.get(F.filter(prefixes, valid_iban), F.lit(0))
+def longest_valid_iban(match: str) -> str:
+    """SQL: the longest prefix of whole blank-separated groups that is a valid
+    IBAN; a following upper-case word may have been taken for a group."""
 
-    return let(F.split(match, " "), shortened)
+    def shortened(groups: str) -> str:
+        prefixes = each(f"sequence(size({groups}), 1, -1)", lambda n: f"array_join(slice({groups}, 1, {n}), ' ')")
+        return f"get({keep(prefixes, iban_test)}, 0)"
+
+    return let(f"split({match}, ' ')", shortened)
 
 
 # The three recognizers that are fully specified (patterns, scores,
@@ -37,7 +34,7 @@ def longest_valid_iban(match: Column) -> Column:
 BSN = Rule(
     "BSN", r"\b[0-9]{9}\b", 0.3,
     context=("bsn", "burgerservicenummer", "sofinummer", "sofi"),
-    check=valid_bsn, checked_score=0.85, hint=r"[0-9]{9}",
+    check=bsn_test("value"), checked_score=0.85, hint=r"[0-9]{9}",
 )
 KVK = Rule(
     "KVK_NUMBER", r"\b[0-9]{8}\b", 0.15,
@@ -82,14 +79,14 @@ IBAN = Rule(
     "IBAN_CODE",
     W_START + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + W_END,
     1.0,
-    refine=longest_valid_iban,
+    refine=longest_valid_iban("value"),
     hint=r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}",
 )
 CARD = Rule(
     "CREDIT_CARD",
     W_START + r"(?:4[0-9]{3}|5[0-5][0-9]{2}|6[0-9]{3}|1[0-9]{3}|3[0-9]{3})[- ]?[0-9]{3,4}[- ]?[0-9]{3,4}[- ]?[0-9]{3,5}" + W_END,
     1.0,
-    check=valid_luhn,
+    check=luhn_test("value"),
     hint=r"[0-9]{4}[- ]?[0-9]{3}",
 )
 IPV4 = Rule(
@@ -121,13 +118,14 @@ PHONE = Rule(
 )
 
 
-def _java(rule: Rule) -> Rule:
+def java_form(rule: Rule) -> Rule:
+    """A rule written in the Python dialect, for Java."""
     hint = rule.hint.replace(r"[\s\-]", rf"[{_SPACE}\-]") if rule.hint else None
     return replace(rule, pattern=unicode_form(rule.pattern), hint=hint)
 
 
 PATTERN_RULES = Registry(
-    [EMAIL, IBAN, CARD, IPV4, IPV6, URL_SCHEME, URL_BARE, PHONE] + [_java(r) for r in (BSN, KVK, *NL_PHONE)]
+    [EMAIL, IBAN, CARD, IPV4, IPV6, URL_SCHEME, URL_BARE, PHONE] + [java_form(r) for r in (BSN, KVK, *NL_PHONE)]
 )
 
 

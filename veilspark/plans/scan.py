@@ -12,16 +12,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.functions.rowsql import column
 from veilspark.operators.admit import norm_depth
 from veilspark.operators.hooks import model_findings
-from veilspark.operators.lexicon import LEXICON_RULES, Lexicon, detect_entities, detect_lexicon
+from veilspark.operators.lexicon import LEXICON_RULES, Lexicon, detect_lexicon, entities_sql
 from veilspark.operators.merge import combine, cover_findings, merge_findings
 from veilspark.operators.propagate import propagate
 from veilspark.operators.redact import layer_count, redact
-from veilspark.operators.rules import Rule, detect, sort_by_start
+from veilspark.operators.rules import Rule, detect_sql, no_findings, sort_by_start
 from veilspark.operators.secrets import ALLOWED_VALUES, SECRET_RULES, SecretRule, detect_secrets
 from veilspark.operators.structured import pattern_rules
-from veilspark.schema import FINDINGS, PATTERN, no_findings
+from veilspark.schema import FINDINGS, PATTERN
 
 
 @dataclass(frozen=True)
@@ -48,12 +49,15 @@ class ScanOptions:
 
 def pattern_layer(text: Column, options: ScanOptions) -> Column:
     rules = pattern_rules(options.entities) + list(options.extra_rules)
-    threshold = options.threshold or 0.5
-    parts = [detect(text, rules, PATTERN, threshold)]
-    if options.lexicon is not None:
-        parts.append(detect_entities(text, options.lexicon, options.entities))
-        return sort_by_start(F.concat(*parts))
-    return parts[0]
+    threshold = f"{options.threshold or 0.5}D"
+
+    def layer(t: str) -> str:
+        found = detect_sql(t, rules, PATTERN, threshold)
+        if options.lexicon is None:
+            return found
+        return sort_by_start(f"concat({found}, {entities_sql(t, options.lexicon, options.entities)})")
+
+    return column(layer, t=text)
 
 
 def detect_layers(
@@ -98,13 +102,14 @@ def detect_layers(
 def _add_model(df: DataFrame, body: Column, layer: str, model: Callable, depths: tuple[str, ...]) -> DataFrame:
     """Add a user model's findings to its layer. Rows whose depth skips the layer
     send no text. A failed batch leaves the layer empty and reports the error."""
-    column = f"f_{layer}"
+    name = f"f_{layer}"
     called = df.withColumn("_m", model_findings(model, layer)(F.when(F.col("depth").isin(*depths), body)))
     error = F.col("_m.error")
-    found = sort_by_start(F.concat(F.col(column), F.coalesce(F.col("_m.findings"), no_findings())))
+    both = F.concat(F.col(name), F.coalesce(F.col("_m.findings"), no_findings()))
+    found = column(sort_by_start, findings=both)
     return called.withColumns(
         {
-            column: F.when(error.isNull() & F.col(column).isNotNull(), found),
+            name: F.when(error.isNull() & F.col(name).isNotNull(), found),
             "layer_errors": F.when(
                 error.isNotNull(),
                 F.map_concat(F.coalesce(F.col("layer_errors"), F.create_map().cast("map<string,string>")), F.create_map(F.lit(layer), error)),

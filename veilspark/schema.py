@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Layers, in the order their findings are concatenated.
 SECRET, PATTERN, LEXICON, CROSSREF = "secret", "pattern", "lexicon", "crossref"
 LAYERS = (SECRET, PATTERN, LEXICON, CROSSREF)
@@ -24,6 +21,7 @@ FINDING = (
     "text:string,description:string,reason:string>"
 )
 FINDINGS = f"array<{FINDING}>"
+NO_FINDINGS = f"CAST(array() AS {FINDINGS})"
 
 # Sort key first, so that the natural order of the struct is the merge order.
 ORDERED = (
@@ -32,17 +30,11 @@ ORDERED = (
 )
 
 
-def no_findings() -> Column:
-    return F.array().cast(FINDINGS)
-
-
-def finding(start, end, score, source, entity_type, text, description=None, reason=None) -> Column:
-    """One finding struct; missing optional fields are NULL."""
+def finding(start, end, score, source, entity_type, text, description="NULL", reason="NULL") -> str:
+    """SQL of one finding struct."""
     values = (start, end, score, source, entity_type, text, description, reason)
     types = ("int", "int", "double", "string", "string", "string", "string", "string")
-    return F.struct(
-        *[
-            (v if isinstance(v, Column) else F.lit(v)).cast(t).alias(name)
-            for v, t, name in zip(values, types, FINDING_FIELDS, strict=True)
-        ]
+    fields = ", ".join(
+        f"'{name}', CAST({value} AS {kind})" for name, value, kind in zip(FINDING_FIELDS, values, types, strict=True)
     )
+    return f"named_struct({fields})"
