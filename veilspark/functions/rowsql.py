@@ -43,7 +43,7 @@ def strings(values) -> str:
 def column(body: Callable[..., str], **args: Column) -> Column:
     """Column of a SQL expression over Column arguments, each evaluated once."""
     row = fresh("row")
-    sql = body(**{name: f"{row}.{name}" for name in args})
+    sql = body(*[f"{row}.{name}" for name in args])
     bound = F.array(F.struct(*[value.alias(name) for name, value in args.items()]))
     return F.element_at(F.call_function("transform", bound, F.expr(f"{row} -> {sql}")), 1)
 

@@ -49,8 +49,8 @@ EXTRACTORS: dict[str, Callable[[bytes], str]] = {".docx": docx_text}
 def list_files(spark: SparkSession, path: str, **options) -> DataFrame:
     """One row per file: metadata, content and `reject_reason` (NULL when admitted).
 
-    The reason depends on path and length only. Spark reads a file's bytes only
-    where `content` is used, so a rejected file is never read.
+    The reason depends on path and length only. A query that does not use
+    `content` reads no file at all.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).options(**options).load(path)
     return files.select(
@@ -97,7 +97,8 @@ def read_files(
     """
     use = {**EXTRACTORS, **(extractors or {})}
     files = list_files(spark, path, **options)
-    admitted = files.filter(F.col("reject_reason").isNull())
+    # the size test on its own reaches the reader, which then skips the bytes
+    admitted = files.filter((F.col("file_size") <= MAX_SIZE) & F.col("reject_reason").isNull())
     binary = F.col("file_type").isin(*SOURCE_TYPES)
     direct = admitted.filter(~binary).select(
         *FILE_COLUMNS, decode_text(F.col("content")).alias("text"), F.lit(False).alias("extracted"), F.lit("text").alias("source_type")
