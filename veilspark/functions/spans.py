@@ -54,3 +54,7 @@ def spans(text: Column, pattern: str | Column) -> Column:
 def guarded(hint: Column, value: Column, otherwise: Column) -> Column:
     """Run a costly expression only on rows that pass a cheap test."""
     return F.when(hint, value).otherwise(otherwise)
+
+
+def no_spans() -> Column:
+    return F.expr(empty(SPAN))
