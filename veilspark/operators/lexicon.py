@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from veilspark.functions.rowsql import column, each, each_at, empty, fold_emit, keep, let, lit, struct
 from veilspark.functions.spans import spans_of
 from veilspark.functions.text import RUNS, W_END, W_START, WORD
-from veilspark.operators.propagate import PARTICLES
 from veilspark.operators.rules import Rule, detect_sql, sort_by_start
 from veilspark.operators.structured import BSN, EMAIL, NL_PHONE, java_form
 from veilspark.schema import LEXICON, NO_FINDINGS, PATTERN, finding
@@ -123,7 +122,10 @@ def lexicon_findings(text: str, lexicon: Lexicon, layer: str = LEXICON) -> str:
     )
 
 
-_PARTICLE = "(?:" + "|".join(sorted(set(PARTICLES) | {"'t", "el", "al", "da", "di"}, key=lambda p: (-len(p), p))) + ")"
+# Particles inside a name; prepositions such as `in` or `uit` join a name to a
+# place and are left out.
+NAME_PARTICLES = ("van", "von", "de", "der", "den", "des", "het", "'t", "ten", "ter", "te", "la", "le", "du", "el", "al", "da", "di")
+_PARTICLE = "(?:" + "|".join(NAME_PARTICLES) + ")"
 _CAPITAL = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)*"
 _NAME_TAIL = rf"(?:(?: {_PARTICLE}){{0,3}} {_CAPITAL}){{0,4}}"
 
