@@ -146,20 +146,20 @@ def person_findings(text: str, lexicon: Lexicon, layer: str = LEXICON) -> str:
 _DAY, _MONTH, _YEAR = r"(?:0?[1-9]|[12][0-9]|3[01])", r"(?:0?[1-9]|1[0-2])", r"(?:(?:19|20)[0-9]{2}|[0-9]{2})"
 DATE_NUMERIC = Rule(
     "datum", W_START + rf"{_DAY}(?:-{_MONTH}-|/{_MONTH}/|\.{_MONTH}\.){_YEAR}" + W_END,
-    LEXICON_SCORE, hint=r"[0-9][-/.][0-9]{1,2}[-/.][0-9]{2}",
+    LEXICON_SCORE, digits=True, hint=r"[0-9][-/.][0-9]{1,2}[-/.][0-9]{2}",
 )
 DATE_WORDS = Rule(
     "datum", W_START + rf"{_DAY} (?i:{'|'.join(MONTHS)})(?: (?:19|20)[0-9]{{2}})?" + W_END,
-    LEXICON_SCORE, hint=rf"[0-9] (?i:{'|'.join(MONTHS)})",
+    LEXICON_SCORE, digits=True, hint=rf"[0-9] (?i:{'|'.join(MONTHS)})",
 )
 AGE = Rule(
     "leeftijd", W_START + r"(?:1[01][0-9]|[1-9]?[0-9])(?=(?: |-)?(?i:jaar|jarige)(?![\p{L}\p{N}_]))",
-    LEXICON_SCORE, hint=r"(?i)[0-9][ -]?(?:jaar|jarige)",
+    LEXICON_SCORE, digits=True, hint=r"(?i)[0-9][ -]?(?:jaar|jarige)",
 )
 PATIENT = Rule(
     "patientnummer",
     r"(?<=(?i:patient|patiënt|patientnr|patiëntnr|patientnummer|patiëntnummer)[.:]? {0,2}[.:]? {0,2})[0-9]{5,10}" + W_END,
-    LEXICON_SCORE, hint=r"(?i)pati[eë]nt",
+    LEXICON_SCORE, digits=True, hint=r"(?i)pati[eë]nt",
 )
 LEXICON_RULES = (
     DATE_NUMERIC,

@@ -21,8 +21,9 @@ from veilspark.schema import FINDING, NO_FINDINGS, PATTERN, finding
 class Rule:
     """A pattern rule.
 
-    `literals` (any must occur) and `hint` (a short regex) are cheap tests on the
-    text; rows that fail them never run the pattern. `check` is a SQL condition
+    `literals` (any must occur), `digits` (some digit must occur) and `hint` (a
+    short regex) are cheap tests on the text; rows that fail them never run the
+    pattern. `check` is a SQL condition
     on `value`, the matched text; `checked_score` replaces the score of a match
     that passes it. `refine` is a SQL expression that gives a leading part of
     `value`, or NULL to drop the match. `context` words before a match raise its
@@ -37,6 +38,7 @@ class Rule:
     checked_score: float | None = None
     refine: str | None = None
     literals: tuple[str, ...] = ()
+    digits: bool = False
     hint: str | None = None
     name: str | None = None
 
@@ -61,11 +63,15 @@ class Registry:
         return [r for r in self.rules if not wanted or r.entity in wanted]
 
 
-def guard(text: str, literals: tuple[str, ...], hint: str | None) -> str:
-    """SQL: the cheap tests of a rule."""
-    tests = []
-    if literals:
-        tests.append("(" + " OR ".join(f"contains({text}, {lit(v)})" for v in literals) + ")")
+def any_of(text: str, literals: Iterable[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, {lit(v)})" for v in literals) + ")"
+
+
+def guard(text: str, literals: tuple[str, ...], hint: str | None, *more: str) -> str:
+    """SQL: the cheap tests of a rule, cheapest first. A literal search is about a
+    tenth of the cost of a regex, and a failed test ends the row's work."""
+    tests = [any_of(text, literals)] if literals else []
+    tests += more
     if hint is not None:
         tests.append(f"{text} RLIKE {lit(hint)}")
     return " AND ".join(tests) or "true"
@@ -73,11 +79,19 @@ def guard(text: str, literals: tuple[str, ...], hint: str | None) -> str:
 
 def _hits(text: str, rules: list[Rule]) -> str:
     """Per rule with matches: its number and its matched texts."""
-    parts = [
-        struct(rule=str(i), ms=f"CASE WHEN {guard(text, r.literals, r.hint)} THEN {matches_of(text, lit(r.pattern))} END")
-        for i, r in enumerate(rules)
-    ]
-    return keep(f"array({', '.join(parts)})", lambda h: f"size({h}.ms) > 0")
+
+    def parts(has_digit: str) -> str:
+        made = [
+            struct(
+                rule=str(i),
+                ms=f"CASE WHEN {guard(text, r.literals, r.hint, *([has_digit] if r.digits else []))} "
+                f"THEN {matches_of(text, lit(r.pattern))} END",
+            )
+            for i, r in enumerate(rules)
+        ]
+        return keep(f"array({', '.join(made)})", lambda h: f"size({h}.ms) > 0")
+
+    return let(f"{text} RLIKE '[0-9]'", parts)
 
 
 def _infos(rules: list[Rule]) -> str:

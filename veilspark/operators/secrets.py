@@ -12,7 +12,7 @@ from veilspark.functions.checks import entropy_of
 from veilspark.functions.rowsql import column, each, each_at, empty, keep, let, lit, struct
 from veilspark.functions.spans import spans_of
 from veilspark.functions.text import A_END, A_START
-from veilspark.operators.rules import guard
+from veilspark.operators.rules import any_of, guard
 from veilspark.schema import NO_FINDINGS, SECRET, finding
 
 SECRET_SCORE = 1.0
@@ -21,8 +21,9 @@ SECRET_SCORE = 1.0
 @dataclass(frozen=True)
 class SecretRule:
     """A credential pattern. The secret is capture group `group`; `min_entropy`
-    and `allow` (regexes on the secret) drop look-alikes; `literals` / `hint` are
-    cheap tests on the text."""
+    and `allow` (regexes on the secret) drop look-alikes. `literals`, `folded`
+    (literals without case, given in lower case) and `hint` are cheap tests on the
+    text."""
 
     name: str
     pattern: str
@@ -31,11 +32,12 @@ class SecretRule:
     min_entropy: float = 0.0
     allow: tuple[str, ...] = ()
     literals: tuple[str, ...] = ()
+    folded: tuple[str, ...] = ()
     hint: str | None = None
 
 
 _KEY = r"(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|wachtwoord)"
-_KEY_HINT = r"(?i)pass|pwd|secret|token|key|wachtwoord"
+_KEY_WORDS = ("pass", "pwd", "secret", "token", "key", "wachtwoord")
 
 # Rules written from the published description of what each one finds.
 CUSTOM_RULES = (
@@ -50,13 +52,14 @@ CUSTOM_RULES = (
         A_START + r"(?i:basic)\s+([A-Za-z0-9+/]{10,}={0,2})(?![A-Za-z0-9+/=])",
         description="Basic authorization header with an encoded credential",
         allow=(r"^[a-z]+$", r"^[A-Z]?[a-z]+$"),
-        hint=r"(?i)basic\s",
+        folded=("basic",),
     ),
     SecretRule(
         "quoted-secret-assignment",
         r"(?i)" + _KEY + r"""["']?\s*(?:=>|:=|[:=])\s*["']([^"'\s]{8,})["']""",
         description="Password or secret in a quoted assignment",
-        hint=_KEY_HINT,
+        folded=_KEY_WORDS,
+        hint=r"""[=:>]\s*["']""",
     ),
     SecretRule(
         "plain-text-credential",
@@ -65,13 +68,15 @@ CUSTOM_RULES = (
         description="Login, password or user name followed by its value",
         # plain words and placeholders are no credentials
         allow=(r"^\p{L}+[.!?]?$", r"^\p{L}+(?:-\p{L}+)+$", r"^[\p{L}_]+$"),
-        hint=r"(?i)login|password|username|wachtwoord|gebruikersnaam",
+        folded=("login", "password", "username", "wachtwoord", "gebruikersnaam"),
     ),
     SecretRule(
         "unquoted-credential",
         r"(?i)" + _KEY + r"""[a-z0-9_]{0,32}=([^\s"'`&;,<>]{8,})""",
         description="Unquoted key=value credential",
-        hint=r"(?i)(?:pass|pwd|secret|token|key|wachtwoord)[a-z0-9_]*=",
+        literals=("=",),
+        folded=_KEY_WORDS,
+        hint=r"[A-Za-z0-9_]=[^\s]",
     ),
     SecretRule(
         "workflow-credential-reference",
@@ -84,6 +89,7 @@ CUSTOM_RULES = (
         r""":\s*"([0-9a-fA-F]{32,})\"""",
         description="High-entropy hex string in a JSON value",
         min_entropy=3.0,
+        literals=('"',),
         hint=r'"[0-9a-fA-F]{32}',
     ),
     SecretRule(
@@ -97,22 +103,22 @@ CUSTOM_RULES = (
 
 # Publicly documented credential formats.
 DEFAULT_RULES = (
-    SecretRule("cloud-access-key", A_START + r"((?:AKIA|ASIA|ABIA|ACCA)[A-Z2-7]{16})" + A_END, hint=r"A[KSBC]IA|ACCA"),
-    SecretRule("vcs-token", A_START + r"(gh[pousr]_[0-9A-Za-z]{36})", hint=r"gh[pousr]_"),
+    SecretRule("cloud-access-key", A_START + r"((?:AKIA|ASIA|ABIA|ACCA)[A-Z2-7]{16})" + A_END, literals=("AKIA", "ASIA", "ABIA", "ACCA")),
+    SecretRule("vcs-token", A_START + r"(gh[pousr]_[0-9A-Za-z]{36})", literals=("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     SecretRule("vcs-fine-grained-token", A_START + r"(github_pat_[0-9A-Za-z_]{82})", literals=("github_pat_",)),
     SecretRule("ci-access-token", A_START + r"(glpat-[0-9A-Za-z_-]{20})", literals=("glpat-",)),
-    SecretRule("chat-token", A_START + r"(xox[abeoprs]-[0-9A-Za-z-]{10,})", hint=r"xox[abeoprs]-"),
-    SecretRule("payment-key", A_START + r"((?:sk|rk)_(?:test|live|prod)_[0-9A-Za-z]{10,99})" + A_END, hint=r"k_(?:test|live|prod)_"),
+    SecretRule("chat-token", A_START + r"(xox[abeoprs]-[0-9A-Za-z-]{10,})", literals=("xox",)),
+    SecretRule("payment-key", A_START + r"((?:sk|rk)_(?:test|live|prod)_[0-9A-Za-z]{10,99})" + A_END, literals=("k_test_", "k_live_", "k_prod_")),
     SecretRule("maps-api-key", A_START + r"(AIza[0-9A-Za-z_-]{35})" + r"(?![0-9A-Za-z_-])", literals=("AIza",)),
     SecretRule(
         "json-web-token",
         A_START + r"(ey[0-9A-Za-z_-]{17,}\.ey[0-9A-Za-z/_-]{17,}\.[0-9A-Za-z/_-]{10,}={0,2})",
-        hint=r"ey[0-9A-Za-z_-]{17,}\.ey",
+        literals=(".ey",),
     ),
     SecretRule(
         "private-key",
         r"(?i:(-----BEGIN[ A-Z0-9_-]{0,100}PRIVATE KEY(?: BLOCK)?-----[\s\S]{64,}?KEY(?: BLOCK)?-----))",
-        hint=r"-----BEGIN",
+        folded=("-----begin",),
     ),
 )
 
@@ -145,7 +151,7 @@ def _reports(text: str, rules: list[SecretRule], allow: tuple[str, ...]) -> str:
     """array<struct<rule,description,secret>> in rule order, then text order;
     duplicates kept. Allowlisted and low-entropy matches are dropped."""
 
-    def reported(rule: SecretRule) -> str:
+    def reported(rule: SecretRule, lowered: str) -> str:
         def wanted(s: str) -> str:
             tests = [f"{s} <> ''"]
             if allow or rule.allow:
@@ -155,13 +161,16 @@ def _reports(text: str, rules: list[SecretRule], allow: tuple[str, ...]) -> str:
             return " AND ".join(tests)
 
         found = keep(f"regexp_extract_all({text}, {lit(rule.pattern)}, {rule.group})", wanted)
+        folded = [any_of(lowered, rule.folded)] if rule.folded else []
         return (
-            f"CASE WHEN {guard(text, rule.literals, rule.hint)} THEN "
+            f"CASE WHEN {guard(text, rule.literals, rule.hint, *folded)} THEN "
             + each(found, lambda s: struct(rule=lit(rule.name), description=lit(rule.description), secret=s))
             + f" ELSE {empty(_REPORT)} END"
         )
 
-    return f"concat({', '.join(reported(r) for r in rules)})" if rules else empty(_REPORT)
+    if not rules:
+        return empty(_REPORT)
+    return let(f"lower({text})", lambda low: f"concat({', '.join(reported(r, low) for r in rules)})")
 
 
 _REPORT = "struct<rule:string,description:string,secret:string>"

@@ -34,21 +34,21 @@ def longest_valid_iban(match: str) -> str:
 BSN = Rule(
     "BSN", r"\b[0-9]{9}\b", 0.3,
     context=("bsn", "burgerservicenummer", "sofinummer", "sofi"),
-    check=bsn_test("value"), checked_score=0.85, hint=r"[0-9]{9}",
+    check=bsn_test("value"), checked_score=0.85, digits=True, hint=r"[0-9]{9}",
 )
 KVK = Rule(
     "KVK_NUMBER", r"\b[0-9]{8}\b", 0.15,
     context=("kvk", "kamer van koophandel", "kvk-nummer", "handelsregister"),
-    hint=r"[0-9]{8}",
+    digits=True, hint=r"[0-9]{8}",
 )
 _NL_PHONE_CONTEXT = ("telefoon", "telefoonnummer", "mobiel", "bellen", "phone", "tel", "mobile")
 NL_PHONE = (
     Rule("NL_PHONE_NUMBER", r"(?:\+31|0031)[\s\-]?[1-9][\s\-]?(?:[0-9][\s\-]?){7,8}", 0.7,
-         context=_NL_PHONE_CONTEXT, hint=r"\+31|0031", name="NL_PHONE_INTL"),
+         context=_NL_PHONE_CONTEXT, literals=("+31", "0031"), name="NL_PHONE_INTL"),
     Rule("NL_PHONE_NUMBER", r"\b06[\s\-]?(?:[0-9][\s\-]?){8}\b", 0.7,
          context=_NL_PHONE_CONTEXT, literals=("06",), hint=r"06[\s\-]?(?:[0-9][\s\-]?){8}", name="NL_PHONE_MOBILE"),
     Rule("NL_PHONE_NUMBER", r"\b0[1-9][0-9][\s\-]?(?:[0-9][\s\-]?){6,7}\b", 0.5,
-         context=_NL_PHONE_CONTEXT, hint=r"0[1-9][0-9][\s\-]?(?:[0-9][\s\-]?){6}", name="NL_PHONE_LANDLINE"),
+         context=_NL_PHONE_CONTEXT, digits=True, hint=r"0[1-9][0-9][\s\-]?(?:[0-9][\s\-]?){6}", name="NL_PHONE_LANDLINE"),
 )
 
 # White space as Python's `\s` sees it, for use inside a character class.
@@ -80,6 +80,7 @@ IBAN = Rule(
     W_START + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + W_END,
     1.0,
     refine=longest_valid_iban("value"),
+    digits=True,
     hint=r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}",
 )
 CARD = Rule(
@@ -87,10 +88,11 @@ CARD = Rule(
     W_START + r"(?:4[0-9]{3}|5[0-5][0-9]{2}|6[0-9]{3}|1[0-9]{3}|3[0-9]{3})[- ]?[0-9]{3,4}[- ]?[0-9]{3,4}[- ]?[0-9]{3,5}" + W_END,
     1.0,
     check=luhn_test("value"),
+    digits=True,
     hint=r"[0-9]{4}[- ]?[0-9]{3}",
 )
 IPV4 = Rule(
-    "IP_ADDRESS", W_START + rf"(?:{_OCTET}\.){{3}}{_OCTET}" + W_END, 0.6, hint=r"[0-9]\.[0-9]{1,3}\.", name="IPV4"
+    "IP_ADDRESS", W_START + rf"(?:{_OCTET}\.){{3}}{_OCTET}" + W_END, 0.6, digits=True, hint=r"[0-9]\.[0-9]{1,3}\.", name="IPV4"
 )
 IPV6 = Rule(
     "IP_ADDRESS",
@@ -98,7 +100,8 @@ IPV6 = Rule(
     r"|(?:[0-9A-Fa-f]{1,4}:){1,7}:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?"
     r"|::(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4})(?![\p{L}\p{N}_:.])",
     0.6,
-    hint=r"::|(?:[0-9A-Fa-f]{1,4}:){7}",
+    literals=(":",),
+    hint=r":[0-9A-Fa-f]{0,4}:",
     name="IPV6",
 )
 URL_SCHEME = Rule(
@@ -107,13 +110,14 @@ URL_SCHEME = Rule(
 )
 URL_BARE = Rule(
     "URL", W_START + r"(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62})\.){1,8}" + _TLD + r"(?:/[^\s<>\"'`]*[^\s<>\"'`.,;:!?)])?(?![\p{L}\p{N}_\-])",
-    0.5, hint=r"\." + _TLD, name="URL_BARE",
+    0.5, literals=(".",), hint=r"\." + _TLD, name="URL_BARE",
 )
 PHONE = Rule(
     "PHONE_NUMBER",
     r"(?<![\p{L}\p{N}_+])\+[1-9][0-9]{0,2}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9](?:[ .\-]?[0-9]){5,12}" + W_END,
     0.4,
     context=("phone", "number", "telephone", "cell", "cellphone", "mobile", "call"),
+    literals=("+",),
     hint=r"\+[1-9]",
 )
 

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use the whole cluster for an input that has very few splits.
+    """Deal the rows of a small input out evenly over the cores.
 
-    The scan is bound by CPU, and a small table of one row group would run as one
-    task. An input that already gives a fair share of the cores something to do
-    is left alone: moving its text would cost more than it gains.
+    Spark sizes splits so that an input below cores x maxPartitionBytes gets at
+    most one split per core, but a row group cannot be split: a table of one row
+    group would run as one task. Scans are bound by CPU, so for such an input the
+    shuffle pays. A larger input has more splits than cores and is left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 4 <= cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
 
 
 def read_table(spark: SparkSession, path: str, format: str = "parquet", **options) -> DataFrame:
