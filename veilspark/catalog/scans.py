@@ -11,6 +11,7 @@ from veilspark.operators.allowlist import drop_allowed
 from veilspark.operators.lexicon import PERSON_TAG, Lexicon
 from veilspark.plans.files import scan_files
 from veilspark.plans.scan import ScanOptions, scan
+from veilspark.plans.wide import scan_mixed
 from veilspark.schema import LEXICON, PATTERN
 from veilspark.sources.sinks import findings_table
 
@@ -51,14 +52,20 @@ query(
 
 # The lexicon layer of these documents holds only addresses; a claim of the last
 # layer is checked by the propagation queries.
-query(
-    "f3_scan_deep",
-    f"""SELECT doc_id, {N_SECRET} AS n_secret, {N_PATTERN} AS n_pattern, CAST(len(regexp_extract_all(text, {q(EMAIL_RE2)})) AS BIGINT) AS n_lexicon,
-        len({SECRETS_OF}) + len(regexp_extract_all(text, {q(EMAIL_RE2)})) + len(regexp_extract_all(text, {q(IPV4_RE2)})) + len({CARDS}) > 0 AS cross_referenced FROM documents""",
-)(
-    lambda spark, sf_dir: scan(documents(spark, sf_dir), "deep", options=ScanOptions(entities=SUBSET)).select(
-        "doc_id", "n_secret", "n_pattern", "n_lexicon", F.col("n_xref").isNotNull().alias("cross_referenced")
-    )
+DEEP_SQL = f"""SELECT doc_id, {N_SECRET} AS n_secret, {N_PATTERN} AS n_pattern, CAST(len(regexp_extract_all(text, {q(EMAIL_RE2)})) AS BIGINT) AS n_lexicon,
+        len({SECRETS_OF}) + len(regexp_extract_all(text, {q(EMAIL_RE2)})) + len(regexp_extract_all(text, {q(IPV4_RE2)})) + len({CARDS}) > 0 AS cross_referenced FROM documents"""
+
+
+def deep_counts(scanned):
+    return scanned.select("doc_id", "n_secret", "n_pattern", "n_lexicon", F.col("n_xref").isNotNull().alias("cross_referenced"))
+
+
+query("f3_scan_deep", DEEP_SQL)(
+    lambda spark, sf_dir: deep_counts(scan(documents(spark, sf_dir), "deep", options=ScanOptions(entities=SUBSET)))
+)
+# texts of more than 8 kB through the plan for long texts
+query("f3_scan_deep_long_texts", DEEP_SQL)(
+    lambda spark, sf_dir: deep_counts(scan_mixed(documents(spark, sf_dir), "deep", options=ScanOptions(entities=SUBSET), long_bytes=8000))
 )
 query("f3_scan_deep_all_entities")(
     lambda spark, sf_dir: scan(documents(spark, sf_dir), "deep", options=ScanOptions(lexicon=Lexicon.of([("Jan", PERSON_TAG)]))).select(

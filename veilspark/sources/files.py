@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import io
+import os
 import re
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,13 +48,55 @@ SOURCE_TYPES = {".docx": "Word", ".pdf": "PDF"}
 EXTRACTORS: dict[str, Callable[[bytes], str]] = {".docx": docx_text}
 
 
-def list_files(spark: SparkSession, path: str, **options) -> DataFrame:
+def overlooked_files(spark: SparkSession, path: str) -> DataFrame | None:
+    """Files that Spark's own listing leaves out: names that start with `.` or `_`
+    (such as `.env`) and empty files. The listing gives metadata only; the bytes are
+    read in tasks."""
+    filesystem, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path)}")
+    prefix = path.split("://")[0] if "://" in path else "file"
+
+    def hidden(info: fs.FileInfo) -> bool:
+        inner = info.path[len(root) :].split("/")
+        return info.size == 0 or any(part.startswith((".", "_")) for part in inner)
+
+    if filesystem.get_file_info(root).type != fs.FileType.Directory:
+        return None
+    found = [
+        (f"{prefix}://{i.path}" if prefix != "file" else f"file:{i.path}", i.mtime, i.size)
+        for i in filesystem.get_file_info(fs.FileSelector(root, recursive=True))
+        if i.type == fs.FileType.File and hidden(i)
+    ]
+    if not found:
+        return None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            contents = []
+            for name, size in zip(batch["path"], batch["length"], strict=True):
+                reader, inner = fs.FileSystem.from_uri(name.replace("file:", "file://", 1) if name.startswith("file:/") else name)
+                with reader.open_input_stream(inner) as stream:
+                    contents.append(stream.read() if size <= MAX_SIZE else b"")
+            yield batch.assign(content=contents)
+
+    listed = spark.createDataFrame(found, "path string, modificationTime timestamp, length bigint").repartition(
+        max(1, min(len(found), spark.sparkContext.defaultParallelism))
+    )
+    return listed.mapInPandas(run, "path string, modificationTime timestamp, length bigint, content binary")
+
+
+def list_files(spark: SparkSession, path: str, include_hidden: bool = True, **options) -> DataFrame:
     """One row per file: metadata, content and `reject_reason` (NULL when admitted).
 
+    `include_hidden` adds the files that Spark's listing leaves out; it needs a
+    path that pyarrow can open.
+
     The reason depends on path and length only. A query that does not use
     `content` reads no file at all.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).options(**options).load(path)
+    overlooked = overlooked_files(spark, path) if include_hidden and "pathGlobFilter" not in options else None
+    if overlooked is not None:
+        files = files.filter(F.col("length") > 0).unionByName(overlooked)
     return files.select(
         F.col("path"),
         file_name(F.col("path")).alias("filename"),
