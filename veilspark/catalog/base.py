@@ -45,8 +45,14 @@ def widened(df: DataFrame) -> DataFrame:
     )
 
 
+def plain(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as it is read, for work that shuffles or filters at once."""
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(read_table(spark, f"{sf_dir}/{name}.parquet"))
+    """A table for costly work on its rows."""
+    return spread(plain(spark, sf_dir, name))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veilspark.catalog.base import bsn_sql, derived, derived_sql, query, spans_sql, table
+from veilspark.catalog.base import bsn_sql, derived, derived_sql, plain, query, spans_sql
 from veilspark.catalog.detection import BSN9, EMAIL_RE2, MOB8
 from veilspark.operators import lexicon as lex
 
@@ -15,8 +15,8 @@ PLACE_SQL = derived_sql("customer", "c_custkey", PLACE_TEXT)
 
 
 def nation_list(spark, sf_dir):
-    nations = table(spark, sf_dir, "nation").select(F.col("n_name").alias("term"), F.lit(lex.PLACE_TAG).alias("tag"))
-    regions = table(spark, sf_dir, "region").select(F.col("r_name").alias("term"), F.lit(lex.ORG_TAG).alias("tag"))
+    nations = plain(spark, sf_dir, "nation").select(F.col("n_name").alias("term"), F.lit(lex.PLACE_TAG).alias("tag"))
+    regions = plain(spark, sf_dir, "region").select(F.col("r_name").alias("term"), F.lit(lex.ORG_TAG).alias("tag"))
     return nations.unionByName(regions)
 
 

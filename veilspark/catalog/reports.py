@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veilspark.catalog.base import documents, q, query, spans_sql, table
+from veilspark.catalog.base import documents, plain, q, query, spans_sql, table
 from veilspark.catalog.detection import DOCS, EMAIL_RE2, IPV4_RE2
 from veilspark.catalog.intake import EMAIL_ONLY, write_text_files
 from veilspark.functions.text import LOG_MASK, mask_log
@@ -51,33 +51,33 @@ NOW = "TIMESTAMP '2024-01-31 00:00:00'"
 query(
     "g5_retention",
     f"SELECT event_id, user_id, ts FROM events WHERE ts > {NOW} - INTERVAL 48 HOURS",
-)(lambda spark, sf_dir: audit.retain(table(spark, sf_dir, "events"), F.expr(NOW)).select("event_id", "user_id", "ts"))
+)(lambda spark, sf_dir: audit.retain(plain(spark, sf_dir, "events"), F.expr(NOW)).select("event_id", "user_id", "ts"))
 query(
     "g5_recent_history",
     f"""SELECT event_id, user_id, ts, CAST(rank AS BIGINT) AS rank FROM (
       SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events
       WHERE ts > {NOW} - INTERVAL 720 HOURS) WHERE rank <= 50""",
 )(
-    lambda spark, sf_dir: audit.recent_history(table(spark, sf_dir, "events"), F.expr(NOW), tie="event_id", hours=720).select(
+    lambda spark, sf_dir: audit.recent_history(plain(spark, sf_dir, "events"), F.expr(NOW), tie="event_id", hours=720).select(
         "event_id", "user_id", "ts", "rank"
     )
 )
 RATES = """SELECT user_id, time_bucket(INTERVAL '{w}', ts, TIMESTAMP '1970-01-01') AS window_start, time_bucket(INTERVAL '{w}', ts, TIMESTAMP '1970-01-01') + INTERVAL '{w}' AS window_end,
     CAST(count(*) AS BIGINT) AS n_requests FROM events GROUP BY ALL HAVING count(*) > {n}"""
 query("g6_rate_report", RATES.format(w="1 hour", n=1))(
-    lambda spark, sf_dir: audit.rate_report(table(spark, sf_dir, "events"), window="1 hour", limit=1)
+    lambda spark, sf_dir: audit.rate_report(plain(spark, sf_dir, "events"), window="1 hour", limit=1)
 )
 query(
     "g6_rate_report_sliding",
     """SELECT user_id, window_start, window_start + INTERVAL '2 hour' AS window_end, CAST(count(*) AS BIGINT) AS n_requests FROM (
       SELECT user_id, time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') - to_hours(CAST(k AS BIGINT)) AS window_start FROM events, range(2) r(k)) GROUP BY ALL HAVING count(*) > 2""",
-)(lambda spark, sf_dir: audit.rate_report(table(spark, sf_dir, "events"), window="2 hours", slide="1 hour", limit=2))
+)(lambda spark, sf_dir: audit.rate_report(plain(spark, sf_dir, "events"), window="2 hours", slide="1 hour", limit=2))
 SESSIONS = """
     SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL '1 hour' AS window_end, CAST(count(*) AS BIGINT) AS n_requests FROM (
       SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM (
         SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '1 hour' THEN 0 ELSE 1 END AS opens FROM events))
     GROUP BY user_id, k HAVING count(*) > 2"""
-query("g6_rate_report_sessions", SESSIONS)(lambda spark, sf_dir: audit.session_report(table(spark, sf_dir, "events"), gap="1 hour", limit=2))
+query("g6_rate_report_sessions", SESSIONS)(lambda spark, sf_dir: audit.session_report(plain(spark, sf_dir, "events"), gap="1 hour", limit=2))
 
 # -- streaming ----------------------------------------------------------------
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veilspark.catalog.base import documents, luhn_sql, q, query, spans_sql, table
+from veilspark.catalog.base import documents, luhn_sql, plain, q, query, spans_sql, table
 from veilspark.catalog.detection import CARD_RE2, DOCS, EMAIL_RE2, IPV4_RE2, TOKEN_RE2
 from veilspark.catalog.intake import DEPTH, write_text_files
 from veilspark.operators.allowlist import drop_allowed
@@ -149,7 +149,7 @@ def without_allowed(spark, sf_dir):
     """Literal allowlist of any size as an anti join on the matched text."""
     scanned = scan(documents(spark, sf_dir), "standard", options=ScanOptions(entities=("IP_ADDRESS",), secret_rules=()))
     rows = findings_table(scanned, debug=True, offsets=True).withColumn("last", F.expr("try_cast(element_at(split(text, '[.]'), -1) AS bigint)"))
-    allowed = table(spark, sf_dir, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("last"))
+    allowed = plain(spark, sf_dir, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("last"))
     return drop_allowed(rows, allowed, "last").select("doc_id", "start", "text")
 
 

@@ -67,7 +67,7 @@ def merge_sql(findings: str) -> str:
         replaces = f"{f}.end > {last}.end AND {_better(f, last)}"
         return _closing(f"CASE WHEN {replaces} THEN {f} ELSE {last} END", last, f)
 
-    return f"CASE WHEN size({findings}) > 0 THEN {each(_closed(ordered_sql(findings), step), _plain)} ELSE {NO_FINDINGS} END"
+    return f"CASE WHEN size({findings}) > 1 THEN {each(_closed(ordered_sql(findings), step), _plain)} ELSE {findings} END"
 
 
 def cover_sql(findings: str) -> str:
@@ -84,7 +84,7 @@ def cover_sql(findings: str) -> str:
         best = let(f"CASE WHEN {_better(f, last)} THEN {f} ELSE {last} END", joined)
         return _closing(best, last, f)
 
-    return f"CASE WHEN size({findings}) > 0 THEN {each(_closed(ordered_sql(findings), step), _plain)} ELSE {NO_FINDINGS} END"
+    return f"CASE WHEN size({findings}) > 1 THEN {each(_closed(ordered_sql(findings), step), _plain)} ELSE {findings} END"
 
 
 def merge_findings(findings: Column) -> Column:
@@ -93,13 +93,13 @@ def merge_findings(findings: Column) -> Column:
     An overlapping finding replaces the kept one only if it ends later and has a
     higher score, or the same score and a higher priority.
     """
-    return column(merge_sql, findings=findings)
+    return column(merge_sql, findings=findings.cast(FINDINGS))
 
 
 def cover_findings(findings: Column) -> Column:
     """Opt-in: every overlapping cluster becomes one finding over its whole extent,
     so no detected character stays. Type, layer and text come from the best member."""
-    return column(cover_sql, findings=findings)
+    return column(cover_sql, findings=findings.cast(FINDINGS))
 
 
 def with_islands(df: DataFrame, key: list[str], start: str = "start", end: str = "end") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 
 from veilspark.functions.rowsql import column, each, each_at, empty, fold_emit, keep, let, lit, some, struct
 from veilspark.functions.spans import spans_of
-from veilspark.functions.text import W_BOUND, W_END, W_START, WORD
+from veilspark.functions.text import W_BOUND, W_END, W_START, WORD, fold_case, segment_slice, segments
 from veilspark.operators.secrets import quoted_sql
 from veilspark.schema import CROSSREF, FINDING, NO_FINDINGS, SPAN, finding
 
@@ -135,9 +135,35 @@ def _first_claims(seeds: str) -> str:
     return f"array_sort({fold_emit(f'array_sort({keyed})', 'NULL', step, 'string', _SEED)}.out)"
 
 
+_PAIR = "struct<start:int,end:int>"
+
+
+def uncovered_text(text: str, findings: str) -> str:
+    """SQL: what no finding covers, the gaps on lines of their own.
+
+    A place that can still be claimed lies whole in one gap, so a value that does
+    not stand here needs no pattern search.
+    """
+
+    def extents(length: str) -> str:
+        def clipped(f: str) -> str:
+            return struct(start=f"greatest(0, least({f}.start, {length}))", end=f"greatest(0, least({f}.end, {length}))")
+
+        return f"array_sort({keep(each(findings, clipped), lambda c: f'{c}.end > {c}.start')})"
+
+    def step(upto: str, c: str) -> tuple[str, str]:
+        return f"greatest({upto}, {c}.end)", f"array({struct(start=upto, end=f'{c}.start')})"
+
+    def joined(r: str, segs: str) -> str:
+        whole = f"concat({r}.out, array({struct(start=f'{r}.state', end=f'length({text})')}))"
+        return f"array_join({each(whole, lambda g: segment_slice(segs, f'{g}.start', f'{g}.end'))}, '\\n')"
+
+    gaps = let(f"length({text})", lambda n: fold_emit(extents(n), "0", step, "int", _PAIR))
+    return let(gaps, lambda r: let(segments(text), lambda segs: joined(r, segs)))
+
+
 def propagate_sql(text: str, findings: str) -> str:
     """SQL of `propagate`."""
-    pair = "array<struct<start:int,end:int>>"
 
     def extents(items: str) -> str:
         return each(items, lambda o: struct(start=f"{o}.start", end=f"{o}.end"))
@@ -154,8 +180,12 @@ def propagate_sql(text: str, findings: str) -> str:
 
         return let(uncovered_sql(occurrences_sql(text, f"{s}.value"), covered), claim)
 
-    folded = fold_emit(seeds_sql(findings), extents(findings), step, pair, FINDING)
-    return f"CASE WHEN size({findings}) > 0 THEN {folded}.out ELSE {NO_FINDINGS} END"
+    def run(rest: str) -> str:
+        present = keep(seeds_sql(findings), lambda s: f"contains({rest}, {fold_case(f'{s}.value')})")
+        return fold_emit(present, extents(findings), step, f"array<{_PAIR}>", FINDING) + ".out"
+
+    claimed = let(fold_case(uncovered_text(text, findings)), run)
+    return f"CASE WHEN size({findings}) > 0 THEN {claimed} ELSE {NO_FINDINGS} END"
 
 
 def propagate(text: Column, findings: Column) -> Column:

@@ -13,16 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.rowsql import BLOCK, column, each, each_at, empty, fold_emit, fresh, keep, let, lit, some, struct
-from veilspark.functions.text import RUNS, WORD
+from veilspark.functions.text import RUNS, WORD, fold_case
 from veilspark.operators.merge import with_islands
 from veilspark.operators.propagate import caseless, quoted_sql, seeds_sql
 from veilspark.schema import CROSSREF
 
-def fold_case(text: str) -> str:
-    """SQL: equal for any two texts that match each other without case."""
-    return f"upper(lower(translate({text}, 'İ', 'i')))"
-
-
 def _runs(value: str) -> str:
     return f"regexp_extract_all({value}, {lit(RUNS)}, 0)"
 

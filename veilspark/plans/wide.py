@@ -19,7 +19,7 @@ from veilspark.plans.scan import RESULT, ScanOptions, detect_layers, scan
 from veilspark.plans.scoped import propagate_scoped
 from veilspark.schema import FINDING_FIELDS, FINDINGS, NO_FINDINGS
 
-LONG_BYTES = 1 << 20
+LONG_BYTES = 1 << 17
 
 
 def scan_mixed(
