@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 # Appending to an array copies it. Emitting into blocks of this size keeps a fold
 # over n items at about n * BLOCK / 2 + (n / BLOCK)^2 / 2 element copies, so a
 # document with millions of findings stays cheap.
-BLOCK = 256
+BLOCK = 128
 
 _names = itertools.count()
 

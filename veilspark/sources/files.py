@@ -18,6 +18,8 @@ from veilspark.functions.text import decode_text
 from veilspark.operators.admit import EXTRACT_FAILED, MAX_SIZE, extension, file_name, file_reject_reason
 
 FILE_COLUMNS = ("path", "filename", "file_size", "file_type", "modificationTime")
+# Files that Hadoop and Spark keep for themselves.
+_BOOKKEEPING = re.compile(r"(?:^|/)(?:_SUCCESS|_temporary|_spark_metadata|\.[^/]*\.crc)(?:/|$)")
 _WORD_NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -56,8 +58,10 @@ def overlooked_files(spark: SparkSession, path: str) -> DataFrame | None:
     prefix = path.split("://")[0] if "://" in path else "file"
 
     def hidden(info: fs.FileInfo) -> bool:
-        inner = info.path[len(root) :].split("/")
-        return info.size == 0 or any(part.startswith((".", "_")) for part in inner)
+        inner = info.path[len(root) :]
+        if _BOOKKEEPING.search(inner):
+            return False
+        return info.size == 0 or any(part.startswith((".", "_")) for part in inner.split("/"))
 
     if filesystem.get_file_info(root).type != fs.FileType.Directory:
         return None
