@@ -242,7 +242,7 @@ def with_language(docs: DataFrame, model: Model | None) -> DataFrame:
     from pyspark.sql.types import DoubleType, StringType, StructType
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = StructType(docs.schema.fields).add("lang_pred", StringType()).add("lang_score", DoubleType())
+    schema = StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("lang_score", DoubleType())
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         some = texts(batch)
