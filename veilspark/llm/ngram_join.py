@@ -39,8 +39,10 @@ from veilspark.llm.wordhash import BatchWords, mix, shingles
 U = np.uint64
 #: Sets whose prefixes hold a token from which on it is frequent; sets to a block of an entry.
 FREQUENT, BLOCK = 48, 256
-#: Bits of a bitmap that goes to all tasks (8 MB), and of a set's parity bitmap.
-BITMAP, PARITY = 26, 256
+#: Times that prefixes are counted again without the frequent tokens found so far.
+ROUNDS = 1
+#: Bits of a bitmap that goes to all tasks (8 MB), of a set's parity bitmap, and of the one that is made for pairs.
+BITMAP, PARITY, WIDE = 26, 512, 8192
 
 
 @dataclass(frozen=True)
@@ -75,30 +77,33 @@ class Rule:
         return out
 
 
-def token_sets(batch: pa.RecordBatch, rule: Rule) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct tokens) of each row."""
-    raw = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column("text").cast(pa.binary())]
-    row = 0
+def token_sets(raw: list[bytes], rule: Rule) -> Iterator[np.ndarray]:
+    """Sorted distinct tokens of each text."""
     for part in slices(raw):
         words = BatchWords(part, lower=True)
         every = shingles(words.hashes, rule.width) if len(words.hashes) >= rule.width else None
-        for i in range(len(part)):
-            a, b = words.bounds[i], words.bounds[i + 1]
-            own = every[a : b - rule.width + 1] if b - a >= rule.width else shingles(words.hashes[a:b], rule.width)
-            own = np.sort(own)
-            yield row, own[np.concatenate(([True], own[1:] != own[:-1]))] if len(own) else own
-            row += 1
+        bounds = words.bounds.tolist()
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            if b - a < rule.width:
+                yield shingles(words.hashes[a:b], rule.width)
+                continue
+            own = np.sort(every[a : b - rule.width + 1])
+            first = np.empty(len(own), bool)
+            first[0] = True
+            np.not_equal(own[1:], own[:-1], out=first[1:])
+            yield own[first]
 
 
 def node_of(tokens: np.ndarray) -> int:
     """A 64-bit name of a set."""
-    with np.errstate(over="ignore"):
-        total = np.sum(mix(tokens ^ U(0x5851F42D4C957F2D)), dtype=np.uint64)
-        return int(mix(np.array([total + U(len(tokens))]))[0].astype(np.int64))
+    total = int((tokens * (tokens >> U(7) | U(1))).sum(dtype=np.uint64)) + 0x9E3779B97F4A7C15 * len(tokens)
+    total = (total ^ total >> 31) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+    total ^= total >> 29
+    return total - (1 << 64) if total >> 63 else total
 
 
-def parity(tokens: np.ndarray) -> np.ndarray:
-    odd = np.bincount((tokens >> U(20)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+def parity(tokens: np.ndarray, bits: int = PARITY) -> np.ndarray:
+    odd = np.bincount((tokens >> U(20)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -118,13 +123,18 @@ def bitmap_of(values: DataFrame, name: str) -> np.ndarray:
     return out
 
 
-def id_hashes(batch: pa.RecordBatch) -> np.ndarray:
-    return mix(np.array([i or 0 for i in batch.column("id").to_pylist()], np.int64).view(np.uint64))
+def id_names(ids: list[int | None]) -> np.ndarray:
+    """A name for each id, under which a bitmap holds it."""
+    return mix(np.array([i or 0 for i in ids], np.int64).view(np.uint64))
 
 
-def row_names(nodes: list[int], salts: np.ndarray) -> np.ndarray:
-    """A name for each (id, set)."""
-    return mix(np.array(nodes, np.int64).view(np.uint64) ^ salts)
+def ids_bitmap(ids: DataFrame) -> np.ndarray:
+    """The bitmap of the names of the ids in column `id`."""
+
+    def named(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(id_names(batch.column("id").to_pylist()).view(np.int64))], ["name"])
+
+    return bitmap_of(map_arrow(ids.select("id"), named, "name long"), "name")
 
 
 @dataclass
@@ -134,26 +144,25 @@ class Corpus:
     docs: DataFrame
     rule: Rule
 
-    def run(self, make: Callable[[int, np.ndarray, int], tuple | None], schema: str, chosen: np.ndarray | None = None) -> DataFrame:
-        """One pass over the texts: make(node, tokens) gives a row or None. chosen: a bitmap of row names to keep to."""
+    def run(self, make: Callable[[np.ndarray], tuple | None], schema: str, chosen: np.ndarray | None = None) -> DataFrame:
+        """One pass over the texts: (id, node) and what make(tokens) gives, if not None. chosen: a bitmap of ids to keep to."""
         rule, names = self.rule, [c.split()[0] for c in schema.split(", ")]
         kinds = {"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64())}
         types = [kinds[c.split()[1]] for c in schema.split(", ")]
         shared = self.docs.sparkSession.sparkContext.broadcast(chosen)
 
-        def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keep, out = shared.value, []
-            ids = batch.column("id").to_pylist()
-            salts = id_hashes(batch)
-            for row, tokens in token_sets(batch, rule):
-                node = node_of(tokens)
-                if keep is not None and not hits(keep, row_names([node], salts[row : row + 1]))[0]:
-                    continue
-                if (made := make(node, tokens)) is not None:
-                    out.append((ids[row], node, *made))
-            columns = list(zip(*out)) if out else [[]] * (2 + len(names))
-            arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64())]
-            arrays += [pa.array(c, t) for c, t in zip(columns[2:], types)]
+        def rows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            if shared.value is not None:
+                batch = batch.filter(pa.array(hits(shared.value, id_names(batch.column("id").to_pylist()))))
+            raw = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column("text").cast(pa.binary())]
+            out = []
+            for i, tokens in zip(batch.column("id").to_pylist(), token_sets(raw, rule)):
+                if (made := make(tokens)) is not None:
+                    out.append((i, node_of(tokens), *made))
+            if not out:
+                return None
+            columns = list(zip(*out))
+            arrays = [pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), *types])]
             return pa.RecordBatch.from_arrays(arrays, ["id", "node", *names])
 
         return map_arrow(self.docs.select("id", "text"), rows, f"id long, node long, {schema}")
@@ -177,17 +186,27 @@ def entries(tokens: np.ndarray, frequent: np.ndarray, rule: Rule) -> tuple[np.nd
     return np.concatenate(out), len(rare)
 
 
+def rare_prefix(tokens: np.ndarray, frequent: np.ndarray, rule: Rule) -> np.ndarray:
+    """The first tokens that are not known as frequent, as many as a prefix takes."""
+    return tokens[~hits(frequent, tokens)][: rule.spare(len(tokens)) + 1]
+
+
 def linked(pairs: DataFrame, corpus: Corpus, reps: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of nodes that link, by their whole sets."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    chosen = bitmap_of(reps.join(wanted, "node").select("name"), "name")
-    found = corpus.run(lambda node, tokens: (signed(tokens),), "tokens array<long>", chosen)
-    sets = stored(found.join(wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", "tokens"), "jaccard-sets")
-    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("left"))
-    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("right"))
-    both = F.size(F.array_intersect("left", "right"))
-    union = F.size("left") + F.size("right") - both
-    return pairs.join(left, "a").join(right, "b").filter(both * 100 >= union * corpus.rule.percent).select("a", "b")
+    chosen = ids_bitmap(reps.join(wanted, "node").select("id"))
+    found = corpus.run(lambda tokens: (signed(tokens), parity(tokens, WIDE)), "tokens array<long>, wide array<long>", chosen)
+    sets = stored(found, "jaccard-sets")
+    # the wide bitmaps first, as whole sets of long texts are large to carry along with each pair
+    ends = [sets.select(F.col("node").alias(c), F.size("tokens").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}")) for c in "ab"]
+    distance = F.aggregate(F.zip_with("wide_a", "wide_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, d: n + d)
+    percent = corpus.rule.percent
+    near = distance * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+    pairs = stored(pairs.join(ends[0], "a").join(ends[1], "b").filter(near).select("a", "b"), "jaccard-pairs")
+    left, right = [sets.select(F.col("node").alias(c), F.col("tokens").alias(f"tokens_{c}")) for c in "ab"]
+    both = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    union = F.size("tokens_a") + F.size("tokens_b") - both
+    return pairs.join(left, "a").join(right, "b").filter(both * 100 >= union * percent).select("a", "b")
 
 
 def may_link(percent: int) -> Column:
@@ -223,43 +242,39 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     corpus = Corpus(own.select("id", "text"), rule)
     least = rule.least()
 
-    def first_look(node: int, tokens: np.ndarray) -> tuple:
+    spark = docs.sparkSession
+
+    # every set's prefix in the order of hashes; its frequent tokens are known after that
+    def first_look(tokens: np.ndarray) -> tuple:
         n = len(tokens)
-        return n, signed(tokens[: rule.spare(n) + 1]) if n >= least else [], parity(tokens) if n >= least else []
-
-    looked = stored(corpus.run(first_look, "n int, prefix array<long>, p array<long>"), "jaccard-sets")
-    sizeable = looked.filter(F.col("n") >= least)
-    # one row per distinct set, and the name of one row that has it
-    info = sizeable.groupBy("node").agg(F.first("n").alias("n"), F.first("p").alias("p"), F.first("prefix").alias("prefix"), F.min(F.coalesce("id", F.lit(0))).alias("id"))
-    info = stored(info, "jaccard-info")
-    reps = stored(_named(info.select("node", "id")), "jaccard-names")
-    info_p = info.select("node", "n", "p")
-    all_reps = bitmap_of(reps, "name")
+        return n, signed(tokens[: rule.spare(n) + 1]) if n >= least else []
 
-    prefix = info.select(F.explode("prefix").alias("t"))
-    often = bitmap_of(_frequent(prefix), "t")
+    looked = stored(corpus.run(first_look, "n int, prefix array<long>"), "jaccard-sets")
+    # one row stands for each distinct set
+    reps = stored(looked.filter(F.col("n") >= least).groupBy("node").agg(F.min(F.coalesce("id", F.lit(0))).alias("id")), "jaccard-names")
+    all_reps = ids_bitmap(reps)
+    frequent = bitmap_of(_frequent(looked.select(F.explode("prefix").alias("t"))), "t")
 
-    # sets with a frequent token in their prefix take others in its place: count all their tokens
-    def touched(node: int, tokens: np.ndarray) -> tuple | None:
-        n = len(tokens)
-        if n < least or not hits(often_shared.value, tokens[: rule.spare(n) + 1]).any():
-            return None
-        return (signed(tokens),)
+    # tokens that move up in place of frequent ones are counted in turn
+    for _ in range(ROUNDS):
+        before = spark.sparkContext.broadcast(frequent)
+        moved = corpus.run(
+            lambda tokens: (signed(rare_prefix(tokens, before.value, rule)),) if len(tokens) >= least else None, "tokens array<long>", all_reps
+        )
+        frequent = frequent | bitmap_of(_frequent(moved.select(F.explode("tokens").alias("t"))), "t")
 
-    spark = docs.sparkSession
-    often_shared = spark.sparkContext.broadcast(often)
-    more = corpus.run(touched, "tokens array<long>", all_reps).select(F.explode("tokens").alias("t"))
-    frequent = often | bitmap_of(_frequent(more), "t")
-    frequent_shared = spark.sparkContext.broadcast(frequent)
+    shared = spark.sparkContext.broadcast(frequent)
 
-    def indexed(node: int, tokens: np.ndarray) -> tuple | None:
+    def indexed(tokens: np.ndarray) -> tuple | None:
         if len(tokens) < least:
             return None
-        found, rare = entries(tokens, frequent_shared.value, rule)
-        return rare, signed(found)
+        found, rare = entries(tokens, shared.value, rule)
+        return len(tokens), rare, parity(tokens), signed(found)
 
-    index = corpus.run(indexed, "rare int, entries array<long>", all_reps).select("node", "rare", F.explode("entries").alias("entry"))
+    info = stored(corpus.run(indexed, "n int, rare int, p array<long>, entries array<long>", all_reps), "jaccard-info")
+    info_p = info.select("node", "n", "p")
     by = Window.partitionBy("entry")
+    index = info.select("node", "rare", F.explode("entries").alias("entry"))
     index = index.withColumn("center", F.min(F.struct("rare", "node")).over(by))
     index = index.withColumn("several", F.min("node").over(by) != F.max("node").over(by))
     index = stored(index.filter("several").select("entry", "node", F.col("center.node").alias("center")), "jaccard-index")
@@ -289,13 +304,3 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
 def _frequent(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("t").agg(F.count("*").alias("c")).filter(F.col("c") >= FREQUENT).select("t")
-
-
-def _named(rows: DataFrame) -> DataFrame:
-    """Adds name, equal to row_names() of (id, node)."""
-
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names = row_names(batch.column("node").to_pylist(), id_hashes(batch)).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(names)], ["node", "name"])
-
-    return map_arrow(rows, make, "node long, name long")
