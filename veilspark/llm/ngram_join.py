@@ -25,7 +25,7 @@ smallest id that is not null. Repeated rows are copies. Further columns are igno
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -79,7 +79,7 @@ class Rule:
 
 def token_sets(raw: list[bytes], rule: Rule) -> Iterator[np.ndarray]:
     """Sorted distinct tokens of each text."""
-    for part in slices(raw):
+    for part in slices(raw, most=400_000):
         words = BatchWords(part, lower=True)
         every = shingles(words.hashes, rule.width) if len(words.hashes) >= rule.width else None
         bounds = words.bounds.tolist()
@@ -143,13 +143,24 @@ class Corpus:
 
     docs: DataFrame
     rule: Rule
+    held: list = field(default_factory=list)
+
+    def share(self, bitmap: np.ndarray | None):
+        """Hand a bitmap to all tasks, until release()."""
+        self.held.append(self.docs.sparkSession.sparkContext.broadcast(bitmap))
+        return self.held[-1]
+
+    def release(self) -> None:
+        """Take back what was shared; what was computed with it must be stored by now."""
+        while self.held:
+            self.held.pop().unpersist()
 
     def run(self, make: Callable[[np.ndarray], tuple | None], schema: str, chosen: np.ndarray | None = None) -> DataFrame:
         """One pass over the texts: (id, node) and what make(tokens) gives, if not None. chosen: a bitmap of ids to keep to."""
         rule, names = self.rule, [c.split()[0] for c in schema.split(", ")]
         kinds = {"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64())}
         types = [kinds[c.split()[1]] for c in schema.split(", ")]
-        shared = self.docs.sparkSession.sparkContext.broadcast(chosen)
+        shared = self.share(chosen)
 
         def rows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             if shared.value is not None:
@@ -197,6 +208,7 @@ def linked(pairs: DataFrame, corpus: Corpus, reps: DataFrame) -> DataFrame:
     chosen = ids_bitmap(reps.join(wanted, "node").select("id"))
     found = corpus.run(lambda tokens: (signed(tokens), parity(tokens, WIDE)), "tokens array<long>, wide array<long>", chosen)
     sets = stored(found, "jaccard-sets")
+    corpus.release()
     # the wide bitmaps first, as whole sets of long texts are large to carry along with each pair
     ends = [sets.select(F.col("node").alias(c), F.size("tokens").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}")) for c in "ab"]
     distance = F.aggregate(F.zip_with("wide_a", "wide_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, d: n + d)
@@ -242,8 +254,6 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     corpus = Corpus(own.select("id", "text"), rule)
     least = rule.least()
 
-    spark = docs.sparkSession
-
     # every set's prefix in the order of hashes; its frequent tokens are known after that
     def first_look(tokens: np.ndarray) -> tuple:
         n = len(tokens)
@@ -257,13 +267,14 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     # tokens that move up in place of frequent ones are counted in turn
     for _ in range(ROUNDS):
-        before = spark.sparkContext.broadcast(frequent)
+        before = corpus.share(frequent)
         moved = corpus.run(
             lambda tokens: (signed(rare_prefix(tokens, before.value, rule)),) if len(tokens) >= least else None, "tokens array<long>", all_reps
         )
         frequent = frequent | bitmap_of(_frequent(moved.select(F.explode("tokens").alias("t"))), "t")
+        corpus.release()
 
-    shared = spark.sparkContext.broadcast(frequent)
+    shared = corpus.share(frequent)
 
     def indexed(tokens: np.ndarray) -> tuple | None:
         if len(tokens) < least:
@@ -272,6 +283,7 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         return len(tokens), rare, parity(tokens), signed(found)
 
     info = stored(corpus.run(indexed, "n int, rare int, p array<long>, entries array<long>", all_reps), "jaccard-info")
+    corpus.release()
     info_p = info.select("node", "n", "p")
     by = Window.partitionBy("entry")
     index = info.select("node", "rare", F.explode("entries").alias("entry"))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows that a Python worker holds as objects at a time.
+ROWS = 2_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,12 +44,13 @@ def drop_stored(df: DataFrame) -> None:
 
 
 def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:
-    """mapInArrow with a function of one batch; empty batches give nothing."""
+    """mapInArrow with a function of a few rows at a time; where it gives None, nothing comes out."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            if batch.num_rows and (out := rows(batch)) is not None:
-                yield out
+            for at in range(0, batch.num_rows, ROWS):
+                if (out := rows(batch.slice(at, ROWS))) is not None:
+                    yield out
 
     return df.mapInArrow(batches, schema)
 
