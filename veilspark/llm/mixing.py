@@ -113,14 +113,15 @@ def draws(goals: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int =
     # a source draws the strata in its interval; a stratum on a bound goes to the side of its u
     begin = F.floor("from").cast("long")
     end = F.greatest(begin, F.least(F.floor("to").cast("long"), F.col("slots") - 1))
-    part = 100_000
+    part = 20_000
     spans = goals.select(
         "source", "blocks", "slots", "from", "to",
         (begin + F.when(begin + uniform(seed, begin) >= F.col("from"), 0).otherwise(1)).alias("first"),
         end.alias("end"),
         F.explode(F.sequence(begin, end, F.lit(part).cast("long"))).alias("at"),
     )
-    strata = spans.repartition("at", "source").withColumn(
+    # as many partitions as shuffles have: Spark sees few and short rows here and not what they become
+    strata = spans.repartition(int(goals.sparkSession.conf.get("spark.sql.shuffle.partitions")), "at", "source").withColumn(
         "stratum", F.explode(F.sequence("at", F.least(F.col("at") + (part - 1), F.col("end"))))
     )
     u = F.col("stratum") + uniform(seed, F.col("stratum"))
@@ -153,7 +154,8 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, percent: int = 150, block: int =
     # a source's name as a hash keeps null sources joinable
     cut = cut.withColumn("of", F.xxhash64("source"))
     drawn = drawn.withColumn("of", F.xxhash64("source")).withColumnRenamed("source", "drawn_source")
-    taken = cut.join(drawn, ["of", "number"]).filter(F.col("source").eqNullSafe(F.col("drawn_source")))
+    # neither side is small, whatever Spark's estimate of the exploded slots says
+    taken = cut.join(drawn.hint("merge"), ["of", "number"]).filter(F.col("source").eqNullSafe(F.col("drawn_source")))
     return goals, taken.drop("of", "drawn_source")
 
 
