@@ -12,8 +12,10 @@ sys.path.insert(0, str(ROOT / "tests"))
 
 @pytest.fixture(scope="session")
 def spark():
+    folder = tempfile.mkdtemp(prefix="veilspark-test-")
     session = (
         SparkSession.builder.master("local[8]")
+        .config("spark.checkpoint.dir", folder)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
@@ -21,10 +23,6 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
-    if not session.conf.get("spark.checkpoint.dir", None):
-        folder = tempfile.mkdtemp(prefix="veilspark-test-")
-        session.sparkContext.setCheckpointDir(folder)
-        session.conf.set("spark.checkpoint.dir", folder)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
