@@ -4,7 +4,7 @@ import zipfile
 from veilspark.operators.admit import MAX_SIZE, file_reject_reason
 from veilspark.plans.audit import audit_files
 from veilspark.plans.files import scan_files
-from veilspark.sources.files import read_files
+from veilspark.sources.files import docx_text, read_files
 
 NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
@@ -71,3 +71,16 @@ def test_size_gate(spark):
     df = spark.createDataFrame([("/a.txt", MAX_SIZE), ("/a.txt", MAX_SIZE + 1), ("/a.bin", 1), ("/a.", 1)], "path string, length long")
     rows = df.select(file_reject_reason(df.path, df.length).alias("r")).collect()
     assert [r["r"] for r in rows] == [None, "file_too_large", "type_not_supported", "type_not_supported"]
+
+
+def test_word_text_is_walked_once():
+    box = "<w:p><w:r><w:t>vak</w:t></w:r></w:p>"
+    body = (
+        "<w:p><w:pPr><w:tabs><w:tab w:val='left'/></w:tabs></w:pPr><w:r><w:t>a</w:t><w:tab/><w:t>b</w:t>"
+        f"<m:AlternateContent xmlns:m='urn:m'><m:Choice>{box}</m:Choice><m:Fallback>{box}</m:Fallback></m:AlternateContent></w:r></w:p>"
+    )
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as archive:
+        ns = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+        archive.writestr("word/document.xml", f"<w:document xmlns:w='{ns}'><w:body>{body}</w:body></w:document>")
+    assert docx_text(out.getvalue()) == "a\tb\n\nvak\n\n"

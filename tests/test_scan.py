@@ -201,3 +201,33 @@ def test_lexicon_limits(spark):
     row = one(spark, "Van Plaats1 naar Plaats1234, Plaats99999 en Aa en Hunze (gem.) of Aa en", options=ScanOptions(lexicon=big, lexicon_rules=()))
     # a term that ends in a sign has no word boundary after it unless a word follows
     assert row["sanitized"].startswith("Van [LOCATION] naar [LOCATION], Plaats99999 en [LOCATION]")
+
+
+@pytest.mark.parametrize(
+    "text, entity, found",
+    [
+        ("aan björn.smit@x.nl of o'brien@x.ie", "EMAIL_ADDRESS", ["björn.smit@x.nl", "o'brien@x.ie"]),
+        ("'jan@x.nl'", "EMAIL_ADDRESS", ["jan@x.nl"]),
+        ("host fe80::1. En 2001:db8::1234: ja", "IP_ADDRESS", ["fe80::1", "2001:db8::1234"]),
+        ("van ::ffff:192.0.2.1 af", "IP_ADDRESS", ["::ffff:192.0.2.1"]),
+        ("zie example.shop, EXAMPLE.COM en wwW.x.y", "URL", ["example.shop", "EXAMPLE.COM", "wwW.x.y"]),
+    ],
+)
+def test_identifiers_are_found_whole(spark, text, entity, found):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = scan(df, "standard").select("findings").first()
+    assert [f["text"] for f in row["findings"] if f["entity_type"] == entity] == found
+
+
+def test_patient_number_behind_a_cue_in_capitals(spark):
+    df = spark.createDataFrame([(1, "PATIËNT 12345")], "doc_id long, text string")
+    assert [f["text"] for f in scan(df, "deep").first()["findings"]] == ["12345"]
+
+
+@pytest.mark.parametrize("condition", ["n_findings > 0", "sanitized like '%x%'", "depth = 'deep' and n_xref is null", "size(findings) > 1"])
+def test_conditions_on_a_result_do_not_repeat_the_scan(spark, tmp_path, condition):
+    spark.createDataFrame([(1, "a")], "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    result = scan(spark.read.parquet(str(tmp_path / "t")), "deep").filter(condition)
+    joined = result.join(spark.range(9).toDF("n_findings"), "n_findings")
+    for df in (result, joined):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("Buffer\\.from\\(\\s") == 1

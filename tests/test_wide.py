@@ -44,3 +44,11 @@ def test_one_text_with_very_many_values(spark):
     row = scan_long(df, "deep").first()
     assert row["n_pattern"] >= n and "@" not in row["sanitized"]
     assert time.time() - begin < 120
+
+
+def test_mixed_plan_keeps_null_and_repeated_ids(spark):
+    long = "jan.devries@x.nl en Jan de Vries " * 20
+    data = [(None, long), (1, long), (1, long), (1, "kort"), (2, long + "10.0.0.1"), (3, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    parts = [sorted(map(repr, plan(df, "deep", options=OPTIONS).collect())) for plan in (scan, lambda *a, **k: scan_mixed(*a, **k, long_bytes=150))]
+    assert len(parts[0]) == 6 and parts[0] == parts[1]

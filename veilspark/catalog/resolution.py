@@ -33,10 +33,9 @@ query(
 # the word 'the' in any case, between word boundaries, with offsets
 query(
     "d2_occurrence_search",
-    f"""SELECT doc_id, start, text FROM ({spans_sql("SELECT doc_id, text FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]')", r"(?i)\bthe\b")})""",
+    f"""SELECT doc_id, start, text FROM ({spans_sql(DOCS, r"(?i)\bthe\b")})""",
 )(
     lambda spark, sf_dir: documents(spark, sf_dir)
-    .filter(~F.col("text").rlike(r"[^\x00-\x7f]"))
     .select("doc_id", F.explode_outer(prop.occurrences(F.col("text"), F.lit("THE"))).alias("o"))
     .filter(F.col("o").isNotNull())
     .select("doc_id", "o.start", "o.text")
@@ -87,18 +86,14 @@ query(
     "d4_uncovered_matches",
     f"""
     WITH m AS ({spans_sql(DOCS, r"[0-9]{2}")}), c AS ({spans_sql(DOCS, EMAIL_RE2)} UNION ALL {spans_sql(DOCS, IPV4_RE2)})
-    SELECT doc_id, start, text FROM m WHERE doc_id IN (SELECT doc_id FROM c)
-      AND NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = m.doc_id AND m.start < c."end" AND c.start < m."end")""",
+    SELECT doc_id, start, text FROM m WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = m.doc_id AND m.start < c."end" AND c.start < m."end")""",
 )(
     lambda spark, sf_dir: documents(spark, sf_dir)
     .withColumn("covered", detect(F.col("text"), [EMAIL, IPV4], PATTERN, 0.0))
     .select(
         "doc_id",
         F.explode_outer(
-            F.when(
-                F.size("covered") > 0,
-                prop.uncovered(spans(F.col("text"), "[0-9]{2}"), F.transform("covered", lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end")))),
-            )
+            prop.uncovered(spans(F.col("text"), "[0-9]{2}"), F.transform("covered", lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"))))
         ).alias("o"),
     )
     .filter(F.col("o").isNotNull())

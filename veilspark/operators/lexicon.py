@@ -158,8 +158,8 @@ AGE = Rule(
 )
 PATIENT = Rule(
     "patientnummer",
-    r"(?<=(?i:patient|patiënt|patientnr|patiëntnr|patientnummer|patiëntnummer)[.:]? {0,2}[.:]? {0,2})[0-9]{5,10}" + W_END,
-    LEXICON_SCORE, digits=True, hint=r"(?i)pati[eë]nt",
+    r"(?<=(?iu:patient|patiënt|patientnr|patiëntnr|patientnummer|patiëntnummer)[.:]? {0,2}[.:]? {0,2})[0-9]{5,10}" + W_END,
+    LEXICON_SCORE, digits=True, hint=r"(?iu)pati[eë]nt",
 )
 LEXICON_RULES = (
     DATE_NUMERIC,

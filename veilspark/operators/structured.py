@@ -15,7 +15,15 @@ from veilspark.operators.rules import Registry, Rule, detect
 from veilspark.schema import PATTERN
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
-_TLD = r"(?:com|net|org|edu|gov|info|io|dev|app|nl|be|de|fr|es|eu|uk)"
+# Common endings of public domain names, in any case. A longer list is a
+# parameter: PATTERN_RULES.register(url_bare(endings)).
+TOP_DOMAINS = """
+com net org edu gov mil int info biz name pro mobi io dev app ai co tv me cc shop store online site website web cloud tech
+blog news page link live life world today agency studio design digital email group media network services solutions
+support systems team tools work xyz club art bank care city company consulting finance health hosting legal
+nl be de fr es eu uk it pt at ch dk se no fi pl cz sk hu ro bg gr ie lu lt lv ee hr si is tr ru ua us ca mx br ar cl
+au nz jp cn kr in sg hk tw id th vn my ph za ng ke eg ma il ae sa frl amsterdam brussels gent vlaanderen
+""".split()
 
 
 def longest_valid_iban(match: str) -> str:
@@ -71,7 +79,8 @@ def unicode_form(pattern: str) -> str:
 # Publicly known forms; scores are those of the public recognizers.
 EMAIL = Rule(
     "EMAIL_ADDRESS",
-    W_START + r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,8}\.[A-Za-z]{2,24}" + W_END,
+    W_START + r"[\p{L}\p{N}_][\p{L}\p{M}\p{N}._%+&'\u2019\-]{0,63}@[\p{L}\p{M}\p{N}\-]{1,63}(?:\.[\p{L}\p{M}\p{N}\-]{1,63}){0,8}"
+    r"\.(?:\p{L}[\p{L}\p{M}]{1,23}|xn--[A-Za-z0-9\-]{2,59})" + W_END,
     1.0,
     literals=("@",),
 )
@@ -96,9 +105,11 @@ IPV4 = Rule(
 )
 IPV6 = Rule(
     "IP_ADDRESS",
-    r"(?<![\p{L}\p{N}_:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
+    rf"(?<![\p{{L}}\p{{N}}_:.])(?:(?:(?:[0-9A-Fa-f]{{1,4}}:){{6}}|(?:[0-9A-Fa-f]{{1,4}}:){{1,5}}:(?:[0-9A-Fa-f]{{1,4}}:){{0,4}}"
+    rf"|::(?:[0-9A-Fa-f]{{1,4}}:){{0,5}})(?:{_OCTET}\.){{3}}{_OCTET}"
+    r"|(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
     r"|(?:[0-9A-Fa-f]{1,4}:){1,7}:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?"
-    r"|::(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4})(?![\p{L}\p{N}_:.])",
+    r"|::(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4})(?![\p{L}\p{N}_]|:[0-9A-Fa-f:]|\.[0-9])",
     0.6,
     literals=(":",),
     hint=r":[0-9A-Fa-f]{0,4}:",
@@ -106,12 +117,21 @@ IPV6 = Rule(
 )
 URL_SCHEME = Rule(
     "URL", W_START + r"(?i:https?://|ftp://|www\.)[^\s<>\"'`{}|\\^\[\]]*[^\s<>\"'`{}|\\^\[\].,;:!?)]",
-    0.6, literals=("://", "www.", "WWW.", "Www."), name="URL_SCHEME",
-)
-URL_BARE = Rule(
-    "URL", W_START + r"(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62})\.){1,8}" + _TLD + r"(?:/[^\s<>\"'`]*[^\s<>\"'`.,;:!?)])?(?![\p{L}\p{N}_\-])",
-    0.5, literals=(".",), hint=r"\." + _TLD, name="URL_BARE",
+    0.6, hint=r"(?i)://|www\.", name="URL_SCHEME",
 )
+
+
+def url_bare(endings: Iterable[str] = TOP_DOMAINS) -> Rule:
+    """Host names with one of the endings, in any case, and the path behind them."""
+    ending = f"(?i:{'|'.join(endings)})"
+    path = r"(?:/[^\s<>\"'`]*[^\s<>\"'`.,;:!?)])?(?![\p{L}\p{N}_\-])"
+    return Rule(
+        "URL", W_START + r"(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62})\.){1,8}" + ending + path, 0.5,
+        literals=(".",), hint=r"\." + ending, name="URL_BARE",
+    )
+
+
+URL_BARE = url_bare()
 PHONE = Rule(
     "PHONE_NUMBER",
     r"(?<![\p{L}\p{N}_+])\+[1-9][0-9]{0,2}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9](?:[ .\-]?[0-9]){5,12}" + W_END,

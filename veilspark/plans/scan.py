@@ -165,4 +165,13 @@ def scan(
     base = df.select(*dict.fromkeys((*kept, text)), *([] if isinstance(depth, str) else [depth.alias("depth")]))
     level = depth if isinstance(depth, str) else F.col("depth")
     layers = detect_layers(base, text, level, options, path)
-    return resolve(layers, text, options.mode).select(*kept, *RESULT)
+    return once(resolve(layers, text, options.mode), kept)
+
+
+def once(resolved: DataFrame, kept: Sequence[str]) -> DataFrame:
+    """The result behind a generator of one row, which later filters and joins on it don't get below.
+
+    Without it, Spark copies the whole scan into every such condition.
+    """
+    packed = resolved.select(*kept, F.explode_outer(F.array(F.struct(*RESULT))).alias("_scan"))
+    return packed.select(*kept, *[F.col(f"_scan.{c}").alias(c) for c in RESULT])

@@ -13,6 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.operators.admit import norm_depth
 from veilspark.operators.merge import combine, merge_findings_table
 from veilspark.operators.redact import layer_count, redact
 from veilspark.plans.scan import RESULT, ScanOptions, detect_layers, scan
@@ -30,15 +31,15 @@ def scan_mixed(
     options: ScanOptions = ScanOptions(),
     keep: Iterable[str] = (),
     long_bytes: int = LONG_BYTES,
+    path: Column | None = None,
 ) -> DataFrame:
     """`scan`, with texts above `long_bytes` taken out to `scan_long`.
 
-    The input is read twice, the second time for the long texts only. Ids must be
-    unique.
+    The input is read twice, the second time for the long texts only.
     """
     size = F.octet_length(F.coalesce(F.col(text), F.lit("")))
-    short = scan(df.filter(size <= long_bytes), depth, id, text, options, keep)
-    return short.unionByName(scan_long(df.filter(size > long_bytes), depth, id, text, options, keep))
+    short = scan(df.filter(size <= long_bytes), depth, id, text, options, keep, path)
+    return short.unionByName(scan_long(df.filter(size > long_bytes), depth, id, text, options, keep, path))
 
 
 def scan_long(
@@ -48,15 +49,33 @@ def scan_long(
     text: str = "text",
     options: ScanOptions = ScanOptions(),
     keep: Iterable[str] = (),
+    path: Column | None = None,
 ) -> DataFrame:
     """The same result as `scan`, with propagation and merge as joins and windows.
 
-    Detection runs once: its findings, without the text, are checkpointed.
+    A result depends on text, depth and path alone, so each distinct triple is scanned
+    under the hash of it and its result goes to all its rows. Ids may repeat or be NULL.
     """
     kept = [c for c in dict.fromkeys((id, *keep)) if c not in RESULT]
-    base = df.select(*dict.fromkeys((*kept, text)), *([] if isinstance(depth, str) else [depth.alias("depth")]))
-    level = depth if isinstance(depth, str) else F.col("depth")
-    layers = detect_layers(base, text, level, options)
+    level = F.lit(depth) if isinstance(depth, str) else depth
+    rows = df.select(
+        *kept, F.coalesce(F.col(text), F.lit("")).alias("_body"), norm_depth(level).alias("_level"),
+        (F.lit(None).cast("string") if path is None else path.cast("string")).alias("_path"),
+    )
+    rows = rows.withColumn("_key", F.sha2(F.to_json(F.struct("_body", "_level", "_path")), 256))
+    distinct = rows.select("_key", "_body", "_level", "_path").dropDuplicates(["_key"])
+    found = _scan_distinct(distinct, depth if isinstance(depth, str) else F.col("_level"), options, None if path is None else F.col("_path"))
+    return rows.select(*kept, "_key").join(found, "_key").select(*kept, *RESULT)
+
+
+def _scan_distinct(df: DataFrame, depth: str | Column, options: ScanOptions, path: Column | None) -> DataFrame:
+    """`scan_long` of rows (`_key`, `_body`) with unique keys.
+
+    Detection runs once: its findings, without the text, are checkpointed.
+    """
+    id, text, kept = "_key", "_body", ["_key"]
+    base = df.withColumn("depth", depth) if not isinstance(depth, str) else df
+    layers = detect_layers(base, text, depth if isinstance(depth, str) else F.col("depth"), options, path)
     found = layers.select(
         *kept, "depth", "layer_errors",
         combine(F.col("f_secret"), F.col("f_pattern"), F.col("f_lexicon")).alias("raw"),

@@ -21,6 +21,9 @@ FILE_COLUMNS = ("path", "filename", "file_size", "file_type", "modificationTime"
 # Files that Hadoop and Spark keep for themselves.
 _BOOKKEEPING = re.compile(r"(?:^|/)(?:_SUCCESS|_temporary|_spark_metadata|\.[^/]*\.crc)(?:/|$)")
 _WORD_NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+# What a node of a run stands for (None: its text), and what holds no text.
+_TYPED = {f"{_WORD_NS}t": None, f"{_WORD_NS}tab": "\t", f"{_WORD_NS}br": "\n", f"{_WORD_NS}cr": "\n"}
+_PROPERTIES = {f"{_WORD_NS}pPr", f"{_WORD_NS}rPr"}
 
 
 def docx_text(content: bytes) -> str:
@@ -30,18 +33,28 @@ def docx_text(content: bytes) -> str:
         if info.file_size > 20 * MAX_SIZE:
             raise ValueError("document too large when unpacked")
         root = ElementTree.fromstring(archive.read(info))
-    paragraphs = []
-    for paragraph in root.iter(f"{_WORD_NS}p"):
-        parts = []
-        for node in paragraph.iter():
-            if node.tag == f"{_WORD_NS}t":
-                parts.append(node.text or "")
-            elif node.tag == f"{_WORD_NS}tab":
-                parts.append("\t")
-            elif node.tag in (f"{_WORD_NS}br", f"{_WORD_NS}cr"):
-                parts.append("\n")
-        paragraphs.append("".join(parts) + "\n\n")
-    return "".join(paragraphs)
+    paragraphs: list[list[str]] = []
+    _collect(root, [], paragraphs)
+    return "".join("".join(parts) + "\n\n" for parts in paragraphs)
+
+
+def _collect(node: ElementTree.Element, parts: list[str], paragraphs: list[list[str]]) -> None:
+    """One walk: text goes to the paragraph it stands in; one inside another (a text box) follows it.
+
+    Properties hold tab stops, not typed tabs; alternate content is one text in several forms.
+    """
+    for child in node:
+        name = child.tag.rpartition("}")[2]
+        if name == "p" and child.tag == f"{_WORD_NS}p":
+            own: list[str] = []
+            paragraphs.append(own)
+            _collect(child, own, paragraphs)
+        elif name == "AlternateContent":
+            _collect(child[:1], parts, paragraphs)
+        elif child.tag in _TYPED:
+            parts.append(_TYPED[child.tag] or child.text or "")
+        elif child.tag not in _PROPERTIES:
+            _collect(child, parts, paragraphs)
 
 
 # How each extracted file type is named in results, and what extracts it. A PDF
