@@ -28,6 +28,8 @@ from veilspark.llm.shared import map_arrow, slices, texts
 ORDERS = (3, 4, 5)
 BITS = 19
 MOST_TOXIC, MOST_OTHER = 2_500, 5_000
+#: Characters whose features are computed together when fitting, on the driver.
+PART = 250_000
 U = np.uint64
 
 
@@ -75,26 +77,26 @@ def fit_model(some: list[str], toxic: list[bool], least_texts: int = 5, least_ra
     if not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
         return Model(np.zeros(size, np.float32), float(np.log(share / (1 - share))))
-    rows = [f for part in slices(some) for f in features(part)]
-    # features of one or two texts say nothing about others
-    common = np.bincount(np.concatenate(rows), minlength=size) >= least_texts
-    rows = [f[common[f]] for f in rows]
-    counts = np.array([len(f) for f in rows])
-    flat = np.concatenate(rows)
-    row = np.repeat(np.arange(len(y)), counts)
-    in_toxic = np.bincount(flat, weights=y[row], minlength=size) + 1.0
-    in_other = np.bincount(flat, weights=1 - y[row], minlength=size) + 1.0
+    # two passes over the texts, so that only the telling features of all texts are held at once
+    in_toxic, in_other = np.ones(size), np.ones(size)
+    kinds = iter(y > 0)
+    for part in slices(some, most=PART):
+        for own in features(part):
+            (in_toxic if next(kinds) else in_other)[own] += 1
     ratio = np.log(in_toxic / y.sum()) - np.log(in_other / (1 - y).sum())
-    telling = np.abs(ratio[flat]) >= least_ratio
-    flat, row = flat[telling], row[telling]
-    used, local = np.unique(flat, return_inverse=True)
+    # features of one or two texts say nothing about others
+    telling = (in_toxic + in_other - 2 >= least_texts) & (np.abs(ratio) >= least_ratio)
+    used = np.flatnonzero(telling)
+    rows = [own[telling[own]] for part in slices(some, most=PART) for own in features(part)]
+    row = np.repeat(np.arange(len(y)), [len(own) for own in rows])
+    local = (np.cumsum(telling) - 1)[np.concatenate(rows)]
+    del rows
     scale = ratio[used]
-    scaled = scale[local]
     weight = np.zeros(len(used))
     bias = float(np.log(y.mean() / (1 - y.mean())))
     first, second, first_b, second_b = np.zeros_like(weight), np.zeros_like(weight), 0.0, 0.0
     for step in range(1, steps + 1):
-        margin = np.bincount(row, weights=weight[local] * scaled, minlength=len(y)) + bias
+        margin = np.bincount(row, weights=(weight * scale)[local], minlength=len(y)) + bias
         error = (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - y) * np.where(y > 0, toxic_weight, 1.0) / len(y)
         gradient = np.bincount(local, weights=error[row], minlength=len(used)) * scale + ridge * weight / len(y)
         first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient**2
