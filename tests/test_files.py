@@ -2,6 +2,8 @@ import io
 import zipfile
 
 from veilspark.operators.admit import MAX_SIZE, file_reject_reason
+from veilspark.operators.secrets import ALLOWED_PATHS
+from veilspark.plans.scan import ScanOptions
 from veilspark.plans.audit import audit_files
 from veilspark.plans.files import scan_files
 from veilspark.sources.files import docx_text, read_files
@@ -50,7 +52,7 @@ def test_scan_files(spark, tmp_path):
         "empty.md": "",
         "bad.log": "ip [IP_ADDRESS] ��",
         "brief.docx": "Geachte [EMAIL_ADDRESS]\n\ntot ziens\n\n",
-        "x.js": "token = 'abcdef123456'",
+        "x.js": "token = '[REDACTED:quoted-secret-assignment]'",
     }
     assert (got["brief.docx"]["extracted"], got["brief.docx"]["source_type"], got["brief.docx"]["extracted_length"]) == (True, "Word", 29)
     assert (got[".env"]["file_type"], got["b.JSON"]["file_type"]) == ("", ".json")
@@ -84,3 +86,12 @@ def test_word_text_is_walked_once():
         ns = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
         archive.writestr("word/document.xml", f"<w:document xmlns:w='{ns}'><w:body>{body}</w:body></w:document>")
     assert docx_text(out.getvalue()) == "a\tb\n\nvak\n\n"
+
+
+def test_path_allowlist_is_opt_in(spark, tmp_path):
+    root = tree(tmp_path / "in")
+    for allowed, n_secret in (((), 1), (ALLOWED_PATHS, None)):
+        results, _ = scan_files(spark, root, "quick", options=ScanOptions(allowed_paths=allowed))
+        got = {r["filename"]: r for r in results.collect()}
+        assert got["x.js"]["n_secret"] == n_secret
+        assert got[".env"]["n_secret"] == 1

@@ -231,3 +231,16 @@ def test_conditions_on_a_result_do_not_repeat_the_scan(spark, tmp_path, conditio
     joined = result.join(spark.range(9).toDF("n_findings"), "n_findings")
     for df in (result, joined):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("Buffer\\.from\\(\\s") == 1
+
+
+@pytest.mark.parametrize(
+    "text, sanitized",
+    [
+        ("Jan de la van den Berg ziet", "[PERSON] ziet"),
+        ("Jan Aa Bb Cc Dd Ee Ff en", "[PERSON] en"),
+        ("Jan" + " Piet" * 5000 + " gaat", "[PERSON] gaat"),
+        ("Jan van der en Jan Mc9 of Jan", "[PERSON] van der en [PERSON] Mc9 of [PERSON]"),
+    ],
+)
+def test_names_of_any_length(spark, text, sanitized):
+    assert one(spark, text, options=NAMES)["sanitized"] == sanitized

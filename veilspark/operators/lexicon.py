@@ -127,7 +127,8 @@ def lexicon_findings(text: str, lexicon: Lexicon, layer: str = LEXICON) -> str:
 NAME_PARTICLES = ("van", "von", "de", "der", "den", "des", "het", "'t", "ten", "ter", "te", "la", "le", "du", "el", "al", "da", "di")
 _PARTICLE = "(?:" + "|".join(NAME_PARTICLES) + ")"
 _CAPITAL = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)*"
-_NAME_TAIL = rf"(?:(?: {_PARTICLE}){{0,3}} {_CAPITAL}){{0,4}}"
+# Possessive, so that a tail of any length needs no recursion; each step ends where a word ends.
+_NAME_TAIL = rf"(?:(?: {_PARTICLE}(?= ))*+ {_CAPITAL}{W_END})*+"
 
 
 def person_findings(text: str, lexicon: Lexicon, layer: str = LEXICON) -> str:

@@ -124,12 +124,13 @@ DEFAULT_RULES = (
 
 SECRET_RULES = CUSTOM_RULES + DEFAULT_RULES
 
-# Placeholders that are never a secret, and paths that are never scanned.
+# Placeholders that are never a secret.
 ALLOWED_VALUES = (
     r"(?i)^(?:x{4,}|\*{3,}|\.{3,}|<[^>]*>|\$\{[^}]*\}|\{\{.*\}\}|%[a-z_]+%)$",
     r"(?i)^(?:your[-_].*|example.*|placeholder.*|changeme.*|dummy.*|redacted.*|\[redacted.*)$",
     r"(?i)^(?:null|none|undefined|true|false)$",
 )
+# Folders and files that a caller may leave out of the secret layer (`allowed_paths`).
 ALLOWED_PATHS = (
     r"(?:^|/)node_modules/",
     r"(?:^|/)\.git/",
@@ -232,8 +233,10 @@ def detect_secrets(
     allow: Iterable[str] = ALLOWED_VALUES,
     all_occurrences: bool = False,
     path: Column | None = None,
+    allowed_paths: Iterable[str] = (),
 ) -> Column:
-    """The secret layer of one text; empty for an allowlisted path."""
+    """The secret layer of one text; NULL, as a layer that did not run, where the path is on the given allowlist."""
     rules, allow = list(rules), tuple(allow)
     found = column(lambda t: secrets_sql(t, rules, allow, all_occurrences), t=text)
-    return found if path is None else F.when(allowed_path(path), F.expr(NO_FINDINGS)).otherwise(found)
+    allowed_paths = tuple(allowed_paths)
+    return F.when(~allowed_path(path, allowed_paths), found) if path is not None and allowed_paths else found

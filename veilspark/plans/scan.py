@@ -32,7 +32,8 @@ class ScanOptions:
     `models` maps a layer name (`pattern` or `lexicon`) to a user function over
     pandas text batches; a failing model yields a layer error and the scan goes
     on. `all_occurrences` redacts every place of a secret, `mode="cover"` the
-    whole extent of overlapping findings.
+    whole extent of overlapping findings. Secrets are searched at every path unless
+    `allowed_paths` names patterns (`secrets.ALLOWED_PATHS`, say); there `n_secret` is NULL.
     """
 
     threshold: float = 0.5
@@ -40,6 +41,7 @@ class ScanOptions:
     lexicon: Lexicon | None = None
     secret_rules: Sequence[SecretRule] = SECRET_RULES
     allowed_values: tuple[str, ...] = ALLOWED_VALUES
+    allowed_paths: tuple[str, ...] = ()
     extra_rules: Sequence[Rule] = ()
     lexicon_rules: Sequence[Rule] = LEXICON_RULES
     all_occurrences: bool = False
@@ -87,7 +89,7 @@ def detect_layers(
 
     out = df.withColumn("depth", level)
     columns = {
-        "f_secret": detect_secrets(body, options.secret_rules, options.allowed_values, options.all_occurrences, path),
+        "f_secret": detect_secrets(body, options.secret_rules, options.allowed_values, options.all_occurrences, path, options.allowed_paths),
         "f_pattern": gated(lambda: pattern_layer(body, options), ("standard", "deep")),
         "f_lexicon": gated(lambda: detect_lexicon(body, options.lexicon, options.lexicon_rules), ("deep",)),
         "layer_errors": F.lit(None).cast("map<string,string>"),
