@@ -148,6 +148,27 @@ def test_fertility_rejects_out_of_band_texts(spark, odd, empty):
     assert fertility.rate(odd, path).count() == odd.count() and fertility.rate(empty, path).count() == 0
 
 
+def test_entropy_does_not_fall_with_length():
+    rng = np.random.default_rng(14)
+    share = 1 / np.arange(1, 301)
+    is_byte = np.zeros(32_000, bool)
+    clean = rng.choice(300, size=1_000_000, p=share / share.sum()).astype(np.uint16)
+    poor = rng.choice(3, size=1_000_000).astype(np.uint16)
+    band = fertility.BANDS["latin"]
+    for n in (150, 1_000, 1_500, 20_000, 1_000_000):
+        for ids, kept in ((clean[:n], True), (poor[:n], False)):
+            per_token, byte_share, entropy, relative = fertility.measures(ids, 3 * n, is_byte)
+            assert fertility.in_band(per_token, byte_share, relative, band) == kept
+            share_of = np.bincount(ids)[np.bincount(ids) > 0] / n
+            assert abs(entropy + (share_of * np.log2(share_of)).sum()) < 1e-9
+    values = [fertility.measures(clean[:n], n, is_byte)[3] for n in (1_024 * 20, 1_000_000)]
+    assert abs(values[0] - values[1]) < 0.01
+    # windows cover the text to its end
+    half = np.concatenate((clean[:5_000], np.zeros(5_000, np.uint16)))
+    assert fertility.measures(half, 1, is_byte)[3] < 0.6 * fertility.measures(clean[:10_000], 1, is_byte)[3]
+    assert fertility.measures(clean[:1], 1, is_byte)[2:] == (0.0, 1.0) and fertility.measures(clean[:0], 0, is_byte)[3] == 0.0
+
+
 # --- toxicity and language
 
 def test_toxicity_is_learned_from_labels(spark, odd, empty):
