@@ -169,6 +169,37 @@ def test_entropy_does_not_fall_with_length():
     assert fertility.measures(clean[:1], 1, is_byte)[2:] == (0.0, 1.0) and fertility.measures(clean[:0], 0, is_byte)[3] == 0.0
 
 
+def test_fertility_rejects_byte_noise_and_keeps_scripts_spelled_in_bytes(spark):
+    rng = random.Random(15)
+    words = lambda chars, n=80: " ".join("".join(chr(rng.choice(chars)) for _ in range(5)) for _ in range(n))
+    running = {
+        "greek": "Η γρήγορη καφέ αλεπού πηδάει πάνω από το τεμπέλικο σκυλί και τρέχει στο δάσος κάθε πρωί",
+        "arabic": "يقفز الثعلب البني السريع فوق الكلب الكسول ويركض إلى الغابة كل صباح",
+        "hebrew": "השועל החום המהיר קופץ מעל הכלב העצלן ורץ אל היער בכל בוקר",
+        "hangul": "빠른 갈색 여우가 게으른 개를 뛰어넘어 매일 아침 숲으로 달려갑니다",
+        "other": "ፈጣኑ ቡናማ ቀበሮ ሰነፉን ውሻ ዘሎ በየቀኑ ጠዋት ወደ ጫካ ይሮጣል",
+        "han": "敏捷的 棕色 狐狸 每天 早上 跳过 懒狗 跑进 森林里 寻找 食物 然后 回家 休息",
+    }
+    good = [(i, name, " ".join(rng.choices(text.split(), k=80))) for i, (name, text) in enumerate(running.items())]
+    bad = [
+        words(range(0x10000, 0x10400)), words(range(0xE000, 0xF701)), words(range(0x1F300, 0x1F650)), words(range(0x1D400, 0x1D6A4)),
+        words(range(0x590, 0x700)), words(range(0x391, 0x3A1)), words(range(0xAC00, 0xD7A4)), words(range(0x4E00, 0xA000)),
+        " ".join(w + " " + n for w, n in zip(running["other"].split() * 8, words(range(0xE000, 0xF701)).split())),
+        " ".join(["-" * (40 + i % 30) for i in range(80)]),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, _, t in good] + [(100 + i, t) for i, t in enumerate(bad)], "doc_id long, text string")
+    second = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    got = {r.doc_id: r for r in fertility.rate(docs, public_tokenizers.path("piece_bpe_32k.model"), second=second).collect()}
+    assert {i: (got[i].script, got[i].kept) for i, _, _ in good} == {i: (name, True) for i, name, _ in good}
+    assert {i: got[i].kept for i in got if i >= 100} == {100 + i: False for i in range(len(bad))}
+    assert not any(got[i].base_failed for i in got if i < 109)
+    # byte tokens are those of the characters that the vocabulary lacks
+    vocab = fertility.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    for _, _, text in good:
+        lost = sum(len(c.encode()) for c in text.replace(" ", "") if vocab.lacks[ord(c)])
+        assert vocab.is_byte[vocab.pieces([text.encode().split()])[0]].sum() == lost
+
+
 # --- toxicity and language
 
 def test_toxicity_is_learned_from_labels(spark, odd, empty):

@@ -55,7 +55,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fertility.rate(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    import public_tokenizers
+
+    second = vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    return fertility.rate(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), second=second)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
