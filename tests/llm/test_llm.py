@@ -217,6 +217,22 @@ def test_toxicity_is_learned_from_labels(spark, odd, empty):
     assert {r.predicted for r in toxicity.score(docs, none).collect()} == {0}
 
 
+def test_toxicity_scale_does_not_move_with_the_sample(spark):
+    rng = random.Random(16)
+    words = ["".join(rng.choices("aeionrstlm", k=rng.randint(2, 7))) for _ in range(60)]
+    # the telling word stands in all toxic texts and a fifth of the others: about 1 toxic in 3 where it stands
+    make = lambda bad: " ".join(rng.choices(words, k=30) + (["grobian"] if bad or rng.random() < 0.2 else []))
+    rows = [(i, make(i % 10 == 0), int(i % 10 == 0)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").cache()
+    labels = docs.select("doc_id", "toxic")
+    held = [text for _, text, _ in rows]
+    odds = lambda model: np.log(model.scores(held) / (1 - model.scores(held)))
+    whole = odds(toxicity.train(docs, labels))
+    for most_toxic, most_other in ((300, 300), (100, 2700), (150, 300)):
+        some = odds(toxicity.train(docs, labels, most_toxic, most_other))
+        assert abs(np.median(some) - np.median(whole)) < 0.7 and abs(some.mean() - whole.mean()) < 0.7
+
+
 def test_chains_equal_sums_over_all_paths():
     rng = np.random.default_rng(8)
     emission, move, begin = rng.normal(size=(7, 3)), rng.normal(size=(3, 3)), np.zeros(3)

@@ -7,7 +7,9 @@ over that among the others; logistic regression is fitted on the scaled features
 a text's score is the logistic function of the sum of r * w over its features.
 
 The classifier is fitted on a bounded sample of labelled rows (`most_toxic`,
-`most_other`; the first ones by a hash of doc_id). Scoring covers every row and whole
+`most_other`; the first ones by a hash of doc_id). Each kind weighs as many rows as all
+labels have of it, so the scale of the scores is that of the whole labels' mix, whatever
+the bounds leave of it. Scoring covers every row and whole
 texts. Null and empty texts have no features and get the bias alone. Repeated rows
 score alike. A doc_id with two labels counts as toxic if one of them is. Further
 columns of the input are not read. With an empty table, or labels of one kind only,
@@ -71,11 +73,16 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(margins, -40, 40)))
 
 
-def fit_model(some: list[str], toxic: list[bool], least_texts: int = 5, least_ratio: float = 1.0, toxic_weight: float = 4.0, steps: int = 60, rate: float = 0.05, ridge: float = 30.0) -> Model:
-    """Naive Bayes ratios and logistic regression on the scaled features (full gradients with adaptive steps)."""
+def fit_model(some: list[str], toxic: list[bool], least_texts: int = 5, least_ratio: float = 1.0, toxic_weight: float = 4.0, steps: int = 60, rate: float = 0.05, ridge: float = 30.0, stands_for: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """Naive Bayes ratios and logistic regression on the scaled features (full gradients with adaptive steps).
+
+    stands_for: how many labelled rows a toxic row and another one stand for.
+    """
     size, y = 1 << BITS, np.array(toxic, float)
+    mass = np.where(y > 0, *stands_for)
+    mean = float(np.average(y, weights=mass)) if len(y) else 0.0
     if not len(y) or y.min() == y.max():
-        share = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
+        share = float(np.clip(mean, 1e-6, 1 - 1e-6))
         return Model(np.zeros(size, np.float32), float(np.log(share / (1 - share))))
     # two passes over the texts, so that only the telling features of all texts are held at once
     in_toxic, in_other = np.ones(size), np.ones(size)
@@ -93,11 +100,12 @@ def fit_model(some: list[str], toxic: list[bool], least_texts: int = 5, least_ra
     del rows
     scale = ratio[used]
     weight = np.zeros(len(used))
-    bias = float(np.log(y.mean() / (1 - y.mean())))
+    bias = float(np.log(mean / (1 - mean)))
+    mass *= np.where(y > 0, toxic_weight, 1.0) / mass.sum()
     first, second, first_b, second_b = np.zeros_like(weight), np.zeros_like(weight), 0.0, 0.0
     for step in range(1, steps + 1):
         margin = np.bincount(row, weights=(weight * scale)[local], minlength=len(y)) + bias
-        error = (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - y) * np.where(y > 0, toxic_weight, 1.0) / len(y)
+        error = (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - y) * mass
         gradient = np.bincount(local, weights=error[row], minlength=len(used)) * scale + ridge * weight / len(y)
         first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient**2
         first_b, second_b = 0.9 * first_b + 0.1 * error.sum(), 0.99 * second_b + 0.01 * error.sum() ** 2
@@ -109,9 +117,14 @@ def fit_model(some: list[str], toxic: list[bool], least_texts: int = 5, least_ra
     return Model(weights, bias)
 
 
+def marked(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of each labelled id."""
+    return labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+
+
 def sample_labelled(docs: DataFrame, labels: DataFrame, most_toxic: int, most_other: int) -> DataFrame:
     """(text, toxic) of at most so many labelled rows: the first of either kind by a hash of doc_id."""
-    marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    marks = marked(labels)
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = marks.filter("toxic <> 0").orderBy(*order).limit(most_toxic).union(marks.filter("toxic = 0").orderBy(*order).limit(most_other))
     # at most most_toxic + most_other ids, so the join may broadcast them
@@ -120,7 +133,9 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, most_toxic: int, most_ot
 
 def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_other: int = MOST_OTHER) -> Model:
     rows = sorted(sample_labelled(docs, labels, most_toxic, most_other).collect(), key=lambda r: (r.doc_id, r.text or ""))
-    return fit_model([r.text or "" for r in rows], [r.toxic for r in rows])
+    n = {r.toxic: r["count"] for r in marked(labels).groupBy((F.col("toxic") != 0).alias("toxic")).count().collect()}
+    stands_for = tuple(max(1.0, n.get(kind, 0) / max(1, most)) for kind, most in ((True, most_toxic), (False, most_other)))
+    return fit_model([r.text or "" for r in rows], [r.toxic for r in rows], stands_for=stands_for)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
