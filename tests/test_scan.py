@@ -1,8 +1,10 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from veilspark.operators.admit import clean_findings, effective_threshold, norm_entities, split_admitted
-from veilspark.operators.lexicon import MAX_COMPILED_TERMS, Lexicon, LexiconTooLarge
+from veilspark.operators.lexicon import MAX_COMPILED_TERMS, Lexicon, LexiconTooLarge, lexicon_join
 from veilspark.operators.rules import Rule, detect
 from veilspark.operators.secrets import SECRET_RULES, detect_secrets
 from veilspark.operators.structured import PATTERN_RULES, pattern_rules
@@ -244,3 +246,36 @@ def test_conditions_on_a_result_do_not_repeat_the_scan(spark, tmp_path, conditio
 )
 def test_names_of_any_length(spark, text, sanitized):
     assert one(spark, text, options=NAMES)["sanitized"] == sanitized
+
+
+def test_long_lookup_lists_find_every_kind_of_term(spark):
+    d = "/root/testdata/sf0.1"
+    listed = [r[0] for t, c in (("customer", "c_name"), ("part", "p_name")) for r in spark.read.parquet(f"{d}/{t}.parquet").select(c).distinct().collect()]
+    listed += [f"{name} {i}" for i, name in enumerate(listed[: max(0, 21_000 - len(set(listed)))])]
+    extra = ["B.V.", "Raad van de Regio Oost", "'t Hof", "***", "Jan", "Jan de", "\U0001f600 x", "Oost"]
+    terms = sorted({*listed, *extra})
+    assert len(terms) > 20_000
+    texts = [
+        "Firma B.V. en B.V.x en xB.V. (B.V.)", "de Raad van de Regio Oost kwam, Raad van de Regio Oostende niet", "'t Hof en a't Hof, *** **** a***",
+        "Jan de Vries, Janneke, Jan", "B.V.", "", None, "\U0001f600\U0001f600 x \U0001f600 Jan ", " ".join(["wijd"] * 2_000) + " B.V.",
+    ]
+    texts += [f"{listed[i]}, {listed[-i - 1]}: {listed[i]}x" for i in range(0, 200, 7)]
+    got = {}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in lexicon_join(docs, spark.createDataFrame([(t, "t") for t in terms], "term string, tag string")).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.end, r.text))
+    by_head = {}
+    for term in terms:
+        by_head.setdefault(term[:2], []).append(term)
+    want = {}
+    for i, text in enumerate(texts):
+        at, word = 0, lambda c: bool(re.match(r"\w", c))
+        while text and at < len(text):
+            fits = [t for k in (1, 2) for t in by_head.get(text[at : at + k], []) if text.startswith(t, at) and not word(text[at + len(t) : at + len(t) + 1])]
+            if fits and not (at and word(text[at - 1])):
+                best = max(fits, key=len)
+                want.setdefault(i, []).append((at, at + len(best), best))
+                at += len(best)
+            else:
+                at += 1
+    assert {i: sorted(x) for i, x in got.items() if x != [(None, None, None)]} == want

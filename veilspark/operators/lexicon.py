@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.rowsql import column, each, each_at, empty, fold_emit, keep, let, lit, struct
 from veilspark.functions.spans import spans_of
-from veilspark.functions.text import RUNS, W_END, W_START, WORD
+from veilspark.functions.text import RUNS, W_END, W_START, WORD, segment_slice, segments
 from veilspark.operators.rules import Rule, detect_sql, sort_by_start
 from veilspark.operators.structured import BSN, EMAIL, NL_PHONE, java_form
 from veilspark.schema import LEXICON, NO_FINDINGS, PATTERN, finding
@@ -212,44 +212,61 @@ def _names_and_places(text: str, lexicon: Lexicon, layer: str) -> list[str]:
     return [person_findings(text, lexicon, layer), lexicon_findings(text, others, layer)]
 
 
-def lexicon_join(docs: DataFrame, lexicon: DataFrame, max_words: int, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Listed terms for a list of any size, as rows (id, start, end, tag, text).
+def lexicon_join(docs: DataFrame, lexicon: DataFrame, max_words: int | None = None, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Listed terms for a list of any size, as rows (id, start, end, tag, text); with `max_words`, terms of so many words.
 
-    Word n-grams with their offsets are joined to the list on the term. Neither
-    side is forced into memory: Spark broadcasts the list when its size allows
-    and otherwise shuffles both, splitting hot terms under AQE. Text never enters
-    the exchange, only the n-grams.
+    The words of the texts are joined to the first word of each term, then the term is
+    compared with the slice of text around that word; a term without any word is joined
+    on its first character. So terms may begin and end in any character and have any
+    number of words. Neither side is forced into memory: Spark broadcasts the list when
+    its size allows and otherwise shuffles both, splitting hot words under AQE. What
+    enters the exchange of the texts is a slice as long as the longest term per word.
     """
-    ngrams = docs.select(id, F.explode(word_ngrams(F.col(text), max_words)).alias("g")).select(
-        id, F.col("g.start").alias("start"), F.col("g.end").alias("end"), F.col("g.text").alias("term")
+    word = f"[{WORD}]+"
+    terms = lexicon.filter(F.length("term") > 0).groupBy("term").agg(F.min("tag").alias("tag"))
+    if max_words is not None:
+        terms = terms.filter(F.regexp_count("term", F.lit(word)) <= max_words)
+    first = F.regexp_extract("term", word, 0)
+    terms = terms.select(
+        "term", "tag", F.length("term").alias("size"),
+        F.when(first == "", F.substring("term", 1, 1)).otherwise(first).alias("key"),
+        F.when(first == "", 0).otherwise(F.length(F.regexp_extract("term", f"^[^{WORD}]*", 0))).alias("ahead"),
+        (first == "").alias("wordless"),
+    )
+    reach = terms.agg(F.max("ahead").alias("ahead"), F.max(F.col("size") - F.col("ahead")).alias("behind"), F.max("wordless").alias("wordless")).first()
+    ahead, behind = (reach["ahead"] or 0) + 1, (reach["behind"] or 0) + 1
+    places = docs.select(id, F.explode(word_slices(F.col(text), ahead, behind, bool(reach["wordless"]))).alias("g")).select(id, "g.*")
+    at = F.least(F.col("start"), F.lit(ahead)) - F.col("ahead")  # the term's place in the slice
+    hits = places.join(terms, "key").filter(at >= 0).filter(
+        (F.substring("around", at + 1, F.col("size")) == F.col("term"))
+        & ((at == 0) | ~F.substring("around", at, F.lit(1)).rlike(word))
+        & ~F.substring("around", at + F.col("size") + 1, F.lit(1)).rlike(word)
     )
-    tags = lexicon.groupBy("term").agg(F.min("tag").alias("tag"))
-    hits = ngrams.join(tags, "term").select(id, "start", "end", "tag", F.col("term").alias("text"))
-    return longest_first(hits, id)
+    start = F.col("start") - F.col("ahead")
+    return longest_first(hits.select(id, start.alias("start"), (start + F.col("size")).alias("end"), "tag", F.col("term").alias("text")), id)
 
 
-def word_ngrams(text: Column, max_words: int) -> Column:
-    """array<struct<start,end,text>> of all runs of 1..n words, offsets kept."""
+def word_slices(text: Column, ahead: int, behind: int, others: bool = False) -> Column:
+    """array<struct<start,key,around>>: each word (with `others`, also each character between words) and the text from
+    `ahead` characters before its start to `behind` after it."""
 
-    def grams(runs: str) -> str:
-        words = keep(
-            each_at(runs, lambda r, i: f"CASE WHEN {r}.text RLIKE {lit(f'^[{WORD}]')} THEN {i} END"),
-            lambda i: f"{i} IS NOT NULL",
+    def around(segs: str, size: str, start: str, key: str) -> str:
+        return struct(
+            start=start, key=key, around=segment_slice(segs, f"greatest(0, {start} - {ahead})", f"least({size}, {start} + {behind})")
         )
 
-        def made(i: str, k: str) -> str:
-            parts = each(f"slice({runs}, {i} + 1, {k} * 2 + 1)", lambda r: f"{r}.text")
-            return struct(
-                start=f"get({runs}, {i}).start", end=f"get({runs}, {i} + {k} * 2).end", text=f"array_join({parts}, '')"
-            )
+    def places(runs: str, segs: str, size: str) -> str:
+        is_word = lambda r: f"{r}.text RLIKE {lit(f'^[{WORD}]')}"
+        words = each(keep(runs, is_word), lambda r: around(segs, size, f"{r}.start", f"{r}.text"))
+        if not others:
+            return words
+        chars = lambda r: each_at(f"split({r}.text, '')", lambda c, i: around(segs, size, f"({r}.start + {i})", c))
+        return f"concat({words}, flatten({each(keep(runs, lambda r: f'NOT {is_word(r)}'), chars)}))"
 
-        def sizes(i: str) -> str:
-            fitting = keep(f"sequence(0, {max_words - 1})", lambda k: f"{i} + {k} * 2 < size({runs})")
-            return each(fitting, lambda k: made(i, k))
+    def sliced(t: str) -> str:
+        return let(spans_of(t, lit(RUNS)), lambda runs: let(segments(t), lambda segs: let(f"length({t})", lambda size: places(runs, segs, size))))
 
-        return f"flatten({each(words, sizes)})"
-
-    return column(lambda t: let(spans_of(t, lit(RUNS)), grams), t=text)
+    return column(sliced, t=text)
 
 
 _HIT = "struct<start:int,neg_end:int,tag:string,text:string>"
