@@ -100,11 +100,26 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.ledger(spark, store).select("batch", "source", "lang", "tokenizer", "docs", "tokens")
 
 
+def op10_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by source, language and tokenizer after counts by words go in and a batch, committed twice, revises them all to counts by signs."""
+    docs = table(spark, sf_dir, "documents")
+    count = lambda pattern: F.coalesce(F.regexp_count("text", F.lit(pattern)), F.lit(0)).cast("long")
+    counted = stored(docs.select("source", "lang", count(WORD).alias("words"), count(SIGNS).alias("signs")), "token-totals")
+    both = counted.select("source", "lang", F.lit("current").alias("tokenizer"), F.col("words").alias("old_tokens"), F.col("signs").alias("new_tokens"))
+    store = new_folder(spark, "rollup")
+    first = both.withColumn("new_tokens", F.col("old_tokens")).withColumn("old_tokens", F.lit(None).cast("long"))
+    token_counts.commit(first.withColumn("op", F.lit("insert")), store, "1-load")
+    for _ in range(2):
+        token_counts.commit(both.withColumn("op", F.lit("revise")), store, "2-revise")
+    return token_counts.totals(spark, store)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_language_id, op3_embedding_dedup, op4_line_dedup, op5_ngram_jaccard,
         op6_token_orc, op7_byte_bpe, op8_fertility, op9_toxicity, op10_token_counts,
+        op10_token_totals,
     )
 }
 
@@ -170,4 +185,8 @@ changes AS (
   UNION ALL SELECT '3-retokenize', source, lang, 'signs', 1, signs FROM counted WHERE later IS NOT TRUE)
 SELECT batch, source, lang, tokenizer, CAST(sum(d) AS BIGINT) AS docs, CAST(sum(t) AS BIGINT) AS tokens
 FROM changes GROUP BY ALL""",
+    "op10_token_totals": r"""
+SELECT source, lang, 'current' AS tokenizer, CAST(count(*) AS BIGINT) AS docs,
+       CAST(sum(coalesce(len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]')), 0)) AS BIGINT) AS tokens
+FROM documents GROUP BY ALL""",
 }
