@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import bpe, fertility, language, line_dedup, mixing, ngram_join, token_counts, tokens_orc, toxicity, vectors
+from veilspark.llm import bpe, decontaminate, fertility, language, line_dedup, mixing, ngram_join, token_counts, tokens_orc, toxicity, vectors
 from veilspark.llm.shared import WORD, held_out, new_folder, stored
 
 
@@ -114,12 +114,22 @@ def op10_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.totals(spark, store)
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
+    return marked.select(
+        "doc_id", F.col("leak.n_words").cast("long").alias("n_words"), F.col("leak.n_hit").cast("long").alias("n_hit"),
+        F.size("leak.items").cast("long").alias("n_items"), F.sha2(F.array_join("leak.items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("leak.n_hit") > 0).alias("contaminated"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_language_id, op3_embedding_dedup, op4_line_dedup, op5_ngram_jaccard,
         op6_token_orc, op7_byte_bpe, op8_fertility, op9_toxicity, op10_token_counts,
-        op10_token_totals,
+        op10_token_totals, op11_decontaminate,
     )
 }
 
@@ -189,4 +199,28 @@ FROM changes GROUP BY ALL""",
 SELECT source, lang, 'current' AS tokenizer, CAST(count(*) AS BIGINT) AS docs,
        CAST(sum(coalesce(len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]')), 0)) AS BIGINT) AS tokens
 FROM documents GROUP BY ALL""",
+    "op11_decontaminate": r"""
+WITH items AS (
+  SELECT rowid AS item, item_id, ws, least(10, len(ws)) AS k FROM (
+    SELECT row_number() OVER () AS rowid, item_id,
+           regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+    FROM benchmark) WHERE len(ws) > 0),
+windows AS (
+  SELECT DISTINCT item_id, k, array_to_string(ws[p : p + k - 1], ' ') AS gram
+  FROM (SELECT *, unnest(generate_series(1, len(ws) - k + 1)) AS p FROM items)),
+docs AS (
+  SELECT row_number() OVER () AS d, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws
+  FROM documents),
+places AS (
+  SELECT d, p, k, array_to_string(ws[p : p + k - 1], ' ') AS gram
+  FROM (SELECT d, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS p FROM docs, (SELECT DISTINCT k FROM windows))),
+found AS (SELECT d, p, k, item_id FROM places JOIN windows USING (k, gram)),
+hits AS (SELECT d, count(DISTINCT w) AS n FROM (SELECT d, unnest(generate_series(p, p + k - 1)) AS w FROM (SELECT DISTINCT d, p, k FROM found)) GROUP BY d),
+named AS (
+  SELECT d, count(*) AS n, string_agg(i, ',' ORDER BY i) AS ids
+  FROM (SELECT DISTINCT d, CAST(item_id AS VARCHAR) AS i FROM found WHERE item_id IS NOT NULL) GROUP BY d)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(i.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits h USING (d) LEFT JOIN named i USING (d)""",
 }

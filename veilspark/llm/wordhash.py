@@ -35,14 +35,18 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class BatchWords:
-    """Word hashes of a list of UTF-8 texts; of(i) gives those of text i, in order."""
+    """Word hashes of a list of UTF-8 texts; of(i) gives those of text i, in order.
 
-    def __init__(self, raw: list[bytes], lower: bool = False):
+    apart: for each byte, whether it stands between words (the line feed must). data holds all texts, start and end the
+    words' places in it, origin the places of the texts.
+    """
+
+    def __init__(self, raw: list[bytes], lower: bool = False, apart: np.ndarray = _SPACE):
         joined = b"\n".join(raw) + b"\n"
         data = np.frombuffer(joined, np.uint8)
         if lower:
             data = _LOWER[data]
-        space = _SPACE[data]
+        space = apart[data]
         edge = np.diff(np.concatenate(([1], space)).astype(np.int8))
         start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         n = len(data)
@@ -50,8 +54,9 @@ class BatchWords:
         np.cumsum(_BYTES[data] * _powers(BASE, n), dtype=np.uint64, out=sums[1:])
         shift = _powers(pow(BASE, -1, 1 << 64), n)
         self.hashes = mix((sums[end] - sums[start]) * shift[start] + (end - start).astype(np.uint64))
-        first = np.cumsum([0, *[len(x) + 1 for x in raw]])
-        self.bounds = np.searchsorted(start, first)
+        self.data, self.start, self.end = data, start, end
+        self.origin = np.cumsum([0, *[len(x) + 1 for x in raw]])
+        self.bounds = np.searchsorted(start, self.origin)
 
     def of(self, i: int) -> np.ndarray:
         return self.hashes[self.bounds[i] : self.bounds[i + 1]]
