@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import bpe, decontaminate, fertility, language, line_dedup, mixing, ngram_join, token_counts, tokens_orc, toxicity, vectors
+from veilspark.llm import bpe, decontaminate, fertility, language, line_dedup, mixing, negatives, ngram_join, token_counts, tokens_orc, toxicity, vectors
 from veilspark.llm.shared import WORD, held_out, new_folder, stored
 
 
@@ -124,12 +124,19 @@ def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    label = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("vec"))
+    return negatives.mine(rows, F.col("id") % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_language_id, op3_embedding_dedup, op4_line_dedup, op5_ngram_jaccard,
         op6_token_orc, op7_byte_bpe, op8_fertility, op9_toxicity, op10_token_counts,
-        op10_token_totals, op11_decontaminate,
+        op10_token_totals, op11_decontaminate, op12_hard_negatives,
     )
 }
 
@@ -223,4 +230,23 @@ named AS (
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(i.n, 0) AS BIGINT) AS n_items,
        sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hits h USING (d) LEFT JOIN named i USING (d)""",
+    "op12_hard_negatives": """
+WITH given AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS vec
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+         CAST(list_dot_product(a.vec, b.vec) AS BIGINT) AS score
+  FROM given a JOIN given b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)
+QUALIFY row_number() OVER w <= 10""",
 }
