@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import bpe, decontaminate, fertility, language, line_dedup, mixing, negatives, ngram_join, token_counts, tokens_orc, toxicity, vectors
+from veilspark.llm import bpe, conversations, decontaminate, fertility, language, line_dedup, mixing, negatives, ngram_join, token_counts, tokens_orc, toxicity, vectors
 from veilspark.llm.shared import WORD, held_out, new_folder, stored
 
 
@@ -131,12 +131,26 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(rows, F.col("id") % 100 == 0)
 
 
+def op13_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damages the conversations as the contract says, then repairs them."""
+    rows = table(spark, sf_dir, "conversations")
+    named = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    kind = F.crc32(F.concat_ws(":", *named).cast("binary")) % 20
+    text = F.coalesce("text", F.lit(" "))
+    damaged = rows.select(
+        "conv_id", "turn", F.when(kind == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1).alias("copies"),
+    )
+    return conversations.report(conversations.repaired(damaged, F.col("copies")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_language_id, op3_embedding_dedup, op4_line_dedup, op5_ngram_jaccard,
         op6_token_orc, op7_byte_bpe, op8_fertility, op9_toxicity, op10_token_counts,
-        op10_token_totals, op11_decontaminate, op12_hard_negatives,
+        op10_token_totals, op11_decontaminate, op12_hard_negatives, op13_repair_conversations,
     )
 }
 
