@@ -69,6 +69,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Two tokenizer versions for the rollup: words, and runs of letters or digits with every other sign alone.
 SIGNS = r"[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]"
+#: Parts in which the copies of a text are joined.
+COPY_PARTS = 16
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,8 +84,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "source", "lang", F.md5(F.coalesce("text", F.lit(""))).alias("copy"), count(WORD).alias("words"), count(SIGNS).alias("signs")
     )
     counted = stored(counted, "token-counts")
-    firsts = counted.groupBy("copy").agg(F.min("doc_id").alias("first"))
-    marked = counted.join(firsts, "copy").withColumn("later", F.col("doc_id") > F.col("first"))
+    # texts that stand once have no copies; a text that stands very often is joined in parts
+    firsts = counted.groupBy("copy").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    firsts = firsts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(COPY_PARTS - 1))))
+    marked = counted.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(COPY_PARTS)).cast("int")).join(firsts, ["copy", "part"], "left")
+    marked = marked.withColumn("later", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
     none = F.lit(None).cast("long")
 
     def changes(rows: DataFrame, op: str, tokenizer: str, old, new) -> DataFrame:
@@ -94,7 +99,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     copies = changes(marked.filter("later"), "delete", "words", F.col("words"), none)
     for _ in range(2):
         token_counts.commit(copies, store, "2-copies")
-    rest = marked.filter("not later or later is null")
+    rest = marked.filter("not later")
     moved = changes(rest, "delete", "words", F.col("words"), none).union(changes(rest, "insert", "signs", none, F.col("signs")))
     token_counts.commit(moved, store, "3-retokenize")
     return token_counts.ledger(spark, store).select("batch", "source", "lang", "tokenizer", "docs", "tokens")

@@ -2,10 +2,12 @@
 
 A store is a folder of committed batches. A batch is a set of changes: inserts and
 deletes of counts, and revisions from an old to a new count. It is summed to signed
-deltas by source, language and tokenizer version, and written under its batch id.
-Totals are sums of deltas, so the order of batches does not matter, and a batch is
-committed once: repeating one that is in the store changes nothing, and what a lost
-attempt left behind is overwritten.
+deltas by source, language and tokenizer version, and written under its batch id (any
+text but the empty one). Totals are sums of deltas, so the order of batches does not
+matter, and a batch is committed once: repeating one that is in the store changes
+nothing. Readers see a batch only once its mark is there, which is written last; what a
+lost attempt left behind is not counted, and overwritten when the batch comes again. A
+store without batches has no rows.
 
 A null source, language or version is a group of its own. Counts that are null are 0.
 Each change row counts, repeated ones too. Groups whose documents and tokens are both 0
@@ -15,6 +17,8 @@ committed and adds nothing.
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +26,17 @@ KEYS = ("source", "lang", "tokenizer")
 SCHEMA = "source string, lang string, tokenizer string, docs long, tokens long, batch string"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+#: The file that makes a batch part of the store, written when all of its own files are there.
+MARK = "_committed"
+
+
+def _files(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
+    return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def _mark(spark: SparkSession, folder: str):
+    return _files(spark, f"{folder}/{MARK}")
 
 
 def deltas(changes: DataFrame) -> DataFrame:
@@ -40,16 +52,28 @@ def deltas(changes: DataFrame) -> DataFrame:
 
 def commit(changes: DataFrame, store: str, batch: str) -> bool:
     """Commit a batch; False where the store has it already."""
-    path = f"{store}/batch={batch}"
-    if _exists(changes.sparkSession, f"{path}/_SUCCESS"):
+    if not batch:
+        raise ValueError("a batch needs an id")
+    spark, folder = changes.sparkSession, f"{store}/{quote(batch, safe='')}"
+    mark, files = _mark(spark, folder)
+    if files.exists(mark):
         return False
-    deltas(changes).coalesce(1).write.mode("overwrite").parquet(path)
+    deltas(changes).withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(folder)
+    files.create(mark, False).close()
     return True
 
 
+def committed(spark: SparkSession, store: str) -> list[str]:
+    """The folders of the committed batches, one per batch."""
+    where, files = _files(spark, store)
+    folders = [str(f.getPath()) for f in files.listStatus(where) if f.isDirectory()] if files.exists(where) else []
+    return sorted(f for f in folders if files.exists(_mark(spark, f)[0]))
+
+
 def ledger(spark: SparkSession, store: str) -> DataFrame:
     """All committed deltas with their batch."""
-    return spark.read.schema(SCHEMA).option("basePath", store).parquet(store)
+    folders = committed(spark, store)
+    return spark.read.schema(SCHEMA).parquet(*folders) if folders else spark.createDataFrame([], SCHEMA)
 
 
 def totals(spark: SparkSession, store: str) -> DataFrame:
