@@ -1,10 +1,11 @@
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from veilspark.operators.admit import clean_findings, effective_threshold, norm_entities, split_admitted
-from veilspark.operators.lexicon import MAX_COMPILED_TERMS, Lexicon, LexiconTooLarge, lexicon_join
+from veilspark.operators.lexicon import Lexicon, lexicon_join
 from veilspark.operators.rules import Rule, detect
 from veilspark.operators.secrets import SECRET_RULES, detect_secrets
 from veilspark.operators.structured import PATTERN_RULES, pattern_rules
@@ -196,10 +197,14 @@ def test_sinks_hold_no_matched_text(spark, tmp_path):
     assert debug["text"] == "geheim@x.nl" and debug["description"] == "EMAIL_ADDRESS"
 
 
-def test_lexicon_limits(spark):
-    with pytest.raises(LexiconTooLarge):
-        Lexicon.of((f"t{i}", "locatie") for i in range(MAX_COMPILED_TERMS + 1))
-    big = Lexicon.of([(f"Plaats{i}", "locatie") for i in range(MAX_COMPILED_TERMS - 2)] + [("Aa en Hunze (gem.)", "locatie"), ("Aa", "locatie")])
+def as_table(spark, terms):
+    return spark.createDataFrame(list(terms), "term string, tag string")
+
+
+@pytest.mark.parametrize("form", ["list", "table"])
+def test_lexicon_of_several_thousand_terms(spark, form):
+    terms = [(f"Plaats{i}", "locatie") for i in range(3000)] + [("Aa en Hunze (gem.)", "locatie"), ("Aa", "locatie")]
+    big = Lexicon.of(terms) if form == "list" else as_table(spark, terms)
     row = one(spark, "Van Plaats1 naar Plaats1234, Plaats99999 en Aa en Hunze (gem.) of Aa en", options=ScanOptions(lexicon=big, lexicon_rules=()))
     # a term that ends in a sign has no word boundary after it unless a word follows
     assert row["sanitized"].startswith("Van [LOCATION] naar [LOCATION], Plaats99999 en [LOCATION]")
@@ -279,3 +284,30 @@ def test_long_lookup_lists_find_every_kind_of_term(spark):
             else:
                 at += 1
     assert {i: sorted(x) for i, x in got.items() if x != [(None, None, None)]} == want
+
+
+def test_a_table_finds_what_a_list_finds(spark):
+    terms = [
+        ("Jan", "persoon"), ("Jan de", "persoon"), ("Anna", "persoon"), ("van Dijk", "persoon"), ("jan", "persoon"), ("Jan", "locatie"), ("de", "locatie"),
+        ("Aa", "locatie"), ("Aa en Hunze (gem.)", "locatie"), ("B.V.", "organisatie"), ("(B", "organisatie"), ("UMC Oost", "ziekenhuis"), ("UMC", "zorg"),
+        ("UMC", "organisatie"), ("--", "organisatie"), ("x", "eigen"), ("x y", "locatie"), ("Raad van de Regio Oost", "organisatie"), ("", "locatie"),
+    ]
+    rng = random.Random(8)
+    words = [*[t for t, _ in terms], "de", "van", "der", "Vries", "Mc9", "Anna-Maria", "Piet", "a.b@x.nl", "06-12345678", "\n", "  ", "Éva", "y", "Hunze", "(gem.)", "😀"]
+    texts = [rng.choice([" ", "", ", ", " "]).join(rng.choices(words, k=rng.randint(1, 14))) for _ in range(300)]
+    texts += ["".join(w + rng.choice([" ", " ", " ", "-", ""]) for w in rng.choices(words, k=20)) for _ in range(200)] + ["", None, texts[0], texts[0]]
+    df = spark.createDataFrame([(i if i % 9 else None, t, rng.choice(["quick", "standard", "deep"])) for i, t in enumerate(texts)], "doc_id long, text string, d string")
+    forms = []
+    for lexicon in (Lexicon.of(terms), as_table(spark, terms)):
+        out = scan(df, F.col("d"), options=ScanOptions(lexicon=lexicon))
+        forms.append(sorted(repr(r) for r in out.collect()))
+    assert len(forms[0]) == len(texts) and forms[0] == forms[1]
+
+
+def test_a_table_with_a_very_long_term_ships_hits_only(spark):
+    long = " ".join(f"w{i}" for i in range(100))
+    lexicon = as_table(spark, [(long, "locatie"), ("w1", "locatie"), ("Piet", "persoon")])
+    df = spark.createDataFrame([(1, f"{long} {long[:-1]} Piet de Wit " + "w0 " * 4000)], "doc_id long, text string")
+    row = scan(df, "deep", options=ScanOptions(lexicon=lexicon, entities=("PERSON", "LOCATION"))).first()
+    assert row["n_lexicon"] == 3 and row["sanitized"].startswith("[LOCATION] w0 [LOCATION] w2 ")
+    assert scan(df, "deep", options=ScanOptions(lexicon=lexicon.limit(0))).first()["n_lexicon"] == 0

@@ -14,10 +14,21 @@ PLACE_TEXT = "concat('Klant ', c_name, ' woont in NATION_', c_nationkey, ', niet
 PLACE_SQL = derived_sql("customer", "c_custkey", PLACE_TEXT)
 
 
+def order_terms(spark, sf_dir, tag):
+    """Two terms for each order, `Partij 7` and `Partij 7 B.V.`: tens of thousands on all but the smallest tables."""
+    orders = plain(spark, sf_dir, "orders").select(F.concat(F.lit("Partij "), F.col("o_orderkey")).alias("term"), F.lit(tag).alias("tag"))
+    return orders.unionByName(orders.withColumn("term", F.concat("term", F.lit(" B.V."))))
+
+
+def long_list(spark, sf_dir, terms, tag):
+    """A few terms among very many."""
+    return spark.createDataFrame(terms, "term string, tag string").unionByName(order_terms(spark, sf_dir, tag))
+
+
 def nation_list(spark, sf_dir):
     nations = plain(spark, sf_dir, "nation").select(F.col("n_name").alias("term"), F.lit(lex.PLACE_TAG).alias("tag"))
     regions = plain(spark, sf_dir, "region").select(F.col("r_name").alias("term"), F.lit(lex.ORG_TAG).alias("tag"))
-    return nations.unionByName(regions)
+    return nations.unionByName(regions).unionByName(order_terms(spark, sf_dir, lex.ORG_TAG))
 
 
 def listed_sql(label: str, score: str) -> str:
@@ -35,33 +46,51 @@ def places(spark, sf_dir):
     return derived(spark, sf_dir, "customer", "c_custkey", PLACE_TEXT)
 
 
-query("c17_lookup_list", listed_sql("'locatie'", "0.75"))(
-    lambda spark, sf_dir: rows(
-        places(spark, sf_dir), lex.detect_lexicon(F.col("text"), lex.Lexicon.from_table(nation_list(spark, sf_dir)), ())
-    )
-)
-query("c17_lookup_list_join", listed_sql("'locatie'", "0.75").replace("AS entity_type", "AS tag").replace(", CAST(0.75 AS DOUBLE) AS score", ""))(
-    lambda spark, sf_dir: lex.lexicon_join(places(spark, sf_dir), nation_list(spark, sf_dir), 2)
-)
-query("c12_8_location", listed_sql("'LOCATION'", "0.85"))(
-    lambda spark, sf_dir: rows(places(spark, sf_dir), lex.detect_entities(F.col("text"), lex.Lexicon.from_table(nation_list(spark, sf_dir))))
-)
+def listed(docs, terms):
+    return lex.with_listed(docs, terms)
+
+
+def layer(docs, terms):
+    """The lexicon layer of a table of terms, without its pattern rules."""
+    return rows(listed(docs, terms), lex.detect_lexicon(F.col("text"), F.col("_listed"), ()))
+
+
+def entities(docs, terms):
+    return rows(listed(docs, terms), lex.detect_entities(F.col("text"), F.col("_listed")))
+
+
+query("c17_lookup_list", listed_sql("'locatie'", "0.75"))(lambda spark, sf_dir: layer(places(spark, sf_dir), nation_list(spark, sf_dir)))
+query("c12_8_location", listed_sql("'LOCATION'", "0.85"))(lambda spark, sf_dir: entities(places(spark, sf_dir), nation_list(spark, sf_dir)))
+
+# Terms of two and more words that end in a sign: the longest that no word character follows.
+PARTY_TEXT = "concat('Van Partij ', o_orderkey, ' B.V. aan Partij ', o_orderkey * 3, ' B.V.x en Partij ', o_custkey, ' B.V.')"
+query(
+    "c17_lookup_list_join",
+    """
+    WITH o AS (SELECT CAST(o_orderkey AS BIGINT) AS k, CAST(o_custkey AS BIGINT) AS c FROM orders),
+    m AS (
+      SELECT k AS doc_id, k AS named, 4 AS start, 'Partij ' || k || ' B.V.' AS text FROM o
+      UNION ALL SELECT k, k * 3, 4 + length('Partij ' || k || ' B.V. aan '), 'Partij ' || (k * 3) FROM o
+      UNION ALL SELECT k, c, 4 + length('Partij ' || k || ' B.V. aan Partij ' || (k * 3) || ' B.V.x en '), 'Partij ' || c || ' B.V.' FROM o)
+    SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(start + length(text) AS BIGINT) AS "end", 'organisatie' AS tag, text
+    FROM m WHERE named IN (SELECT k FROM o)""",
+)(lambda spark, sf_dir: lex.lexicon_join(derived(spark, sf_dir, "orders", "o_orderkey", PARTY_TEXT), order_terms(spark, sf_dir, lex.ORG_TAG)))
 
 ORG_TEXT = "concat('order ', o_orderkey, ' van ', CASE o_orderkey % 4 WHEN 0 THEN 'Stichting De Brug' WHEN 1 THEN 'UMC Oost' WHEN 2 THEN 'stichting de brug' ELSE 'UMC Oosterhout' END, ' ontvangen')"
-ORGS = lex.Lexicon.of([("Stichting De Brug", lex.ORG_TAG), ("UMC Oost", lex.HOSPITAL_TAG), ("Stichting De", lex.ORG_TAG)])
+ORGS = [("Stichting De Brug", lex.ORG_TAG), ("UMC Oost", lex.HOSPITAL_TAG), ("Stichting De", lex.ORG_TAG)]
 query(
     "c12_9_organization",
     f"""SELECT doc_id, 'ORGANIZATION' AS entity_type, start, "end", CAST(0.85 AS DOUBLE) AS score, text
     FROM ({spans_sql(derived_sql("orders", "o_orderkey", ORG_TEXT), r"Stichting De Brug|UMC Oost\b")})""",
 )(
-    lambda spark, sf_dir: rows(
-        derived(spark, sf_dir, "orders", "o_orderkey", ORG_TEXT), lex.detect_entities(F.col("text"), ORGS)
+    lambda spark, sf_dir: entities(
+        derived(spark, sf_dir, "orders", "o_orderkey", ORG_TEXT), long_list(spark, sf_dir, ORGS, lex.PLACE_TAG)
     )
 )
 
 NAME = "CASE c_custkey % 6 WHEN 0 THEN 'Jan de Vries' WHEN 1 THEN 'Piet van der Berg-Smit' WHEN 2 THEN 'Karel de Grote' WHEN 3 THEN 'Jan' WHEN 4 THEN 'Janneke Bos' ELSE 'Jan Piet Klaas' END"
 PERSON_TEXT = f"concat('Mevrouw sprak met ', {NAME}, ' uit Utrecht over zaak ', c_custkey)"
-NAMES = lex.Lexicon.of([("Jan", lex.PERSON_TAG), ("Piet", lex.PERSON_TAG)])
+NAMES = [("Jan", lex.PERSON_TAG), ("Piet", lex.PERSON_TAG)]
 
 
 def person_sql(label: str, score: str) -> str:
@@ -73,9 +102,9 @@ def persons(spark, sf_dir):
     return derived(spark, sf_dir, "customer", "c_custkey", PERSON_TEXT)
 
 
-query("c12_7_person", person_sql("PERSON", "0.85"))(lambda spark, sf_dir: rows(persons(spark, sf_dir), lex.detect_entities(F.col("text"), NAMES)))
+query("c12_7_person", person_sql("PERSON", "0.85"))(lambda spark, sf_dir: entities(persons(spark, sf_dir), long_list(spark, sf_dir, NAMES, lex.PERSON_TAG)))
 query("c18_person_particles", person_sql("persoon", "0.75"))(
-    lambda spark, sf_dir: rows(persons(spark, sf_dir), lex.detect_lexicon(F.col("text"), NAMES, ()))
+    lambda spark, sf_dir: layer(persons(spark, sf_dir), long_list(spark, sf_dir, NAMES, lex.PERSON_TAG))
 )
 
 DATE_TEXT = (

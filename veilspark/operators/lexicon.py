@@ -1,5 +1,10 @@
 """Lexicon layer: lookup lists, person names with particles, dates, ages, numbers.
 
+A lookup list comes in one of two forms with the same result. A `Lexicon` is a list in
+the program, compiled into the expressions of the scan. A table `(term, tag)` of any size
+stays a table: `with_listed` adds to each text the places of its listed terms, by joins
+that ship hits only.
+
 The rules here are approximations built from public descriptions of what a Dutch
 de-identifier reports; they claim no parity with any engine.
 """
@@ -12,9 +17,10 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.functions.rowsql import column, each, each_at, empty, fold_emit, keep, let, lit, struct
+from veilspark.functions.rowsql import column, each, empty, fold_emit, keep, let, lit, struct
 from veilspark.functions.spans import spans_of
-from veilspark.functions.text import RUNS, W_END, W_START, WORD, segment_slice, segments
+from veilspark.functions.text import W_END, W_START, WORD, segment_slice, segments
+from veilspark.operators.places import bitmap, places, shape_sql, shapes_of
 from veilspark.operators.rules import Rule, detect_sql, sort_by_start
 from veilspark.operators.structured import BSN, EMAIL, NL_PHONE, java_form
 from veilspark.schema import LEXICON, NO_FINDINGS, PATTERN, finding
@@ -31,39 +37,21 @@ ENTITY_OF_TAG = {
     HOSPITAL_TAG: "ORGANIZATION",
 }
 
-# Up to this many terms the list is compiled into the scan itself; a longer list
-# goes through the join in `lexicon_join`.
-MAX_COMPILED_TERMS = 2000
-
 MONTHS = (
     "januari", "februari", "maart", "april", "mei", "juni", "juli",
     "augustus", "september", "oktober", "november", "december",
 )
 
 
-class LexiconTooLarge(ValueError):
-    """The list has too many terms to compile; use `lexicon_join`."""
-
-
 @dataclass(frozen=True)
 class Lexicon:
-    """A small lookup list, `(term, tag)`, kept on the driver."""
+    """A lookup list, `(term, tag)`, kept in the program; a large one belongs in a table."""
 
     terms: tuple[tuple[str, str], ...] = field(default=())
 
     @classmethod
     def of(cls, terms: Iterable[tuple[str, str]]) -> Lexicon:
-        unique = tuple(sorted(set(terms)))
-        if len(unique) > MAX_COMPILED_TERMS:
-            raise LexiconTooLarge(f"{len(unique)} terms, at most {MAX_COMPILED_TERMS}")
-        return cls(unique)
-
-    @classmethod
-    def from_table(cls, lexicon: DataFrame) -> Lexicon:
-        """Read `(term, tag)` rows; reads one row more than allowed, never the whole
-        of a large table."""
-        rows = lexicon.select("term", "tag").distinct().limit(MAX_COMPILED_TERMS + 1).collect()
-        return cls.of((r["term"], r["tag"]) for r in rows)
+        return cls(tuple(sorted(set(terms))))
 
     def with_tag(self, tag: str) -> tuple[str, ...]:
         return tuple(t for t, g in self.terms if g == tag)
@@ -176,7 +164,7 @@ LEXICON_RULES = (
 )
 
 
-def lexicon_sql(text: str, lexicon: Lexicon | None, rules: Iterable[Rule]) -> str:
+def lexicon_sql(text: str, lexicon: Lexicon | str | None, rules: Iterable[Rule]) -> str:
     parts = [detect_sql(text, rules, LEXICON, "0.0D")]
     if lexicon is not None:
         parts += _names_and_places(text, lexicon, LEXICON)
@@ -187,13 +175,20 @@ def lexicon_sql(text: str, lexicon: Lexicon | None, rules: Iterable[Rule]) -> st
     )
 
 
-def detect_lexicon(text: Column, lexicon: Lexicon | None = None, rules: Iterable[Rule] = LEXICON_RULES) -> Column:
-    """The lexicon layer of one text, all at one fixed score, sorted by start."""
+def detect_lexicon(text: Column, lexicon: Lexicon | Column | None = None, rules: Iterable[Rule] = LEXICON_RULES) -> Column:
+    """The lexicon layer of one text, all at one fixed score, sorted by start; lexicon: a list, or the column of `with_listed`."""
     rules = list(rules)
-    return column(lambda t: lexicon_sql(t, lexicon, rules), t=text)
+    return with_lexicon(lambda t, lexicon_: lexicon_sql(t, lexicon_, rules), text, lexicon)
+
 
+def with_lexicon(body, text: Column, lexicon: Lexicon | Column | None) -> Column:
+    """Column of `body(text, lexicon)`, where a lexicon that is a column becomes the SQL of its array."""
+    if isinstance(lexicon, Column):
+        return column(lambda t, found: body(t, found), t=text, found=lexicon)
+    return column(lambda t: body(t, lexicon), t=text)
 
-def entities_sql(text: str, lexicon: Lexicon | None, entities: Iterable[str] = ()) -> str:
+
+def entities_sql(text: str, lexicon: Lexicon | str | None, entities: Iterable[str] = ()) -> str:
     """SQL: PERSON, LOCATION and ORGANIZATION of the pattern layer, from the lexicon."""
     if lexicon is None:
         return NO_FINDINGS
@@ -202,74 +197,112 @@ def entities_sql(text: str, lexicon: Lexicon | None, entities: Iterable[str] = (
     return keep(found, lambda f: f"{f}.entity_type IN ({wanted})") if wanted else found
 
 
-def detect_entities(text: Column, lexicon: Lexicon | None, entities: Iterable[str] = ()) -> Column:
+def detect_entities(text: Column, lexicon: Lexicon | Column | None, entities: Iterable[str] = ()) -> Column:
     entities = tuple(entities)
-    return column(lambda t: entities_sql(t, lexicon, entities), t=text)
+    return with_lexicon(lambda t, lexicon_: entities_sql(t, lexicon_, entities), text, lexicon)
 
 
-def _names_and_places(text: str, lexicon: Lexicon, layer: str) -> list[str]:
+def _names_and_places(text: str, lexicon: Lexicon | str, layer: str) -> list[str]:
+    if isinstance(lexicon, str):
+        return [listed_persons(text, lexicon, layer), listed_others(lexicon, layer)]
     others = Lexicon(tuple(t for t in lexicon.terms if t[1] != PERSON_TAG))
     return [person_findings(text, lexicon, layer), lexicon_findings(text, others, layer)]
 
 
-def lexicon_join(docs: DataFrame, lexicon: DataFrame, max_words: int | None = None, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Listed terms for a list of any size, as rows (id, start, end, tag, text); with `max_words`, terms of so many words.
-
-    The words of the texts are joined to the first word of each term, then the term is
-    compared with the slice of text around that word; a term without any word is joined
-    on its first character. So terms may begin and end in any character and have any
-    number of words. Neither side is forced into memory: Spark broadcasts the list when
-    its size allows and otherwise shuffles both, splitting hot words under AQE. What
-    enters the exchange of the texts is a slice as long as the longest term per word.
+# A listed term in a text: `tag` is its first one by name, `other` the first that is not a person's.
+LISTED = "struct<start:int,neg_end:int,tag:string,text:string,other:string,person:boolean>"
+
+
+def term_table(lexicon: DataFrame) -> DataFrame:
+    """(term, tag, other, person, shape) of a table (term, tag); each term once."""
+    own = F.col("tag") == PERSON_TAG
+    terms = lexicon.filter(F.length("term") > 0).groupBy("term").agg(
+        F.min("tag").alias("tag"), F.min(F.when(~own, F.col("tag"))).alias("other"), F.coalesce(F.max(own), F.lit(False)).alias("person")
+    )
+    return terms.withColumn("shape", column(shape_sql, t=F.col("term")))
+
+
+def with_listed(df: DataFrame, lexicon: DataFrame, text: str = "text", name: str = "_listed") -> DataFrame:
+    """Add the places of all listed terms in a text, array<LISTED>, sorted; they may overlap.
+
+    Texts meet the list by their hash: equal texts are looked up once, and what is
+    shuffled of a text are its hits. Null texts have none.
     """
-    word = f"[{WORD}]+"
-    terms = lexicon.filter(F.length("term") > 0).groupBy("term").agg(F.min("tag").alias("tag"))
-    if max_words is not None:
-        terms = terms.filter(F.regexp_count("term", F.lit(word)) <= max_words)
-    first = F.regexp_extract("term", word, 0)
-    terms = terms.select(
-        "term", "tag", F.length("term").alias("size"),
-        F.when(first == "", F.substring("term", 1, 1)).otherwise(first).alias("key"),
-        F.when(first == "", 0).otherwise(F.length(F.regexp_extract("term", f"^[^{WORD}]*", 0))).alias("ahead"),
-        (first == "").alias("wordless"),
-    )
-    reach = terms.agg(F.max("ahead").alias("ahead"), F.max(F.col("size") - F.col("ahead")).alias("behind"), F.max("wordless").alias("wordless")).first()
-    ahead, behind = (reach["ahead"] or 0) + 1, (reach["behind"] or 0) + 1
-    places = docs.select(id, F.explode(word_slices(F.col(text), ahead, behind, bool(reach["wordless"]))).alias("g")).select(id, "g.*")
-    at = F.least(F.col("start"), F.lit(ahead)) - F.col("ahead")  # the term's place in the slice
-    hits = places.join(terms, "key").filter(at >= 0).filter(
-        (F.substring("around", at + 1, F.col("size")) == F.col("term"))
-        & ((at == 0) | ~F.substring("around", at, F.lit(1)).rlike(word))
-        & ~F.substring("around", at + F.col("size") + 1, F.lit(1)).rlike(word)
+    terms = term_table(lexicon)
+    key, body = f"{name}_key", F.coalesce(F.col(text), F.lit(""))
+    keyed = df.withColumn(key, F.unhex(F.md5(body)))
+    shaped = keyed.select(key, body.alias("body"), shapes_of(terms).alias("shapes"))
+    found = shaped.select(key, F.explode(places(F.col("body"), F.col("shapes"), bitmap(terms, lambda v: v))).alias("p")).distinct()
+    hit = F.struct(
+        F.col("p.start").alias("start"), (-F.col("p.end")).alias("neg_end"), F.col("tag"), F.col("term").alias("text"), F.col("other"), F.col("person")
+    ).cast(LISTED)
+    hits = found.join(terms, F.col("p.text") == F.col("term")).groupBy(key).agg(F.array_sort(F.collect_list(hit)).alias(name))
+    joined = keyed.join(hits.withColumnRenamed(key, f"{key}_"), F.col(key) == F.col(f"{key}_"), "left")
+    return joined.withColumn(name, F.coalesce(F.col(name), F.expr(empty(LISTED)))).select(*df.columns, name)
+
+
+def listed_others(listed: str, layer: str) -> str:
+    """SQL of `lexicon_findings` for the array of `with_listed`."""
+    label = "{h}.other" if layer == LEXICON else "map(" + ", ".join(f"{lit(t)}, {lit(e)}" for t, e in ENTITY_OF_TAG.items()) + ")[{h}.other]"
+    score = LEXICON_SCORE if layer == LEXICON else ENTITY_SCORE
+    wanted = keep(listed, lambda h: f"{label.format(h=h)} IS NOT NULL")
+    return each(
+        leftmost_longest(wanted),
+        lambda h: finding(f"{h}.start", f"-{h}.neg_end", f"{score}D", lit(layer), label.format(h=h), f"{h}.text"),
     )
-    start = F.col("start") - F.col("ahead")
-    return longest_first(hits.select(id, start.alias("start"), (start + F.col("size")).alias("end"), "tag", F.col("term").alias("text")), id)
 
 
-def word_slices(text: Column, ahead: int, behind: int, others: bool = False) -> Column:
-    """array<struct<start,key,around>>: each word (with `others`, also each character between words) and the text from
-    `ahead` characters before its start to `behind` after it."""
+# All that may follow a name: a maximal run of tail steps, wherever it begins.
+_TAILS = rf"(?:(?: {_PARTICLE}(?= ))*+ {_CAPITAL}{W_END})++"
+_NAME = "struct<start:int,neg_end:int,stop:int>"
+
+
+def listed_persons(text: str, listed: str, layer: str) -> str:
+    """SQL of `person_findings` for the array of `with_listed`.
+
+    The tails of a text are searched once. A name that ends at a blank inside a tail, or
+    where one begins, goes on to the tail's end; names and tails meet in one sorted walk.
+    """
+    label, score = (PERSON_TAG, LEXICON_SCORE) if layer == LEXICON else (ENTITY_OF_TAG[PERSON_TAG], ENTITY_SCORE)
+
+    def stops(names: str, segs: str) -> str:
+        at = "struct<at:int,kind:int,start:int,end:int>"
+        tails = each(spans_of(text, lit(_TAILS)), lambda s: f"CAST({struct(at=f'{s}.start', kind='0', start=f'{s}.start', end=f'{s}.end')} AS {at})")
+        ends = each(names, lambda h: f"CAST({struct(at=f'-{h}.neg_end', kind='1', start=f'{h}.start', end=f'-{h}.neg_end')} AS {at})")
+
+        def step(tail: str, e: str) -> tuple[str, str]:
+            inside = f"{tail} > {e}.end AND {segment_slice(segs, f'{e}.end', f'{e}.end + 1')} = ' '"
+            made = struct(start=f"{e}.start", neg_end=f"-{e}.end", stop=f"CASE WHEN {inside} THEN {tail} ELSE {e}.end END")
+            return f"CASE WHEN {e}.kind = 0 THEN {e}.end ELSE {tail} END", f"CASE WHEN {e}.kind = 1 THEN array(CAST({made} AS {_NAME})) ELSE {empty(_NAME)} END"
 
-    def around(segs: str, size: str, start: str, key: str) -> str:
-        return struct(
-            start=start, key=key, around=segment_slice(segs, f"greatest(0, {start} - {ahead})", f"least({size}, {start} + {behind})")
-        )
+        return f"array_sort({fold_emit(f'array_sort(concat({tails}, {ends}))', '0', step, 'int', _NAME)}.out)"
 
-    def places(runs: str, segs: str, size: str) -> str:
-        is_word = lambda r: f"{r}.text RLIKE {lit(f'^[{WORD}]')}"
-        words = each(keep(runs, is_word), lambda r: around(segs, size, f"{r}.start", f"{r}.text"))
-        if not others:
-            return words
-        chars = lambda r: each_at(f"split({r}.text, '')", lambda c, i: around(segs, size, f"({r}.start + {i})", c))
-        return f"concat({words}, flatten({each(keep(runs, lambda r: f'NOT {is_word(r)}'), chars)}))"
+    def claim(last: str, n: str) -> tuple[str, str]:
+        free = f"{n}.start >= {last}"
+        return f"CASE WHEN {free} THEN {n}.stop ELSE {last} END", f"CASE WHEN {free} THEN array({n}) ELSE {empty(_NAME)} END"
 
-    def sliced(t: str) -> str:
-        return let(spans_of(t, lit(RUNS)), lambda runs: let(segments(t), lambda segs: let(f"length({t})", lambda size: places(runs, segs, size))))
+    def persons(names: str) -> str:
+        def made(segs: str) -> str:
+            disjoint = f"{fold_emit(stops(names, segs), '0', claim, 'int', _NAME)}.out"
+            return each(
+                disjoint,
+                lambda n: finding(f"{n}.start", f"{n}.stop", f"{score}D", lit(layer), lit(label), segment_slice(segs, f"{n}.start", f"{n}.stop")),
+            )
 
-    return column(sliced, t=text)
+        return f"CASE WHEN size({names}) > 0 THEN {let(segments(text), made)} ELSE {NO_FINDINGS} END"
 
+    return let(keep(listed, lambda h: f"{h}.person"), persons)
 
-_HIT = "struct<start:int,neg_end:int,tag:string,text:string>"
+
+def lexicon_join(docs: DataFrame, lexicon: DataFrame, max_words: int | None = None, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Listed terms as rows (id, start, end, tag, text), leftmost first, longest at one start, disjoint; with `max_words`,
+    terms of so many words. Terms may begin and end in any character and have any number of words."""
+    if max_words is not None:
+        lexicon = lexicon.filter(F.regexp_count("term", F.lit(f"[{WORD}]+")) <= max_words)
+    found = with_listed(docs.select(id, text), lexicon, text).select(id, F.explode(column(leftmost_longest, hits=F.col("_listed"))).alias("h"))
+    return found.select(
+        id, F.col("h.start").alias("start"), (-F.col("h.neg_end")).alias("end"), F.col("h.tag").alias("tag"), F.col("h.text").alias("text")
+    )
 
 
 def leftmost_longest(hits: str) -> str:
@@ -277,21 +310,6 @@ def leftmost_longest(hits: str) -> str:
 
     def step(last: str, h: str) -> tuple[str, str]:
         free = f"{h}.start >= {last}"
-        return f"CASE WHEN {free} THEN -{h}.neg_end ELSE {last} END", f"CASE WHEN {free} THEN array({h}) ELSE {empty(_HIT)} END"
+        return f"CASE WHEN {free} THEN -{h}.neg_end ELSE {last} END", f"CASE WHEN {free} THEN array({h}) ELSE {empty(LISTED)} END"
 
-    return fold_emit(hits, "0", step, "int", _HIT) + ".out"
-
-
-def longest_first(hits: DataFrame, id: str) -> DataFrame:
-    """Disjoint hits per document: leftmost first, longest at one start."""
-    hit = F.struct(F.col("start"), (-F.col("end")).alias("neg_end"), F.col("tag"), F.col("text")).cast(_HIT)
-    kept = hits.groupBy(id).agg(F.array_sort(F.collect_list(hit)).alias("hs")).select(
-        id, F.explode_outer(column(leftmost_longest, hits=F.col("hs"))).alias("h")
-    )
-    return kept.select(
-        id,
-        F.col("h.start").alias("start"),
-        (-F.col("h.neg_end")).alias("end"),
-        F.col("h.tag").alias("tag"),
-        F.col("h.text").alias("text"),
-    )
+    return fold_emit(hits, "0", step, "int", LISTED) + ".out"

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from veilspark.functions.rowsql import column
 from veilspark.operators.admit import norm_depth
 from veilspark.operators.hooks import model_findings
-from veilspark.operators.lexicon import LEXICON_RULES, Lexicon, detect_lexicon, entities_sql
+from veilspark.operators.lexicon import LEXICON_RULES, Lexicon, detect_lexicon, entities_sql, with_lexicon, with_listed
 from veilspark.operators.merge import combine, cover_findings, merge_findings
 from veilspark.operators.propagate import propagate
 from veilspark.operators.redact import layer_count, redact
@@ -34,11 +34,13 @@ class ScanOptions:
     on. `all_occurrences` redacts every place of a secret, `mode="cover"` the
     whole extent of overlapping findings. Secrets are searched at every path unless
     `allowed_paths` names patterns (`secrets.ALLOWED_PATHS`, say); there `n_secret` is NULL.
+    The lexicon is a list in the program, or a table `(term, tag)` of any size, with the
+    same result; a table is joined to the texts, a list costs no exchange.
     """
 
     threshold: float = 0.5
     entities: tuple[str, ...] = ()
-    lexicon: Lexicon | None = None
+    lexicon: Lexicon | DataFrame | None = None
     secret_rules: Sequence[SecretRule] = SECRET_RULES
     allowed_values: tuple[str, ...] = ALLOWED_VALUES
     allowed_paths: tuple[str, ...] = ()
@@ -49,17 +51,17 @@ class ScanOptions:
     models: dict[str, Callable] | None = None
 
 
-def pattern_layer(text: Column, options: ScanOptions) -> Column:
+def pattern_layer(text: Column, options: ScanOptions, lexicon: Lexicon | Column | None) -> Column:
     rules = pattern_rules(options.entities) + list(options.extra_rules)
     threshold = f"{options.threshold or 0.5}D"
 
-    def layer(t: str) -> str:
+    def layer(t: str, lexicon_: Lexicon | str | None) -> str:
         found = detect_sql(t, rules, PATTERN, threshold)
-        if options.lexicon is None:
+        if lexicon_ is None:
             return found
-        return sort_by_start(f"concat({found}, {entities_sql(t, options.lexicon, options.entities)})")
+        return sort_by_start(f"concat({found}, {entities_sql(t, lexicon_, options.entities)})")
 
-    return column(layer, t=text)
+    return with_lexicon(layer, text, lexicon)
 
 
 def detect_layers(
@@ -87,14 +89,21 @@ def detect_layers(
             return layer() if fixed in depths else skipped
         return F.when(F.col("depth").isin(*depths), layer()).otherwise(skipped)
 
-    out = df.withColumn("depth", level)
+    out, lexicon = df.withColumn("depth", level), options.lexicon
+    if isinstance(lexicon, DataFrame):
+        if fixed != "quick":
+            # rows that skip both layers send no text
+            out = out.withColumn("_looked_up", F.when(F.col("depth") != "quick", body))
+            out = with_listed(out, lexicon, "_looked_up").drop("_looked_up")
+        lexicon = F.col("_listed")
     columns = {
         "f_secret": detect_secrets(body, options.secret_rules, options.allowed_values, options.all_occurrences, path, options.allowed_paths),
-        "f_pattern": gated(lambda: pattern_layer(body, options), ("standard", "deep")),
-        "f_lexicon": gated(lambda: detect_lexicon(body, options.lexicon, options.lexicon_rules), ("deep",)),
+        "f_pattern": gated(lambda: pattern_layer(body, options, lexicon), ("standard", "deep")),
+        "f_lexicon": gated(lambda: detect_lexicon(body, lexicon, options.lexicon_rules), ("deep",)),
         "layer_errors": F.lit(None).cast("map<string,string>"),
     }
     out = out.withColumns(columns)
+    out = out.drop("_listed")
     for layer, model in (options.models or {}).items():
         depths = ("standard", "deep") if layer == PATTERN else ("deep",)
         out = _add_model(out, body, layer, model, depths)
