@@ -1,10 +1,12 @@
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 import models
 from veilspark.operators.merge import cover_findings, merge_findings, merge_findings_table
-from veilspark.operators.propagate import PARTICLES, SKIP_WORDS, email_names, propagate
+from veilspark.operators.propagate import PARTICLES, SKIP_WORDS, email_names, propagate, with_propagated
 from veilspark.operators.redact import redact
 from veilspark.plans.scoped import propagate_scoped
 from veilspark.schema import FINDINGS
@@ -118,12 +120,16 @@ def claims(rows):
     return out
 
 
-def test_propagation_equals_the_model(spark):
+@pytest.mark.parametrize("one_by_one, compared", [(4, 1 << 24), (0, 0), (1 << 20, 0)])
+def test_propagation_equals_the_model(spark, monkeypatch, one_by_one, compared):
+    monkeypatch.setattr("veilspark.operators.propagate.ONE_BY_ONE", one_by_one)
+    monkeypatch.setattr("veilspark.operators.propagate.COMPARED", compared)
     docs, df = documents(spark, 500, 3)
-    rows = df.select("doc_id", F.explode(propagate(F.col("text"), F.col("findings"))).alias("f")).select("doc_id", "f.*").collect()
-    got = claims(rows)
-    for i, (text, found) in enumerate(docs):
-        assert got.get(i, []) == models.propagate(text, found, SKIP), (text, found)
+    forms = [df.withColumn("f", propagate(F.col("text"), F.col("findings"))), with_propagated(df, F.col("text"), "findings", "f")]
+    for made in forms:
+        got = claims(made.select("doc_id", F.explode("f").alias("f")).select("doc_id", "f.*").collect())
+        for i, (text, found) in enumerate(docs):
+            assert got.get(i, []) == models.propagate(text, found, SKIP), (text, found)
 
 
 def test_document_scope_equals_in_document_propagation(spark):

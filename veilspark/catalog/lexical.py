@@ -28,7 +28,7 @@ def long_list(spark, sf_dir, terms, tag):
 def nation_list(spark, sf_dir):
     nations = plain(spark, sf_dir, "nation").select(F.col("n_name").alias("term"), F.lit(lex.PLACE_TAG).alias("tag"))
     regions = plain(spark, sf_dir, "region").select(F.col("r_name").alias("term"), F.lit(lex.ORG_TAG).alias("tag"))
-    return nations.unionByName(regions).unionByName(order_terms(spark, sf_dir, lex.ORG_TAG))
+    return nations.unionByName(regions)
 
 
 def listed_sql(label: str, score: str) -> str:
@@ -60,21 +60,23 @@ def entities(docs, terms):
 
 
 query("c17_lookup_list", listed_sql("'locatie'", "0.75"))(lambda spark, sf_dir: layer(places(spark, sf_dir), nation_list(spark, sf_dir)))
-query("c12_8_location", listed_sql("'LOCATION'", "0.85"))(lambda spark, sf_dir: entities(places(spark, sf_dir), nation_list(spark, sf_dir)))
+query("c12_8_location", listed_sql("'LOCATION'", "0.85"))(
+    lambda spark, sf_dir: entities(places(spark, sf_dir), nation_list(spark, sf_dir).unionByName(order_terms(spark, sf_dir, lex.ORG_TAG)))
+)
 
 # Terms of two and more words that end in a sign: the longest that no word character follows.
-PARTY_TEXT = "concat('Van Partij ', o_orderkey, ' B.V. aan Partij ', o_orderkey * 3, ' B.V.x en Partij ', o_custkey, ' B.V.')"
+PARTY_TEXT = "concat('Van Partij ', c_custkey, ' B.V. aan Partij ', c_custkey * 3, ' B.V.x en Partij ', c_nationkey, ' B.V.')"
 query(
     "c17_lookup_list_join",
     """
-    WITH o AS (SELECT CAST(o_orderkey AS BIGINT) AS k, CAST(o_custkey AS BIGINT) AS c FROM orders),
+    WITH o AS (SELECT CAST(c_custkey AS BIGINT) AS k, CAST(c_nationkey AS BIGINT) AS c FROM customer),
     m AS (
       SELECT k AS doc_id, k AS named, 4 AS start, 'Partij ' || k || ' B.V.' AS text FROM o
       UNION ALL SELECT k, k * 3, 4 + length('Partij ' || k || ' B.V. aan '), 'Partij ' || (k * 3) FROM o
       UNION ALL SELECT k, c, 4 + length('Partij ' || k || ' B.V. aan Partij ' || (k * 3) || ' B.V.x en '), 'Partij ' || c || ' B.V.' FROM o)
     SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(start + length(text) AS BIGINT) AS "end", 'organisatie' AS tag, text
-    FROM m WHERE named IN (SELECT k FROM o)""",
-)(lambda spark, sf_dir: lex.lexicon_join(derived(spark, sf_dir, "orders", "o_orderkey", PARTY_TEXT), order_terms(spark, sf_dir, lex.ORG_TAG)))
+    FROM m WHERE named IN (SELECT o_orderkey FROM orders)""",
+)(lambda spark, sf_dir: lex.lexicon_join(derived(spark, sf_dir, "customer", "c_custkey", PARTY_TEXT), order_terms(spark, sf_dir, lex.ORG_TAG)))
 
 ORG_TEXT = "concat('order ', o_orderkey, ' van ', CASE o_orderkey % 4 WHEN 0 THEN 'Stichting De Brug' WHEN 1 THEN 'UMC Oost' WHEN 2 THEN 'stichting de brug' ELSE 'UMC Oosterhout' END, ' ontvangen')"
 ORGS = [("Stichting De Brug", lex.ORG_TAG), ("UMC Oost", lex.HOSPITAL_TAG), ("Stichting De", lex.ORG_TAG)]

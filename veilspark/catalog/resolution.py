@@ -15,7 +15,7 @@ from veilspark.operators.rules import detect
 from veilspark.operators.secrets import detect_secrets
 from veilspark.operators.structured import EMAIL, IPV4
 from veilspark.plans.scoped import propagate_scoped
-from veilspark.schema import FINDING, FINDINGS, PATTERN
+from veilspark.schema import NO_FINDINGS, FINDING, FINDINGS, PATTERN
 
 # -- D: propagation -----------------------------------------------------------
 
@@ -153,10 +153,10 @@ query(
     WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = w.doc_id AND w.start < f."end" AND f.start < w."end")""",
 )(lambda spark, sf_dir: propagated(documents(spark, sf_dir), prop.NAME_REASON))
 
-# Conversations: the first turn names a card number made from the key, later turns repeat it.
+# Conversations: only first turns are searched for addresses; later turns repeat the address and the names in it.
 CONV_NO = "concat('4', lpad(CAST((conv_id * 1000003) % 1000000000000000 AS STRING), 15, '0'))"
 CONV_TEXT = (
-    f"concat(text, CASE WHEN turn = 0 THEN ' mail jansen.klaas@company.nl' WHEN turn % 2 = 1 THEN concat(' nr ', {CONV_NO}, ' Klaas, hello') ELSE ' JANSEN klaasje' END)"
+    f"concat(text, CASE WHEN turn = 0 THEN ' mail jansen.klaas@company.nl' WHEN turn % 2 = 1 THEN concat(' nr ', {CONV_NO}, ' Klaas, hello') ELSE ' JANSEN klaasje, Jansen.Klaas@COMPANY.nl' END)"
 )
 
 CONV_SQL = f"SELECT conv_id * 100000 + turn AS doc_id, {CONV_TEXT} AS text FROM conversations"
@@ -166,20 +166,25 @@ def conversation_findings(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select(
         (F.col("conv_id") * 100000 + F.col("turn")).alias("doc_id"), "conv_id", F.expr(CONV_TEXT).alias("text")
     )
-    return email_findings(turns)
+    first_only = F.when(F.col("doc_id") % 100000 == 0, F.col("findings")).otherwise(F.expr(NO_FINDINGS))
+    return email_findings(turns).withColumn("findings", first_only)
 
 
 query(
     "d6_scoped_propagation",
     f"""
     WITH t AS (SELECT conv_id * 100000 + turn AS doc_id, conv_id, {CONV_TEXT} AS text FROM conversations),
-    f AS (SELECT s.*, conv_id FROM ({spans_sql(CONV_SQL, EMAIL_RE2)}) s JOIN t USING (doc_id)),
+    e AS (SELECT s.*, conv_id FROM ({spans_sql(CONV_SQL, EMAIL_RE2)}) s JOIN t USING (doc_id)),
+    f AS (SELECT * FROM e WHERE doc_id % 100000 = 0),
+    again AS (SELECT * FROM e WHERE doc_id % 100000 <> 0 AND (conv_id, lower(text)) IN (SELECT (conv_id, lower(text)) FROM f)),
+    taken AS (SELECT doc_id, start, "end" FROM f UNION ALL SELECT doc_id, start, "end" FROM again),
     n AS (SELECT DISTINCT conv_id, lower(v) AS v FROM (SELECT conv_id, unnest(string_split_regex(string_split(text, '@')[1], '[._\\-]')) AS v FROM f)
           WHERE length(v) >= 3 AND regexp_matches(v, '^\\p{{L}}+$') AND lower(v) NOT IN ({WORDS_SQL})),
     w AS ({spans_sql(CONV_SQL, r"[\p{L}\p{N}_]+")})
-    SELECT w.doc_id, t.conv_id, w.start, w."end", CAST(0.5 AS DOUBLE) AS score, 'PERSON' AS entity_type, w.text
+    SELECT doc_id, conv_id, start, "end", CAST(1.0 AS DOUBLE) AS score, 'EMAIL_ADDRESS' AS entity_type, text FROM again
+    UNION ALL SELECT w.doc_id, t.conv_id, w.start, w."end", 0.5, 'PERSON', w.text
     FROM w JOIN t USING (doc_id) JOIN n ON n.conv_id = t.conv_id AND n.v = lower(w.text)
-    WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = w.doc_id AND w.start < f."end" AND f.start < w."end")""",
+    WHERE NOT EXISTS (SELECT 1 FROM taken f WHERE f.doc_id = w.doc_id AND w.start < f."end" AND f.start < w."end")""",
 )(
     lambda spark, sf_dir: propagate_scoped(conversation_findings(spark, sf_dir), ["conv_id"])
     .withColumn("conv_id", F.expr("doc_id div 100000"))

@@ -101,7 +101,7 @@ def fold_emit(
     is `struct(state, out)`.
     """
     acc, cur, block, x, done = fresh("acc"), fresh("cur"), fresh("b"), fresh("x"), fresh("done")
-    r, o = fresh("r"), fresh("o")
+    o = fresh("o")
 
     def outer(v: str) -> str:
         result = step(f"{cur}.state", x)
@@ -112,18 +112,19 @@ def fold_emit(
                 f"'cur', concat({cur}.cur, CAST({emit} AS array<{out_type}>)))"
             )
 
+        # a lambda's result is copied whole, so a block is not bound by `let`: it waits in `at`, and the block after it,
+        # or the end, appends what it emitted
         advance = advanced(*result) if isinstance(result, tuple) else let(result, lambda s: advanced(f"{s}.state", f"{s}.emit"))
         inner = (
             f"aggregate(slice({v}, {block} * {BLOCK} + 1, {BLOCK}), "
-            f"named_struct('state', CAST({acc}.state AS {state_type}), 'cur', {empty(out_type)}), "
+            f"named_struct('state', CAST({acc}.at.state AS {state_type}), 'cur', {empty(out_type)}), "
             f"({cur}, {x}) -> {advance})"
         )
         folded = (
             f"aggregate(sequence(0, greatest(CAST(ceil(size({v}) / {BLOCK}) AS int) - 1, 0)), "
-            f"named_struct('state', CAST({state} AS {state_type}), 'done', CAST(array() AS array<array<{out_type}>>)), "
-            f"({acc}, {block}) -> element_at(transform(array({inner}), {r} -> "
-            f"named_struct('state', {r}.state, 'done', concat({acc}.done, array({r}.cur)))), 1))"
+            f"named_struct('at', named_struct('state', CAST({state} AS {state_type}), 'cur', {empty(out_type)}), 'done', CAST(array() AS array<array<{out_type}>>)), "
+            f"({acc}, {block}) -> named_struct('at', {inner}, 'done', concat({acc}.done, array({acc}.at.cur))))"
         )
-        return let(folded, lambda d: f"named_struct('state', {d}.state, 'out', flatten({d}.done))", o)
+        return let(folded, lambda d: f"named_struct('state', {d}.at.state, 'out', concat(flatten({d}.done), {d}.at.cur))", o)
 
     return let(items, outer, done)

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilspark.functions.rowsql import column, each_at, empty, fold_emit, let, struct
+from veilspark.functions.rowsql import BLOCK, column, each, each_at, empty, fold_emit, fresh, let, lit, struct
+from veilspark.functions.text import RUNS
 from veilspark.schema import SPAN
 
 
@@ -41,6 +42,28 @@ def spans_of(text: str, pattern: str) -> str:
     )
 
 
+def runs_of(text: str) -> str:
+    """SQL: the words of a text and what stands between them, as strings in order."""
+    return f"regexp_extract_all({text}, {lit(RUNS)}, 0)"
+
+
+def run_blocks(runs: str) -> str:
+    """SQL: where every BLOCK-th run starts; `run_start` takes it from there, so no array of all offsets is made."""
+    blocks = f"sequence(0, CAST((size({runs}) - 1) div {BLOCK} AS int))"
+    sizes = each(blocks, lambda b: _characters(f"slice({runs}, {b} * {BLOCK} + 1, {BLOCK})"))
+    return f"CASE WHEN size({runs}) > 0 THEN {fold_emit(sizes, '0', lambda at, n: (f'{at} + {n}', f'array({at})'), 'int', 'int')}.out ELSE {empty('int')} END"
+
+
+def run_start(runs: str, blocks: str, i: str) -> str:
+    """SQL: the offset of run i."""
+    return f"get({blocks}, CAST({i} div {BLOCK} AS int)) + {_characters(f'slice({runs}, ({i} - {i} % {BLOCK}) + 1, {i} % {BLOCK})')}"
+
+
+def _characters(runs: str) -> str:
+    acc, r = fresh("acc"), fresh("r")
+    return f"aggregate({runs}, 0, ({acc}, {r}) -> {acc} + length({r}))"
+
+
 def spans(text: Column, pattern: str | Column) -> Column:
     """array<struct<start,end,text>> of all non-overlapping matches, left to right.
 

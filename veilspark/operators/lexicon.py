@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from veilspark.functions.rowsql import column, each, empty, fold_emit, keep, let, lit, struct
 from veilspark.functions.spans import spans_of
 from veilspark.functions.text import W_END, W_START, WORD, segment_slice, segments
-from veilspark.operators.places import bitmap, places, shape_sql, shapes_of
+from veilspark.operators.places import bitmap, places, shapes_of, with_shape
 from veilspark.operators.rules import Rule, detect_sql, sort_by_start
 from veilspark.operators.structured import BSN, EMAIL, NL_PHONE, java_form
 from veilspark.schema import LEXICON, NO_FINDINGS, PATTERN, finding
@@ -214,12 +214,12 @@ LISTED = "struct<start:int,neg_end:int,tag:string,text:string,other:string,perso
 
 
 def term_table(lexicon: DataFrame) -> DataFrame:
-    """(term, tag, other, person, shape) of a table (term, tag); each term once."""
+    """(term, tag, other, person, shape, first) of a table (term, tag); each term once."""
     own = F.col("tag") == PERSON_TAG
     terms = lexicon.filter(F.length("term") > 0).groupBy("term").agg(
         F.min("tag").alias("tag"), F.min(F.when(~own, F.col("tag"))).alias("other"), F.coalesce(F.max(own), F.lit(False)).alias("person")
     )
-    return terms.withColumn("shape", column(shape_sql, t=F.col("term")))
+    return with_shape(terms)
 
 
 def with_listed(df: DataFrame, lexicon: DataFrame, text: str = "text", name: str = "_listed") -> DataFrame:

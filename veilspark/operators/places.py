@@ -14,12 +14,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.rowsql import column, each, each_at, empty, keep, let, lit, some, struct
-from veilspark.functions.spans import spans_of
-from veilspark.functions.text import RUNS, WORD, segment_slice, segments
+from veilspark.functions.spans import run_blocks, run_start, runs_of
+from veilspark.functions.text import RUNS, WORD
 
 SHAPE = "struct<ahead:int,n_runs:int,behind:int,starts_word:boolean>"
 #: Bits for each of the three marks of a term, and bits to a byte (bytes stay ASCII). A bitmap is never larger than
@@ -28,29 +29,25 @@ BITS_PER_MARK, PER_BYTE, MOST_BYTES = 16, 7, 16 << 20
 IS_WORD = f"^[{WORD}]"
 
 
-def runs_of(value: str) -> str:
-    return f"regexp_extract_all({value}, {lit(RUNS)}, 0)"
+def with_shape(terms: DataFrame, aligned: bool = False) -> DataFrame:
+    """Add `shape` and `first`, the run by which a term is found, to rows with `term`.
 
-
-def shape_sql(term: str) -> str:
-    """SQL: the shape of a term whose edges may cut a run between words; a term without a word has its length as `behind`."""
-
-    def shaped(p: str) -> str:
-        made = struct(
-            ahead=f"length({p}.head)", n_runs=f"size({runs_of(f'{p}.core')})",
-            behind=f"length({term}) - length({p}.head) - length({p}.core)", starts_word=f"{p}.core <> ''",
-        )
-        return f"CAST({made} AS {SHAPE})"
-
-    between, core = lit(f"^[^{WORD}]*"), lit(f"[{WORD}](?:(?s:.*)[{WORD}])?")
-    head = f"CASE WHEN {term} RLIKE {lit(f'[{WORD}]')} THEN regexp_extract({term}, {between}, 0) ELSE '' END"
-    return let(struct(head=head, core=f"regexp_extract({term}, {core}, 0)"), shaped)
-
-
-def aligned_shape_sql(term: str) -> str:
-    """SQL: the shape of a term that must stand between word boundaries, so that it holds whole runs only."""
-    made = struct(ahead="0", n_runs=f"size({runs_of(term)})", behind="0", starts_word=f"{term} RLIKE {lit(IS_WORD)}")
-    return f"CAST({made} AS {SHAPE})"
+    A term's edges may cut a run between words; a term without a word has its length as `behind` and no run. An aligned
+    term must stand between word boundaries, so it holds whole runs only.
+    """
+    term = F.col("term")
+    if aligned:
+        head, core, starts = F.lit(""), term, term.rlike(IS_WORD)
+    else:
+        starts = term.rlike(f"[{WORD}]")
+        head = F.when(starts, F.regexp_extract(term, f"^[^{WORD}]*", 0)).otherwise("")
+        core = F.regexp_extract(term, f"[{WORD}](?:(?s:.*)[{WORD}])?", 0)
+    cut = terms.withColumns({"_head": F.length(head), "_core": core}).withColumn("_runs", F.regexp_extract_all("_core", F.lit(RUNS), F.lit(0)))
+    shape = F.struct(
+        F.col("_head").alias("ahead"), F.size("_runs").alias("n_runs"), (F.length(term) - F.col("_head") - F.length("_core")).alias("behind"),
+        starts.alias("starts_word"),
+    ).cast(SHAPE)
+    return cut.withColumns({"shape": shape, "first": F.coalesce(F.get("_runs", F.lit(0)), F.lit(""))}).drop("_head", "_core", "_runs")
 
 
 def _marks(salt: str, first: str, shape: str, whole: str) -> list[str]:
@@ -70,21 +67,14 @@ def _marked(bits: str, mark: str) -> str:
 
 
 def bitmap(terms: DataFrame, fold: Callable[[str], str], salt: str = "0") -> Column:
-    """The marks of all terms (columns term, shape and what salt names) as a constant, bits in the lower half of bytes."""
-
-    def marks(t: str, shape: str, salt_: str) -> str:
-        # a term without a word is found by what it is alone
-        first = f"CASE WHEN {shape}.n_runs = 0 THEN '' ELSE get({runs_of(f'substring({t}, {shape}.ahead + 1)')}, 0) END"
-        return let(first, lambda f: f"array({', '.join(_marks(salt_, fold(f), shape, fold(t)))})")
-
-    hashes = terms.select(F.explode(column(marks, t=F.col("term"), shape=F.col("shape"), s=F.expr(salt))).alias("h")).distinct()
-    n_bytes = min(MOST_BYTES, max(128, hashes.count() * BITS_PER_MARK // PER_BYTE))
+    """The marks of all terms (rows with term, shape, first and what salt names) as a constant, bits in the lower half of bytes."""
+    hashes = terms.select(F.explode(F.expr(f"array({', '.join(_marks(salt, fold('first'), 'shape', fold('term')))})")).alias("h"))
+    n_bytes = min(MOST_BYTES, max(128, terms.count() * 3 * BITS_PER_MARK // PER_BYTE))
     bits = hashes.select(F.explode(F.array(F.col("h"), F.shiftright("h", 20))).alias("h")).select(F.pmod("h", F.lit(PER_BYTE * n_bytes)).alias("at"))
     used = bits.groupBy(F.expr(f"at div {PER_BYTE}").alias("id")).agg(F.bit_or(F.expr(f"shiftleft(1, CAST(at % {PER_BYTE} AS int))")).alias("b")).toArrow()
-    out = bytearray(n_bytes)
-    for at, byte in zip(used["id"].to_pylist(), used["b"].to_pylist()):
-        out[at] = byte
-    return F.lit(bytes(out))
+    out = np.zeros(n_bytes, np.uint8)
+    out[used["id"].to_numpy()] = used["b"].to_numpy()
+    return F.lit(out.tobytes())
 
 
 def shapes_of(terms: DataFrame) -> Column:
@@ -93,6 +83,7 @@ def shapes_of(terms: DataFrame) -> Column:
 
 
 HIT = "struct<start:int,end:int,text:string>"
+_CUT = "struct<i:int,shift:int,text:string>"
 
 
 def places(text: Column, shapes: Column, bits: Column, fold: Callable[[str], str] = lambda v: v, salt: Column | None = None) -> Column:
@@ -102,50 +93,62 @@ def places(text: Column, shapes: Column, bits: Column, fold: Callable[[str], str
     """
 
     def found(t: str, all_shapes: str, bitmap_: str, salt_: str) -> str:
-        def at_run(r: str, i: str, runs: str, segs: str, first_is_word: str) -> str:
-            def slices(shape: str) -> str:
-                prev, last, after = f"get({runs}, {i} - 1)", f"get({runs}, {i} + {shape}.n_runs - 1)", f"get({runs}, {i} + {shape}.n_runs)"
-                ends_word = f"({shape}.starts_word = ({shape}.n_runs % 2 = 1))"
-                ahead = f"({shape}.ahead = 0 AND ({shape}.starts_word OR {i} > 0) OR {shape}.ahead > 0 AND length({prev}.text) + CASE WHEN {i} = 1 THEN 1 ELSE 0 END > {shape}.ahead)"
-                rest = f"CASE WHEN {i} + {shape}.n_runs = size({runs}) - 1 THEN 1 ELSE 0 END"
-                behind = f"({shape}.behind = 0 AND ({ends_word} OR {after} IS NOT NULL) OR {shape}.behind > 0 AND length({after}.text) + {rest} > {shape}.behind)"
-                cut = struct(start=f"{r}.start - {shape}.ahead", end=f"{last}.end + {shape}.behind")
-                fits = f"{last} IS NOT NULL AND {ahead} AND {behind}"
-                return let(cut, lambda c: f"CASE WHEN {fits} THEN {struct(start=f'{c}.start', end=f'{c}.end', text=segment_slice(segs, f'{c}.start', f'{c}.end'))} END")
-
-            def of_word(f: str) -> str:
-                is_word = f"(({i} % 2 = 0) = {first_is_word})"
-
-                def begins(shape: str) -> str:
-                    return f"{shape}.n_runs > 0 AND {shape}.starts_word = {is_word} AND {_marked(bitmap_, _marks(salt_, f, shape, f)[1])}"
+        def marked(number: int, first: str, shape: str, whole: str) -> str:
+            return _marked(bitmap_, _marks(salt_, first, shape, whole)[number])
 
-                made = each(keep(all_shapes, begins), slices)
-                return f"CASE WHEN {_marked(bitmap_, _marks(salt_, f, 'NULL', f)[0])} THEN {made} ELSE {empty(HIT)} END"
+        def at_run(r: str, i: str, runs: str, first_is_word: str, others: str) -> str:
+            is_word = f"(({i} % 2 = 0) = {first_is_word})"
 
-            return let(fold(f"{r}.text"), of_word)
+            def candidate(shape: str) -> str:
+                prev, after, stop = f"get({runs}, {i} - 1)", f"get({runs}, {i} + {shape}.n_runs)", f"{i} + {shape}.n_runs"
+                ends_word = f"({shape}.starts_word = ({shape}.n_runs % 2 = 1))"
+                ahead = f"({shape}.ahead = 0 AND ({shape}.starts_word OR {i} > 0) OR {shape}.ahead > 0 AND length({prev}) + CASE WHEN {i} = 1 THEN 1 ELSE 0 END > {shape}.ahead)"
+                room = f"length({after}) + CASE WHEN {stop} = size({runs}) - 1 THEN 1 ELSE 0 END"
+                behind = f"({shape}.behind = 0 AND ({ends_word} OR {stop} < size({runs})) OR {shape}.behind > 0 AND {room} > {shape}.behind)"
+                whole = f"array_join(slice({runs}, {i} + 1, {shape}.n_runs), '')"
+                text_ = (
+                    f"concat(CASE WHEN {shape}.ahead > 0 THEN right({prev}, {shape}.ahead) ELSE '' END, {whole}, "
+                    f"CASE WHEN {shape}.behind > 0 THEN left({after}, {shape}.behind) ELSE '' END)"
+                )
+                made = f"CAST({struct(i=i, shift=f'-{shape}.ahead', text=text_)} AS {_CUT})"
+                return f"CASE WHEN {stop} <= size({runs}) AND {ahead} AND {behind} THEN {made} END"
+
+            def of_run(f: str) -> str:
+                begins = lambda shape: f"{shape}.n_runs > 0 AND {shape}.starts_word = {is_word} AND {marked(1, f, shape, f)}"
+                return f"CASE WHEN {marked(0, f, 'NULL', f)} THEN {each(keep(all_shapes, begins), candidate)} ELSE {empty(_CUT)} END"
+
+            # few terms begin between words; where none does, only words are looked at
+            return f"CASE WHEN {others} OR {is_word} THEN {let(fold(r), of_run)} ELSE {empty(_CUT)} END"
 
         def wordless(r: str, i: str, runs: str) -> str:
             """Slices of a run between words, for terms without a word."""
 
             def at(shape: str) -> str:
                 first = f"CASE WHEN {i} = 0 THEN 0 ELSE 1 END"
-                last = f"length({r}.text) - {shape}.behind - CASE WHEN {i} = size({runs}) - 1 THEN 0 ELSE 1 END"
-                cut = lambda o: struct(start=f"{r}.start + {o}", end=f"{r}.start + {o} + {shape}.behind", text=f"substring({r}.text, {o} + 1, {shape}.behind)")
-                return f"CASE WHEN {last} >= {first} THEN {each(f'sequence({first}, {last})', cut)} ELSE {empty(HIT)} END"
+                last = f"length({r}) - {shape}.behind - CASE WHEN {i} = size({runs}) - 1 THEN 0 ELSE 1 END"
+                cut = lambda o: f"CAST({struct(i=i, shift=o, text=f'substring({r}, {o} + 1, {shape}.behind)')} AS {_CUT})"
+                return f"CASE WHEN {last} >= {first} THEN {each(f'sequence({first}, {last})', cut)} ELSE {empty(_CUT)} END"
 
-            return f"flatten({each(keep(all_shapes, lambda s: f'{s}.n_runs = 0'), at)})"
+            return f"CASE WHEN {r} RLIKE {lit(IS_WORD)} THEN {empty(_CUT)} ELSE flatten({each(keep(all_shapes, lambda s: f'{s}.n_runs = 0'), at)}) END"
 
         def walked(runs: str) -> str:
-            def all_runs(first_is_word: str, segs: str) -> str:
-                whole = f"flatten({each_at(runs, lambda r, i: at_run(r, i, runs, segs, first_is_word))})"
-                no_words = f"flatten({each_at(runs, lambda r, i: f'CASE WHEN {r}.text RLIKE {lit(IS_WORD)} THEN {empty(HIT)} ELSE {wordless(r, i, runs)} END')})"
+            def hits(first_is_word: str, others: str) -> str:
+                whole = f"flatten({each_at(runs, lambda r, i: at_run(r, i, runs, first_is_word, others))})"
+                no_words = f"flatten({each_at(runs, lambda r, i: wordless(r, i, runs))})"
                 has_wordless = some(all_shapes, lambda s: f"{s}.n_runs = 0")
-                every = f"concat({whole}, CASE WHEN {has_wordless} THEN {no_words} ELSE {empty(HIT)} END)"
-                good = lambda c: f"{c} IS NOT NULL AND {let(fold(f'{c}.text'), lambda v: _marked(bitmap_, _marks(salt_, v, 'NULL', v)[2]))}"
-                return keep(every, good)
+                every = f"concat({whole}, CASE WHEN {has_wordless} THEN {no_words} ELSE {empty(_CUT)} END)"
+                return keep(every, lambda c: f"{c} IS NOT NULL AND {let(fold(f'{c}.text'), lambda v: marked(2, v, 'NULL', v))}")
+
+            def offsets(cuts: str) -> str:
+                def placed(blocks: str) -> str:
+                    return each(cuts, lambda c: let(f"{run_start(runs, blocks, f'{c}.i')} + {c}.shift", lambda at: struct(start=at, end=f"{at} + length({c}.text)", text=f"{c}.text")))
+
+                return f"CASE WHEN size({cuts}) > 0 THEN {let(run_blocks(runs), placed)} ELSE {empty(HIT)} END"
 
-            return let(f"get({runs}, 0).text RLIKE {lit(IS_WORD)}", lambda w: let(segments(t), lambda segs: all_runs(w, segs)))
+            between = some(all_shapes, lambda s: f"{s}.n_runs > 0 AND NOT {s}.starts_word")
+            return let(let(f"get({runs}, 0) RLIKE {lit(IS_WORD)}", lambda w: let(between, lambda o: hits(w, o))), offsets)
 
-        return f"CASE WHEN size({all_shapes}) > 0 THEN {let(spans_of(t, lit(RUNS)), lambda runs: f'CASE WHEN size({runs}) > 0 THEN {walked(runs)} ELSE {empty(HIT)} END')} ELSE {empty(HIT)} END"
+        inside = let(runs_of(t), lambda runs: f"CASE WHEN size({runs}) > 0 THEN {walked(runs)} ELSE {empty(HIT)} END")
+        return f"CASE WHEN size({all_shapes}) > 0 THEN {inside} ELSE {empty(HIT)} END"
 
     return column(found, t=text, shapes=shapes, bits=bits, salt=F.lit(0) if salt is None else salt)

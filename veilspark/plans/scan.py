@@ -17,12 +17,12 @@ from veilspark.operators.admit import norm_depth
 from veilspark.operators.hooks import model_findings
 from veilspark.operators.lexicon import LEXICON_RULES, Lexicon, detect_lexicon, entities_sql, with_lexicon, with_listed
 from veilspark.operators.merge import combine, cover_findings, merge_findings
-from veilspark.operators.propagate import propagate
+from veilspark.operators.propagate import with_propagated
 from veilspark.operators.redact import layer_count, redact
 from veilspark.operators.rules import Rule, detect_sql, no_findings, sort_by_start
 from veilspark.operators.secrets import ALLOWED_VALUES, SECRET_RULES, SecretRule, detect_secrets
 from veilspark.operators.structured import pattern_rules
-from veilspark.schema import FINDINGS, PATTERN
+from veilspark.schema import FINDINGS, NO_FINDINGS, PATTERN
 
 
 @dataclass(frozen=True)
@@ -134,12 +134,11 @@ def resolve(df: DataFrame, text: str = "text", mode: str = "greedy") -> DataFram
     body = F.coalesce(F.col(text), F.lit(""))
     raw = combine(F.col("f_secret"), F.col("f_pattern"), F.col("f_lexicon"))
     merge = merge_findings if mode == "greedy" else cover_findings
+    # rows of other depths have nothing to propagate
+    deep = F.when(F.col("depth") == "deep", F.col("_raw")).otherwise(F.expr(NO_FINDINGS))
+    propagated = with_propagated(df.withColumn("_raw", raw).withColumn("_deep", deep), body, "_deep", "f_crossref").drop("_deep")
     return (
-        df.withColumn("_raw", raw)
-        .withColumn(
-            "f_crossref",
-            F.when((F.col("depth") == "deep") & (F.size("_raw") > 0), propagate(body, F.col("_raw"))),
-        )
+        propagated.withColumn("f_crossref", F.when((F.col("depth") == "deep") & (F.size("_raw") > 0), F.col("f_crossref")))
         .withColumn("findings", merge(combine(F.col("_raw"), F.col("f_crossref"))))
         .withColumns(
             {

@@ -2,9 +2,10 @@
 a key (a conversation, a source). With the document id as the scope this equals
 the in-document propagation, so it also serves documents with very many values.
 
-Nothing is collected per scope. Distinct values and the word n-grams of the texts
-meet in an equi-join on (scope, hash of the folded text): a value joins exactly
-the places where it stands, whatever the size of its scope.
+Nothing is collected per scope. A bitmap of all values, with their scopes, says of each
+place in a text whether a value of its scope may stand there; the places that pass meet
+the values in an equi-join on (scope, hash of the folded text). So the exchange holds
+about as many rows as there are hits, whatever the size of a scope or of a value.
 """
 
 from __future__ import annotations
@@ -12,36 +13,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.functions.rowsql import BLOCK, column, each, each_at, empty, fold_emit, fresh, keep, let, lit, some, struct
-from veilspark.functions.text import RUNS, WORD, fold_case
+from veilspark.functions.rowsql import column, empty, fold_emit, let, lit, some, struct
+from veilspark.functions.text import fold_case
 from veilspark.operators.merge import with_islands
+from veilspark.operators.places import bitmap, places, shapes_of, with_shape
 from veilspark.operators.propagate import caseless, quoted_sql, seeds_sql
 from veilspark.schema import CROSSREF
 
-def _runs(value: str) -> str:
-    return f"regexp_extract_all({value}, {lit(RUNS)}, 0)"
-
-
-# A fixed number of buckets for the first runs of all values: a text position whose
-# first run falls into an empty bucket starts no value and is skipped at once.
-BUCKETS = 1 << 16
-
-
-def _bucket(run: str) -> str:
-    return f"CAST(pmod(xxhash64({fold_case(run)}), {BUCKETS}) AS int)"
-
-
-def first_run_buckets(claims: DataFrame) -> Column:
-    """array<boolean> of BUCKETS elements: which buckets hold the first run of a value."""
-    used = claims.select(column(lambda v: _bucket(f"get({_runs(v)}, 0)"), v=F.col("value")).cast("bigint").alias("id")).distinct()
-    every = claims.sparkSession.range(BUCKETS).join(used.withColumn("used", F.lit(True)), "id", "left")
-    flags = F.array_sort(F.collect_list(F.struct("id", F.coalesce("used", F.lit(False)).alias("used"))))
-    return every.agg(F.transform(flags, lambda f: f["used"]).alias("buckets")).scalar()
-
-
 def first_claims(found: DataFrame, scope: list[str], id: str) -> DataFrame:
     """One row per scope and value (compared without case): its first finder, with
-    the shape of the value, `(n_runs, starts_word)`, and the join hash."""
+    the shape of the value and the join hash."""
     seeds = found.select(id, *scope, F.explode_outer(column(seeds_sql, f=F.col("findings"))).alias("s")).filter(
         F.col("s").isNotNull()
     )
@@ -55,66 +36,7 @@ def first_claims(found: DataFrame, scope: list[str], id: str) -> DataFrame:
         .agg(F.min(ordered).alias("m"))
         .select(*scope, "m.*")
     )
-    return first.select(
-        "*",
-        column(lambda v: f"size({_runs(v)})", v=F.col("value")).alias("n_runs"),
-        F.col("value").rlike(f"^[{WORD}]").alias("starts_word"),
-        F.xxhash64(column(fold_case, v=F.col("value"))).alias("value_hash"),
-    )
-
-
-def run_grams(text: Column, shapes: Column, buckets: Column) -> Column:
-    """array<struct<start,end,text>>: the n-grams of the word / non-word runs of a
-    text that have one of the wanted shapes, start in a used bucket, and stand
-    between word boundaries."""
-    gram = "struct<start:int,end:int,text:string>"
-
-    def total(runs: str) -> str:
-        acc, r = fresh("acc"), fresh("r")
-        return f"aggregate({runs}, 0, ({acc}, {r}) -> {acc} + length({r}))"
-
-    def grams(runs: str, shapes_: str, buckets_: str) -> str:
-        def block_starts() -> str:
-            blocks = f"sequence(0, CAST((size({runs}) - 1) div {BLOCK} AS int))"
-            sizes = each(blocks, lambda b: total(f"slice({runs}, {b} * {BLOCK} + 1, {BLOCK})"))
-            return fold_emit(sizes, "0", lambda pos, n: (f"{pos} + {n}", f"array({pos})"), "int", "int") + ".out"
-
-        def made(i: str, starts: str, first_is_word: str) -> str:
-            # runs alternate between words and the rest
-            is_word = f"(({i} % 2 = 0) = {first_is_word})"
-
-            def fits(sh: str) -> str:
-                # a non-word run at either edge needs a word run beyond it
-                ends_in_word = f"({sh}.starts_word = ({sh}.n_runs % 2 = 1))"
-                return (
-                    f"{sh}.starts_word = {is_word} AND {i} + {sh}.n_runs <= size({runs}) "
-                    f"AND ({sh}.starts_word OR {i} > 0) AND ({ends_in_word} OR {i} + {sh}.n_runs < size({runs}))"
-                )
-
-            def at(start: str) -> str:
-                joined = each(keep(shapes_, fits), lambda sh: f"array_join(slice({runs}, {i} + 1, {sh}.n_runs), '')")
-                return each(joined, lambda t: struct(start=start, end=f"{start} + length({t})", text=t))
-
-            inside = total(f"slice({runs}, ({i} - {i} % {BLOCK}) + 1, {i} % {BLOCK})")
-            return let(f"get({starts}, shiftright({i}, {BLOCK.bit_length() - 1})) + {inside}", at)
-
-        used = keep(
-            each_at(runs, lambda r, i: f"CASE WHEN get({buckets_}, {_bucket(r)}) THEN {i} END"), lambda i: f"{i} IS NOT NULL"
-        )
-
-        def all_at(positions: str) -> str:
-            first_is_word = f"(get({runs}, 0) RLIKE {lit(f'^[{WORD}]')})"
-            found = let(
-                block_starts(),
-                lambda st: let(first_is_word, lambda w: f"flatten({each(positions, lambda i: made(i, st, w))})"),
-            )
-            return f"CASE WHEN size({positions}) > 0 THEN CAST({found} AS array<{gram}>) ELSE {empty(gram)} END"
-
-        return let(used, all_at)
-
-    return column(
-        lambda t, s, b: let(_runs(t), lambda r: grams(r, s, b)), t=text, s=shapes, b=buckets
-    )
+    return with_shape(first.withColumn("term", F.col("value")), aligned=True).withColumn("value_hash", F.xxhash64(column(fold_case, v=F.col("value"))))
 
 
 def _claim_island(members: str, id_type: str) -> str:
@@ -169,9 +91,11 @@ def propagate_scoped(
     keys = [f"_scope_{i}" for i in range(len(scope))]
     claims = first_claims(found.select(id, *scope_cols, "findings"), keys, id).checkpoint()
 
-    shapes = claims.agg(F.collect_set(F.struct("n_runs", "starts_word")).alias("shapes")).scalar()
-    texts = df.select(F.col(id), *scope_cols, F.coalesce(F.col(text), F.lit("")).alias("_text"), shapes.alias("_shapes"), first_run_buckets(claims).alias("_buckets"))
-    grams = texts.select(id, *keys, F.explode(run_grams(F.col("_text"), F.col("_shapes"), F.col("_buckets"))).alias("g")).select(
+    scope_hash = f"xxhash64({', '.join(keys)})"
+    bits = bitmap(claims, fold_case, scope_hash)
+    texts = df.select(F.col(id), *scope_cols, F.coalesce(F.col(text), F.lit("")).alias("_text"), shapes_of(claims).alias("_shapes"))
+    at = places(F.col("_text"), F.col("_shapes"), bits, fold_case, F.expr(scope_hash))
+    grams = texts.select(id, *keys, F.explode(at).alias("g")).select(
         id, *keys, F.col("g.start").alias("start"), F.col("g.end").alias("end"), F.col("g.text").alias("text"),
         F.xxhash64(column(fold_case, v=F.col("g.text"))).alias("value_hash"),
     )
