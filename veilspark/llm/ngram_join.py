@@ -11,9 +11,9 @@ alone. Pairs of sets under one index entry are verified exactly.
 
 Exact copies are one set from the start. Under each entry all sets are first held
 against one (that with fewest rare tokens); only sets that stay in different components are
-then held against each other, in blocks of bounded size, with two filters that lose
-nothing: sizes, and the Hamming distance of parity bitmaps, which is never more than the
-number of differing tokens. So a group of copies gives about as many pairs as it has
+then held against each other, in blocks of bounded size, with filters that lose
+nothing: sizes, and the Hamming distances of parity bitmaps (a second, wider one for
+large sets), which are never more than the number of differing tokens. So a group of copies gives about as many pairs as it has
 members. The frequent tokens and the sets to look up are handed to tasks as bitmaps of
 fixed size; what falsely hits them costs time, not results.
 
@@ -43,6 +43,9 @@ FREQUENT, BLOCK = 48, 256
 ROUNDS = 1
 #: Bits of a bitmap that goes to all tasks (8 MB), of a set's parity bitmap, and of the one that is made for pairs.
 BITMAP, PARITY, WIDE = 26, 512, 8192
+#: Sets of so many tokens carry a second parity bitmap: unlike sets differ in half of the bits at most, and the difference
+#: that a link allows grows with the sets.
+LARGE, SECOND = 1500, 4096
 
 
 @dataclass(frozen=True)
@@ -222,15 +225,17 @@ def linked(pairs: DataFrame, corpus: Corpus, reps: DataFrame) -> DataFrame:
 
 
 def may_link(percent: int) -> Column:
-    """Filters on pairs with n, m (sizes) and p, q (parity bitmaps): false only where the sets cannot link."""
+    """Filters on pairs with n, m (sizes), p, q (parity bitmaps) and v, w (second ones): false only where the sets cannot link."""
     sizes = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     distance = sum((F.bit_count(F.col("p")[k].bitwiseXOR(F.col("q")[k])) for k in range(PARITY // 64)), F.lit(0))
-    return sizes & (distance * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
+    second = F.aggregate(F.zip_with("v", "w", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, d: n + d)
+    near = lambda d: d * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent)
+    return sizes & near(distance) & F.when((F.size("v") > 0) & (F.size("w") > 0), near(second)).otherwise(True)
 
 
 def candidates(index: DataFrame, info: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes under one entry that may link and are in different components so far."""
-    named = info.join(labels, "node", "left").select("node", "n", "p", F.coalesce("component", "node").alias("component"))
+    named = info.join(labels, "node", "left").select("node", "n", "p", "v", F.coalesce("component", "node").alias("component"))
     rows = index.select("entry", "node").join(named, "node")
     by = Window.partitionBy("entry")
     rows = rows.withColumn("apart", F.min("component").over(by) != F.max("component").over(by)).withColumn("c", F.count("*").over(by))
@@ -239,8 +244,8 @@ def candidates(index: DataFrame, info: DataFrame, labels: DataFrame, percent: in
     # each row goes to the pairs of blocks that hold its own; a bucket of up to BLOCK sets has one
     spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-    left = spread.filter("own = lo").select("entry", "lo", "hi", F.col("node").alias("a"), "n", "p", F.col("component").alias("ca"))
-    right = spread.filter("own = hi").select("entry", "lo", "hi", F.col("node").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("component").alias("cb"))
+    left = spread.filter("own = lo").select("entry", "lo", "hi", F.col("node").alias("a"), "n", "p", "v", F.col("component").alias("ca"))
+    right = spread.filter("own = hi").select("entry", "lo", "hi", F.col("node").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("v").alias("w"), F.col("component").alias("cb"))
     apart = (F.col("ca") != F.col("cb")) & ((F.col("lo") < F.col("hi")) | (F.col("a") < F.col("b")))
     pairs = left.join(right, ["entry", "lo", "hi"]).filter(apart & may_link(percent))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -280,11 +285,11 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         if len(tokens) < least:
             return None
         found, rare = entries(tokens, shared.value, rule)
-        return len(tokens), rare, parity(tokens), signed(found)
+        return len(tokens), rare, parity(tokens), parity(tokens, SECOND) if len(tokens) >= LARGE else [], signed(found)
 
-    info = stored(corpus.run(indexed, "n int, rare int, p array<long>, entries array<long>", all_reps), "jaccard-info")
+    info = stored(corpus.run(indexed, "n int, rare int, p array<long>, v array<long>, entries array<long>", all_reps), "jaccard-info")
     corpus.release()
-    info_p = info.select("node", "n", "p")
+    info_p = info.select("node", "n", "p", "v")
     by = Window.partitionBy("entry")
     index = info.select("node", "rare", F.explode("entries").alias("entry"))
     index = index.withColumn("center", F.min(F.struct("rare", "node")).over(by))
@@ -292,8 +297,8 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     index = stored(index.filter("several").select("entry", "node", F.col("center.node").alias("center")), "jaccard-index")
 
     star = index.filter("node <> center").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
-    ends = star.join(info_p.select(F.col("node").alias("a"), "n", "p"), "a").join(
-        info_p.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("p").alias("q")), "b"
+    ends = star.join(info_p.select(F.col("node").alias("a"), "n", "p", "v"), "a").join(
+        info_p.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("v").alias("w")), "b"
     )
     star = stored(ends.filter(may_link(rule.percent)).select("a", "b"), "jaccard-star")
     links = stored(linked(star, corpus, reps), "jaccard-links")
