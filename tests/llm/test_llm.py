@@ -112,9 +112,38 @@ def test_orc_token_files_read_back_in_order(spark, odd, empty):
     assert tokens_orc.token_report(spark, none).count() == 0
 
 
+def test_orc_report_equals_the_whole_tokenizer_and_reads_by_metadata(spark):
+    import zlib
+
+    from tokenizers import Tokenizer
+    from veilspark.llm import queries
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    tokenizer, want, start = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), [], 0
+    for r in docs:
+        ids = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2]
+        want.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = queries.op6_token_orc(spark, "/root/testdata/sf0.001").collect()
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got) == want
+
+    import pyarrow.orc as orc
+
+    path = new_folder(spark, "orc-metadata")
+    tokens_orc.write_tokens(spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text")), public_tokenizers.path("word_bpe_49k.json"), path, stride=1000)
+    files = [f.removeprefix("file:") for f in spark.read.orc(path).inputFiles()]
+    raw = b"".join(open(f, "rb").read() for f in files)
+    assert all(orc.ORCFile(f).nstripes for f in files) and len(raw)
+    plan = tokens_orc.read_tokens(spark, path, [7])._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,7)]" in plan or "PushedFilters: [In(doc_id" in plan
+    assert [r.doc_id for r in tokens_orc.read_tokens(spark, path, [7, 4999, 5000]).collect()] in ([7, 4999], [4999, 7])
+
+
 def test_word_cache_gives_what_whole_texts_give():
     encoder, rng = tokens_orc.Encoder(public_tokenizers.path("word_bpe_49k.json")), random.Random(3)
     some = ["".join(rng.choices("aB  \n'sd12é日　\x1c\x01_-!?.,ΣσI'm", k=rng.randint(0, 50))) for _ in range(500)] + ["a<|endoftext|>b c."]
+    some += ["".join(rng.choices("ab Zé'sßİKÅΣς.,!?;<|>0123９ñÑ\u0301ﬁ日\x1c\x85\t_-ll're €µªº²¼\xa0", k=rng.randint(0, 60))) for _ in range(3000)]
+    some += ["<|endoftext|> a<|startoftext|>b", "Kelvin ẞẞ İstanbul ΣΑΣ"]
     for text, raw in zip(some, encoder.encode(some, 2)):
         assert np.frombuffer(raw, "<u4").tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 2]
 
@@ -443,6 +472,19 @@ def test_rollup_is_additive_and_idempotent(spark):
 
 # --- the pipeline
 
+def test_rollup_counts_committed_batches_only(spark):
+    store = new_folder(spark, "rollup-test")
+    assert token_counts.totals(spark, store).count() == 0
+    kinds = "op string, source string, lang string, tokenizer string, old_tokens long, new_tokens long, batch string"
+    rows = spark.createDataFrame([("insert", "a", None, "t", None, 10, "clash")], kinds)
+    assert token_counts.commit(rows, store, "1/../x =%")
+    token_counts.deltas(rows).withColumn("batch", F.lit("2")).write.parquet(f"{store}/2")  # a writer that died before the mark
+    assert [(r.docs, r.tokens) for r in token_counts.totals(spark, store).collect()] == [(1, 10)]
+    assert [r.batch for r in token_counts.ledger(spark, store).collect()] == ["1/../x =%"]
+    assert token_counts.commit(rows, store, "2") and not token_counts.commit(rows, store, "2")
+    assert [(r.docs, r.tokens) for r in token_counts.totals(spark, store).collect()] == [(2, 20)]
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     import corpus_pipeline
 
@@ -457,3 +499,37 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     assert {r.doc_id for r in near.select("doc_id").collect()} == set(plain_components(sets, 80).values())
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > docs.count() / 2
+
+
+def test_repeated_rows_are_mixed_each_by_itself(spark):
+    rng = random.Random(4)
+    text = lambda n: " ".join(rng.choices(["alpha", "beta", "gamma"], k=n))
+    rows = [(i, text(100), "a") for i in range(50)] + [(7_000, text(100), "a")] * 50 + [(200 + i, text(100), "b") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("_key", F.lit("own")).withColumn("row", F.lit(3))
+    got = mixing.mix_report(docs, block=16).collect()
+    assert len(got) == len(rows) and {r.source_size for r in got} == {10_000, 30_000}
+    for size in (10_000, 30_000):
+        taken, target = sum(r.taken for r in got if r.source_size == size), next(r.target for r in got if r.source_size == size)
+        assert abs(taken - target) <= 0.05 * target and all(r.taken <= 2 * r.size for r in got)
+    mixed = mixing.mixed_documents(docs, block=16)
+    assert mixed.columns == docs.columns and {(r["_key"], r["row"]) for r in mixed.collect()} == {("own", 3)}
+    assert sum(len(WORD.findall(r.text)) for r in mixed.collect()) == sum(r.taken for r in got)
+
+
+def test_pipeline_stages_keep_rows_and_columns(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(6)
+    text = lambda n: "\n".join(" ".join(rng.choices("the of and to in that house water".split(), k=9)) for _ in range(n))
+    first, other, third = text(12), text(12), text(12)
+    own = [(1, first), (2, first), (2, other), (2, other), (None, third), (None, third), (None, None), (5, "")]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, _key string, n_lines long, n_deleted string, lang_pred int, row long"
+    rows = [(i, t, "en", "s", None if t is None else len(t), "k", 1, "d", 2, 3) for i, t in own]
+    docs = spark.createDataFrame(rows, kinds)
+    near = cp.dedup_near(spark, docs, "")
+    assert near.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in near.collect()) == sorted((str(i), str(t)) for i, t in [(1, first), (2, other), (None, third), (None, None), (5, "")])
+    for stage in (cp.identify_languages, cp.dedup_lines, cp.mix_sources):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.count() > 0
+        assert {(r["_key"], r.n_lines, r.n_deleted, r.lang_pred, r.row) for r in out.collect()} == {("k", 1, "d", 2, 3)}

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.llm.shared import map_arrow, slices, texts
+from veilspark.llm.shared import map_arrow, renamed, restored, slices, texts
 
 BITS = 18
 MOST_ROWS = 150
@@ -238,11 +238,13 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def with_language(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The documents with lang_pred and lang_score beside their own columns, which pass through the tasks untouched."""
+    """The documents with lang_pred and lang_score beside their own columns, which pass through the tasks untouched; columns
+    of these names are replaced."""
     from pyspark.sql.types import DoubleType, StringType, StructType
 
+    given, names = renamed(docs, ("text",))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("lang_score", DoubleType())
+    schema = StructType([*given.schema.fields]).add("lang_pred", StringType()).add("lang_score", DoubleType())
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         some = texts(batch)
@@ -250,4 +252,4 @@ def with_language(docs: DataFrame, model: Model | None) -> DataFrame:
         columns = [*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())]
         return pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "lang_pred", "lang_score"])
 
-    return map_arrow(docs, rows, schema)
+    return map_arrow(given, rows, schema).select(*restored(names, ("lang_pred", "lang_score")), "lang_pred", "lang_score")

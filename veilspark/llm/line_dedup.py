@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.llm.shared import WORD, stored
+from veilspark.llm.shared import WORD, renamed, restored, stored
 
 GRAM, RUN = 25, 50
 
@@ -82,11 +82,12 @@ def repeated_lines(docs: DataFrame, gram: int = GRAM, run: int = RUN) -> DataFra
 
 
 def dedup_lines(docs: DataFrame, gram: int = GRAM, run: int = RUN) -> DataFrame:
-    """The documents with n_lines (all lines), n_deleted and text without the deleted lines."""
+    """The documents with n_lines (all lines), n_deleted and text without the deleted lines; columns of these names are replaced."""
     runs = repeated_lines(docs, gram, run).withColumn("r", F.col("line") - F.row_number().over(Window.partitionBy("doc").orderBy("line")))
     runs = runs.groupBy("doc", "r").agg(F.min("line").alias("from"), F.max("line").alias("to"))
     gone = runs.groupBy(F.col("doc").alias("_doc")).agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("_gone"))
-    joined = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(gone, F.col("_key") == F.col("_doc"), "left")
+    given, names = renamed(docs, ("doc_id", "text"))
+    joined = given.withColumn("_key", F.xxhash64("doc_id", "text")).join(gone, F.col("_key") == F.col("_doc"), "left")
     lines = F.split("text", "\n", -1)
     # what stays: from behind each run (or the beginning) to the next one (or the end)
     begins = F.concat(F.array(F.lit(0)), F.transform("_gone", lambda run: run["to"] + 1))
@@ -98,5 +99,5 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, run: int = RUN) -> DataFrame:
         .withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long"))
         .withColumn("n_deleted", F.coalesce(lost, F.lit(0)).cast("long"))
         .withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-        .select(*docs.columns, "n_lines", "n_deleted")
+        .select(*restored(names, ("n_lines", "n_deleted")), "n_lines", "n_deleted")
     )

@@ -15,8 +15,9 @@ source is ever in one task. Permutations are swap-or-not shuffles, computed per
 
 Null and empty texts have no words, take part in no block and have taken 0. A null
 source is a source of its own, the last in order. Rows equal in doc_id, source and text
-have one place in the stream and are taken alike. An empty table gives an empty result.
-Columns beside doc_id, text and source are ignored or pass through. No document is
+are numbered, so that each has its own place in the stream; in the mix, the columns
+beside these are those of one of them. An empty table gives an empty result. Columns
+beside doc_id, text and source are ignored or pass through, whatever their names. No document is
 taken more than twice, as targets stop at twice a source's size.
 """
 
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.llm.shared import WORD, stored
+from veilspark.llm.shared import WORD, renamed, restored, stored
 
 BLOCK, SHARD, BUCKETS = 128, 1024, 1024
 WEIGHTS = (3, 1, 2)
@@ -86,7 +87,16 @@ def streamed(rows: DataFrame) -> DataFrame:
     own = Window.partitionBy("source", "bucket").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = rows.withColumn("upto", F.sum("size").over(own))
     same = F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("in"))
-    return inside.join(buckets, same).select("key", "source", "size", (F.col("before") + F.col("upto") - F.col("size")).alias("begin"))
+    more = [c for c in ("row", "copies") if c in rows.columns]
+    return inside.join(buckets, same).select("key", *more, "source", "size", (F.col("before") + F.col("upto") - F.col("size")).alias("begin"))
+
+
+def numbered_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size, row, copies, key) of every row: row is equal for equal rows, of which there are `copies`, key is not."""
+    rows = docs.select("doc_id", "source", word_count().alias("size"), row_key().alias("row"))
+    counted = rows.groupBy("doc_id", "source", "size", "row").agg(F.count(F.lit(1)).alias("copies"))
+    each = counted.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    return each.withColumn("key", F.when(F.col("copy") == 0, F.col("row")).otherwise(F.xxhash64("row", "copy"))).drop("copy")
 
 
 def uniform(seed: int, stratum: Column) -> Column:
@@ -147,8 +157,8 @@ def pieces(stream: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def plan_mix(docs: DataFrame, weights=WEIGHTS, percent: int = 150, block: int = BLOCK, shard: int = SHARD, seed: int = 0):
-    """Goals per source, and the taken pieces: key (of the row), size, lo, hi, number, and the slot's shard, slot and pass."""
-    rows = stored(docs.select("source", word_count().alias("size"), row_key().alias("key")).distinct(), "mix-sizes")
+    """The numbered rows, goals per source, and the taken pieces: key, row, copies, size, lo, hi, number, and the slot's shard, slot and pass."""
+    rows = stored(numbered_rows(docs), "mix-sizes")
     goals = stored(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, percent), "mix-goals")
     cut, drawn = pieces(streamed(rows), block), draws(goals, block, shard, seed)
     # a source's name as a hash keeps null sources joinable
@@ -156,14 +166,13 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, percent: int = 150, block: int =
     drawn = drawn.withColumn("of", F.xxhash64("source")).withColumnRenamed("source", "drawn_source")
     # neither side is small, whatever Spark's estimate of the exploded slots says
     taken = cut.join(drawn.hint("merge"), ["of", "number"]).filter(F.col("source").eqNullSafe(F.col("drawn_source")))
-    return goals, taken.drop("of", "drawn_source")
+    return rows, goals, taken.drop("of", "drawn_source")
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every row."""
-    goals, taken = plan_mix(docs, **options)
+    rows, goals, taken = plan_mix(docs, **options)
     words = taken.groupBy("key").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"))
-    rows = docs.select("doc_id", "source", word_count().alias("size"), row_key().alias("key"))
     by = goals.select(F.col("source").alias("goal_source"), "source_size", "target")
     return (
         rows.join(words, "key", "left")
@@ -184,22 +193,26 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     A document taken whole once gives one row with its whole text; taken twice, two rows. White space behind a word
     stays with it. Rows without words are not taken. n_chars, where there, is that of the new text.
     """
-    _, taken = plan_mix(docs, **options)
-    spans = taken.groupBy("key", "size", "pass").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
-    spans = spans.select(*[F.col(c).alias(f"_s_{c}") for c in spans.columns])
+    _, _, taken = plan_mix(docs, **options)
+    spans = taken.groupBy("row", "copies", "key", "size", "pass").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+    given, names = renamed(docs, ("doc_id", "source", "text", "n_chars"))
+    given = given.withColumn("row", row_key())
+    # rows that are repeated meet the spans of all their copies as one row
+    several = spans.filter("copies > 1")
+    one = given.join(several.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"])
+    joined = given.join(spans.filter("copies = 1"), "row").unionByName(one.join(several, "row"))
     words = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     lead = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
-    covered = F.aggregate("_s_spans", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"])
+    covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"])
 
     def part(span: Column) -> Column:
-        return F.array_join(F.slice("_words", (span["lo"] + F.col("_lead") + 1).cast("int"), (span["hi"] - span["lo"]).cast("int")), "")
+        return F.array_join(F.slice("words", (span["lo"] + F.col("lead") + 1).cast("int"), (span["hi"] - span["lo"]).cast("int")), "")
 
-    joined = docs.withColumn("_key", row_key()).join(spans, F.col("_key") == F.col("_s_key"))
-    whole = covered == F.col("_s_size")
+    whole = covered == F.col("size")
     # the words are split only where a part is wanted
-    joined = joined.withColumn("_lead", lead).withColumn("_words", F.when(~whole, words))
-    cut = F.when(whole, F.col("text")).otherwise(F.array_join(F.transform("_s_spans", part), ""))
+    joined = joined.withColumn("lead", lead).withColumn("words", F.when(~whole, words))
+    cut = F.when(whole, F.col("text")).otherwise(F.array_join(F.transform("spans", part), ""))
     out = joined.withColumn("text", cut)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*restored(names))

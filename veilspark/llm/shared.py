@@ -103,6 +103,17 @@ def slices(values: list, sizes: Callable = len, most: int = 1_000_000) -> Iterat
         yield part
 
 
+def renamed(df: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """df with names that clash with none for all columns but `keep`, and (name in it, name in df) of each column."""
+    names = [(c if c in keep else f"__own_{i}", c) for i, c in enumerate(df.columns)]
+    return df.toDF(*[inner for inner, _ in names]), names
+
+
+def restored(names: list[tuple[str, str]], leave: tuple[str, ...] = ()) -> list:
+    """The columns of renamed() under their own names, but those to leave out."""
+    return [F.col(inner).alias(own) for inner, own in names if own not in leave]
+
+
 def held_out(remainder: int, parts: int):
     """crc32(doc_id as text) mod parts == remainder; a null id is held out, as it can't be assigned."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == remainder, F.lit(True))

@@ -25,18 +25,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilspark.llm.bpe import WHITE
-from veilspark.llm.shared import Known, map_arrow, slices, texts
+from veilspark.llm.shared import map_arrow, texts
 
 #: The id that ends a document.
 END = 2
 #: Words kept per Python worker and half of the cache.
 CACHE = 250_000
-#: Words to a call of the tokenizer, and what stands between them: a control character that gives one id.
-TOGETHER = 500
-MARK = "\x01"
 SPLIT = re.compile(f"[^{WHITE}]+")
-#: Stops behind a word that the tokenizer splits from it.
-STOPS = ".,;:!?"
 
 
 def split_words(text: str) -> list[str]:
@@ -46,55 +41,75 @@ def split_words(text: str) -> list[str]:
     return text.split()
 
 
+#: Pieces of a text in lower case, for characters up to U+00FF.
+PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾\t-\r \x85\xa0]+")
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Byte-level alphabet: bytes that show stand for themselves, the others for the characters from 256 on.
+BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
+
+
+class Kept(dict):
+    """Values made on demand; of bounded size, as two halves: when the young one is full, it replaces the old one."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Encoder:
-    """Ids of whole texts by a tokenizer file, word by word; ids are little-endian unsigned 32-bit integers."""
+    """Ids of whole texts by a tokenizer file, piece by piece; ids are little-endian unsigned 32-bit integers.
+
+    The tokenizer normalises (composed form, lower case), splits at white space and into letters, single digits and other
+    signs, then its model encodes each piece. Where a text, or a word of it, holds nothing beyond U+00FF, it is in composed
+    form as it is, so its pieces are cut here and the model is asked for new ones directly; all other words, and those with
+    a special token, go through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = False
-        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        self.words = Known(self._words, CACHE)
-        self.stems = Known(self._stems, CACHE // 2)
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """A word's ids are those of its stem and of the stops behind it, as letters and stops never share a token.
-
-        Stems of ASCII are looked up in lower case, which the tokenizer makes of them anyway.
-        """
-        split = []
-        for word in words:
-            stem = word.rstrip(STOPS)
-            if stem and stem[-1].isalnum():
-                split.append((stem.lower() if stem.isascii() else stem, word[len(stem) :]))
-            else:
-                split.append((word, ""))
-        known = self.stems.of({part for pair in split for part in pair})
-        return [known[stem] + known[stops] for stem, stops in split]
-
-    def _stems(self, stems: list[str]) -> list[bytes]:
-        """New stems are encoded many to a call, with a mark between them that no stem's ids hold."""
-        marked = [i for i, stem in enumerate(stems) if MARK in stem]
-        plain = [stem for stem in stems if MARK not in stem] if marked else stems
-        out = []
-        for first in range(0, len(plain), TOGETHER):
-            together = plain[first : first + TOGETHER]
-            ids = np.array(self.tokenizer.encode(f" {MARK} ".join([*together, ""]), add_special_tokens=False).ids, "<u4")
-            end = np.flatnonzero(ids == self.mark).tolist()
-            raw = ids.tobytes()
-            out += [raw[4 * (a + 1) : 4 * b] for a, b in zip([-1, *end], end)]
-        for i in marked:
-            out.insert(i, np.array(self.tokenizer.encode(stems[i], add_special_tokens=False).ids, "<u4").tobytes())
-        return out
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special)) if special else re.compile("(?!)")
+        self.tokenize = self.tokenizer.model.tokenize
+        self.ids = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.words = Kept(self._word, CACHE)
+        self.pieces = Kept(self._piece, CACHE)
+
+    def _plain(self, text: str) -> bool:
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return False
+        return not self.special.search(text)
+
+    def _cut(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, PIECES.findall(text.lower())))
+
+    def _word(self, word: str) -> bytes:
+        if self._plain(word):
+            return self._cut(word)
+        return b"".join([self.ids[i] for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
+
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(BYTE_CHARS)
+        return b"".join([self.ids[token.id] for token in self.tokenize(shown)])
 
     def encode(self, some: list[str], end: int) -> list[bytes]:
-        out, last = [], np.array([end], "<u4").tobytes()
-        for part in slices(some):
-            words = [split_words(text) for text in part]
-            known = self.words.of({word for row in words for word in row})
-            out += [b"".join(map(known.__getitem__, row)) + last for row in words]
-        return out
+        last, word = self.ids[end], self.words.__getitem__
+        return [(self._cut(text) if self._plain(text) else b"".join(map(word, split_words(text)))) + last for text in some]
 
 
 @lru_cache(maxsize=2)
