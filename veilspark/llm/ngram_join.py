@@ -45,7 +45,7 @@ ROUNDS = 1
 BITMAP, PARITY, WIDE = 26, 512, 8192
 #: Sets of so many tokens carry a second parity bitmap: unlike sets differ in half of the bits at most, and the difference
 #: that a link allows grows with the sets.
-LARGE, SECOND = 1500, 4096
+LARGE, SECOND = 1500, 2048
 
 
 @dataclass(frozen=True)
@@ -235,12 +235,13 @@ def may_link(percent: int) -> Column:
 
 def candidates(index: DataFrame, info: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes under one entry that may link and are in different components so far."""
-    named = info.join(labels, "node", "left").select("node", "n", "p", "v", F.coalesce("component", "node").alias("component"))
-    rows = index.select("entry", "node").join(named, "node")
+    # which entries hold sets of different components is found without the bitmaps, which only their rows carry
+    rows = index.select("entry", "node").join(labels, "node", "left").select("entry", "node", F.coalesce("component", "node").alias("component"))
     by = Window.partitionBy("entry")
     rows = rows.withColumn("apart", F.min("component").over(by) != F.max("component").over(by)).withColumn("c", F.count("*").over(by))
+    rows = rows.filter("apart").join(info, "node")
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    rows = rows.filter("apart").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # each row goes to the pairs of blocks that hold its own; a bucket of up to BLOCK sets has one
     spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
