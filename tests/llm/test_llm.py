@@ -353,6 +353,44 @@ def test_line_dedup_deletes_later_runs_only(spark, odd, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def plain_repeats(docs, least):
+    """Lines with words of each run of `least` words or more that equals a run at an earlier place, by comparing all pairs of places."""
+    rows = {d: [(i, x, len(x.split())) for i, x in enumerate(text.split("\n")) if x.split()] for d, text in docs}
+    places = [(d, a) for d in sorted(rows) for a in range(len(rows[d]))]
+    gone = set()
+    for i, (d, a) in enumerate(places):
+        for o, b in places[:i]:
+            k = words = 0
+            while a + k < len(rows[d]) and b + k < len(rows[o]) and rows[d][a + k][1] == rows[o][b + k][1]:
+                words += rows[d][a + k][2]
+                k += 1
+            if words >= least:
+                gone |= {(d, rows[d][x][0]) for x in range(a, a + k)}
+    return gone
+
+
+@pytest.mark.parametrize("sizes", [(25,), (3, 8, 20), (1, 30, 60, 200)])
+def test_line_dedup_finds_every_repeated_run(spark, sizes):
+    rng = random.Random(sum(sizes))
+    pool = [" ".join(rng.choices("abcdefgh", k=rng.choice(sizes)) + [f"x{i}"]) for i in range(40)]
+    docs = []
+    for d in range(90):
+        lines = []
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(pool))
+            lines += pool[at : at + rng.randrange(1, 9)] + [f"own {d} {rng.random()}"] * rng.randrange(2) + [""] * rng.randrange(2)
+        docs.append((d, "\n".join(lines)))
+    # a short first place of the fingerprint, and periods inside a document
+    docs += [(90, "\n".join(pool[:2])), (91, "\n".join(pool[:3])), (92, "\n".join(pool[:3] * 3)), (93, "\n".join(pool[:1] * 70))]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    keys = {r.doc: r.doc_id for r in rows.select("doc_id", F.xxhash64("doc_id", "text").alias("doc")).collect()}
+    got = {(keys[r.doc], r.line) for r in line_dedup.repeated_lines(rows).collect()}
+    need = plain_repeats(docs, line_dedup.RUN)
+    assert need and need <= got
+    # a gram runs over whole lines, so what goes beyond holds at least `GRAM` words and repeats too
+    assert got <= plain_repeats(docs, line_dedup.GRAM)
+
+
 # --- n-gram Jaccard
 
 def plain_components(sets, percent):

@@ -6,11 +6,16 @@ next `run - gram` words. The least gram of each window (the leftmost of equals)
 fingerprint, so two equal runs of lines with `run` words or more always share one,
 and no fingerprint stands for fewer than `gram` words.
 
-Fingerprints join positions by content: each is matched with its last place in the same
-document, or else with its first place in the order of doc_id and line. On the diagonal
-of such a match, equal lines are followed both ways from it, as islands of one equi-join
-of lines; the lines of the later copy are deleted. So a hot fingerprint gives one pair
-per occurrence, never all pairs, and the first copy of a run always stays.
+Fingerprints that stand more than once join positions by content, and each is extended
+both ways, a line at a time: a line is deleted if the run from the fingerprint up to it
+also stands, with that fingerprint, at an earlier place (in the order of doc_id and line).
+Each extension is a key that meets its first place, so a hot fingerprint costs a few rows
+per occurrence and never a pair of occurrences, and still every earlier place counts, not
+only the first one of the fingerprint. Extensions reach `run` words past the fingerprint and
+`run - gram` words before it; a longer run is covered by the fingerprints further on. So
+what goes is what comparing each occurrence with all earlier ones would find: each line of
+each repeated run of `run` words or more, and of shorter ones that hold a common fingerprint.
+The first copy of a run always stays.
 
 Rows with equal doc_id and equal text are one document: both keep the same lines. Null
 ids come after all others; null texts stay null, empty texts empty. Further columns
@@ -53,32 +58,53 @@ def fingerprints(lines: DataFrame, gram: int = GRAM, run: int = RUN) -> DataFram
     return windows.select("doc_id", "doc", F.col("least.at").alias("at"), F.col("least.g").alias("g")).distinct()
 
 
+def extensions(lines: DataFrame, marks: DataFrame, gram: int = GRAM, run: int = RUN) -> DataFrame:
+    """(key, doc_id, doc, at, gone): for each fingerprint, itself and the runs from it to each line in reach.
+
+    key is the hash of the run's lines; gone are the lines that this run adds to the one that is a line shorter.
+    """
+    by = Window.partitionBy("doc")
+    order = by.orderBy("start")
+    near = lines.join(marks.select("doc").distinct(), "doc", "left_semi").join(marks.drop("doc_id"), ["doc", "at"], "left")
+    after = F.lead(F.struct("line", "h")).over(by.orderBy("at"))
+    placed = near.withColumn("end", F.col("start") + F.col("n")).withColumn("after", after)
+    # the lines that begin less than `run` words behind the end of this one
+    ahead = F.struct(F.collect_list("after").over(by.orderBy("end").rangeBetween(0, run - 1)).alias("of"))
+    placed = placed.withColumn("ahead", ahead).select(
+        "doc_id", "doc", "at", "g",
+        F.collect_list("line").over(order.rangeBetween(0, gram - 1)).alias("own"),
+        F.collect_list(F.struct("line", "h")).over(order.rangeBetween(gram - run, -1)).alias("back"),
+        F.last("ahead").over(order.rangeBetween(0, gram - 1))["of"].alias("ahead"),
+    )
+
+    def key(sign: str, part):
+        return F.unhex(F.md5(F.concat(F.hex("g"), F.lit(sign), F.array_join(F.transform(part, lambda x: F.hex(x["h"])), ""))))
+
+    def option(key, gone):
+        return F.struct(key.alias("key"), gone.alias("gone"))
+
+    def upto(name: str):
+        return F.when(F.size(name) > 0, F.sequence(F.lit(1), F.size(name))).otherwise(F.array().cast("array<int>"))
+
+    forward = F.transform(upto("ahead"), lambda k: option(key(">", F.slice("ahead", F.lit(1), k)), F.array(F.get("ahead", k - 1)["line"])))
+    backward = F.transform(upto("back"), lambda k: option(key("<", F.slice("back", -k, k)), F.array(F.get("back", F.size("back") - k)["line"])))
+    own = F.array(option(F.col("g"), F.col("own")))
+    rows = placed.filter("g is not null").select("doc_id", "doc", "at", F.explode(F.concat(own, forward, backward)).alias("run"))
+    return rows.select("run.key", "doc_id", "doc", "at", "run.gone")
+
+
 def repeated_lines(docs: DataFrame, gram: int = GRAM, run: int = RUN) -> DataFrame:
     """(doc, line): the lines to delete."""
     lines = stored(line_rows(docs), "line-rows")
     marks = fingerprints(lines, gram, run)
+    several = marks.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g")
+    marks = stored(marks.join(several, "g", "left_semi"), "line-marks")
+    runs = stored(extensions(lines, marks, gram, run), "line-runs")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc", "at")
-    # the first place of each fingerprint: a partial minimum, then one row per fingerprint that repeats
-    firsts = marks.groupBy("g").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # inside a document, the place before serves instead, so that a period gives one diagonal
-    before = F.lag("at").over(Window.partitionBy("doc", "g").orderBy("at"))
-    pairs = marks.withColumn("before", before).join(firsts, "g")
-    pairs = pairs.filter(F.col("before").isNotNull() | (F.col("doc") != F.col("first.doc")))
-    other = F.when(F.col("before").isNull(), F.col("first.doc")).otherwise(F.col("doc"))
-    to = F.coalesce("before", "first.at")
-    seeds = stored(pairs.select("doc", "at", other.alias("other"), (to - F.col("at")).alias("shift")), "line-seeds")
-    # follow each diagonal (doc, other, shift): lines of doc that equal the line at `shift` from them in the other
-    diagonals = seeds.select("doc", "other", "shift").distinct()
-    mine = lines.select("doc", "at", "line", "h")
-    theirs = lines.select(F.col("doc").alias("other"), F.col("at").alias("to"), F.col("h").alias("other_h"))
-    along = diagonals.join(mine, "doc").withColumn("to", F.col("at") + F.col("shift"))
-    equal = along.join(theirs, ["other", "to"]).filter("h = other_h")
-    diagonal = ["doc", "other", "shift"]
-    island = F.col("at") - F.row_number().over(Window.partitionBy(*diagonal).orderBy("at"))
-    islands = equal.withColumn("island", island)
-    seeded = islands.join(seeds.withColumn("seed", F.lit(1)), [*diagonal, "at"], "left")
-    held = seeded.withColumn("held", F.max("seed").over(Window.partitionBy(*diagonal, "island")))
-    return held.filter("held = 1").select("doc", "line").distinct()
+    # the first place of each run: a partial minimum, then one row per run that repeats
+    firsts = runs.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    later = runs.join(firsts, "key").filter((F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at")))
+    return later.select("doc", F.explode("gone").alias("line")).distinct()
 
 
 def dedup_lines(docs: DataFrame, gram: int = GRAM, run: int = RUN) -> DataFrame:

@@ -169,6 +169,7 @@ lines AS (
   WHERE n > 0),
 """
 ORACLE = {
+    # every occurrence of a fingerprint against all earlier ones, each pair followed both ways to its ends
     "op4_line_dedup": f"""
 WITH RECURSIVE {_LINES}
 parts AS (
@@ -181,13 +182,9 @@ windows AS (
          min({{'g': g, 'pos': pos}}) OVER (PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND {line_dedup.RUN - line_dedup.GRAM} FOLLOWING) AS least
   FROM grams),
 marks AS (SELECT DISTINCT doc_id, least.pos AS pos, least.g AS g FROM windows WHERE start + {line_dedup.RUN} <= total),
-firsts AS (SELECT g, min({{'doc_id': doc_id, 'pos': pos}}) AS first FROM marks GROUP BY g),
 seeds AS (
-  SELECT DISTINCT m.doc_id, m.pos,
-         CASE WHEN m.before IS NULL THEN first.doc_id ELSE m.doc_id END AS other,
-         coalesce(m.before, first.pos) - m.pos AS shift
-  FROM (SELECT *, lag(pos) OVER (PARTITION BY doc_id, g ORDER BY pos) AS before FROM marks) m JOIN firsts USING (g)
-  WHERE m.before IS NOT NULL OR first.doc_id <> m.doc_id),
+  SELECT DISTINCT m.doc_id, m.pos, o.doc_id AS other, o.pos - m.pos AS shift
+  FROM marks m JOIN marks o ON o.g = m.g AND (o.doc_id < m.doc_id OR o.doc_id = m.doc_id AND o.pos < m.pos)),
 equal AS (
   SELECT d.doc_id, d.other, d.shift, mine.pos, mine.line,
          mine.pos - row_number() OVER (PARTITION BY d.doc_id, d.other, d.shift ORDER BY mine.pos) AS island
@@ -196,9 +193,7 @@ equal AS (
   JOIN lines theirs ON theirs.doc_id = d.other AND theirs.pos = mine.pos + d.shift AND theirs.h = mine.h),
 gone AS (
   SELECT DISTINCT e.doc_id, e.line FROM equal e
-  WHERE (e.doc_id, e.other, e.shift, e.island) IN (
-    SELECT (s.doc_id, s.other, s.shift, e2.island) FROM seeds s JOIN equal e2
-    ON e2.doc_id = s.doc_id AND e2.other = s.other AND e2.shift = s.shift AND e2.pos = s.pos)),
+  JOIN (SELECT DISTINCT doc_id, other, shift, island FROM seeds JOIN equal USING (doc_id, other, shift, pos)) USING (doc_id, other, shift, island)),
 kept AS (
   SELECT l.doc_id, string_agg(content, chr(10) ORDER BY line) AS text, count(*) AS n
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS content,
