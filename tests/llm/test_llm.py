@@ -330,6 +330,48 @@ def test_permutations_are_one_to_one(spark):
         assert sorted(r.p for r in rows) == list(range(n))
 
 
+def plain_counts(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    grams = collections.Counter(zip(words, words[1:], words[2:]))
+    held = {i + k for i in range(len(words) - 2) if grams[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    symbols = len(re.findall(r"[#*$%&|<>]", text or ""))
+    failed = len(words) < 50 or 100 * len(held) > 50 * len(words)
+    return len(words), sum(map(len, words)), symbols, len(lines) - len(set(lines)), len(held), failed
+
+
+def test_fertility_counts_and_norms_of_languages(spark):
+    """Base counts against plain Python on whole given texts; norms, learned without labels, part the labelled qualities."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    norms = fertility.learn_norms(docs, path)
+    rows = fertility.rate(docs, path, norms=norms).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert plain_counts(texts[r.doc_id]) == (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed)
+    quality = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    kept = {q: [r.kept for r in rows if not r.base_failed and quality.get(r.doc_id) == q] for q in (0, 1)}
+    assert np.mean(kept[0]) < 0.5 and np.mean(kept[1]) > 0.98
+
+
+def test_fertility_norms_are_bounded_and_optional(spark, odd, empty):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    assert fertility.learn_norms(empty, path) == {} and fertility.learn_norms(odd.drop("lang"), path) == {}
+    assert fertility.rate(odd, path, norms={("en", 5): (2.0, 0.1, 0.7, 0.1)}).count() == odd.count()
+    norms = {("en", 6): (2.0, 0.1, 0.7, 0.1), ("en", 8): (3.0, 0.1, 0.7, 0.1)}
+    assert fertility.norm_of(norms, "en", 100)[0] == 2.0 and fertility.norm_of(norms, "en", 130)[0] == 2.0
+    assert fertility.norm_of(norms, "en", 10**6)[0] == 3.0 and fertility.norm_of(norms, "xx", 100) is fertility.norm_of(norms, None, 100) is None
+    # one text that half of the rows hold counts once, and the sample is bounded
+    rng = random.Random(5)
+    words = ["".join(rng.choices("etaoin", k=rng.randrange(2, 8))) for _ in range(400)]
+    rows = [("a", " ".join(rng.choices(words, k=60))) for _ in range(60)]
+    twice = rows + rows[:1] * 60 + [(None, rows[0][1]), ("a", None), ("a", "")]
+    one, many = (fertility.learn_norms(spark.createDataFrame(x, "lang string, text string"), path) for x in (rows, twice))
+    assert one and one == many
+    assert fertility.learn_norms(spark.createDataFrame(rows, "lang string, text string"), path, sample=fertility.LEAST_SAMPLE - 1) == {}
+
+
 # --- line dedup
 
 def test_line_dedup_deletes_later_runs_only(spark, odd, empty):

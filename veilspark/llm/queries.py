@@ -58,7 +58,8 @@ def op8_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     second = vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return fertility.rate(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), second=second)
+    docs, path = table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model")
+    return fertility.rate(docs, path, second=second, norms=fertility.learn_norms(docs, path))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
