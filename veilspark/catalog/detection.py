@@ -14,6 +14,7 @@ from veilspark.operators import secrets as sec
 from veilspark.operators import structured as st
 from veilspark.operators.rules import Rule, detect
 from veilspark.schema import PATTERN
+from veilspark.sources.rulepacks import format_pack
 
 DOCS = "SELECT doc_id, text FROM documents"
 
@@ -223,6 +224,72 @@ query(
         CAST(4 AS BIGINT) AS start, CAST(4 + length({FORMAT_VALUE}) AS BIGINT) AS "end" FROM customer""",
 )(lambda spark, sf_dir: secret_rows(derived(spark, sf_dir, "customer", "c_custkey", FORMAT_TEXT), sec.DEFAULT_RULES))
 
+# The rules of the pack, each with a sample of the least length it takes; without its last character it is a near miss.
+_L = f"concat({HEX}, md5(concat('a', c_custkey)), {HEX}, md5(concat('b', c_custkey)))"
+
+
+def _hex(n: int, begin: int = 1) -> str:
+    return f"substr({_L}, {begin}, {n})"
+
+
+PACK_SAMPLES = {
+    "package-registry-token": ["'npm_'", _hex(36)],
+    "mail-delivery-key": ["'SG.'", _hex(22), "'.'", _hex(43)],
+    "newsletter-key": [_hex(32), "'-us7'"],
+    "mail-gateway-key": ["'key-'", _hex(32)],
+    "telephony-key": ["'SK'", _hex(32)],
+    "chat-webhook": ["'https://hooks.slack.com/services/T'", f"upper({_hex(8)})", "'/B'", f"upper({_hex(8, 9)})", "'/'", _hex(24)],
+    "voice-chat-webhook": ["'https://discord.com/api/webhooks/12345678901234567/'", _hex(60)],
+    "messenger-bot-token": ["'12345678:AA'", _hex(33)],
+    "python-index-token": ["'pypi-AgEIcHlwaS5vcmc'", _hex(50)],
+    "gem-index-key": ["'rubygems_'", _hex(48)],
+    "cloud-host-token": ["'dop_v1_'", _hex(64)],
+    "shop-token": ["'shpat_'", _hex(32)],
+    "card-terminal-token": ["'sq0atp-'", _hex(22)],
+    "secret-manager-token": ["'dp.pt.'", _hex(43)],
+    "issue-tracker-key": ["'lin_api_'", _hex(40)],
+    "api-client-key": ["'PMAK-'", _hex(24), "'-'", _hex(34)],
+    "dashboard-account-token": ["'glsa_'", _hex(32), "'_'", _hex(8)],
+    "vault-token": ["'hvs.'", _hex(90)],
+    "infrastructure-token": [_hex(14), "'.atlasv1.'", _hex(60)],
+    "lakehouse-token": ["'dapi'", _hex(32)],
+    "file-encryption-key": ["'AGE-SECRET-KEY-1'", f"translate(upper({_hex(58)}), '1B', 'QP')"],
+    "model-hub-token": ["'hf_'", f"translate({_hex(34)}, '0123456789', 'ghijklmnop')"],
+    "database-host-token": ["'pscale_tkn_'", _hex(32)],
+    "image-registry-token": ["'dckr_pat_'", _hex(27)],
+    "monitoring-user-key": ["'NRAK-'", f"upper({_hex(27)})"],
+    "parcel-key": ["'EZAK'", _hex(54)],
+    "tracing-token": ["'dt0c01.'", f"upper({_hex(24)})", "'.'", f"upper({_hex(64)})"],
+    "note-app-token": ["'secret_'", _hex(43)],
+}
+_KIND = f"CASE CAST(floor(c_custkey / 2) AS BIGINT) % {len(PACK_SAMPLES)} "
+PACK_VALUE = _KIND + " ".join(f"WHEN {i} THEN concat({', '.join(v)})" for i, v in enumerate(PACK_SAMPLES.values())) + " END"
+PACK_NAME = _KIND + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(PACK_SAMPLES)) + " END"
+PACK_TEXT = f"concat('see ', CASE WHEN c_custkey % 2 = 0 THEN {PACK_VALUE} ELSE substr({PACK_VALUE}, 1, length({PACK_VALUE}) - 1) END, ' for access')"
+PACK_PATH = "concat(CASE c_custkey % 3 WHEN 0 THEN 'src/vendor/' WHEN 1 THEN 'src/vendors/' ELSE 'src/' END, c_custkey, CASE WHEN c_custkey % 5 = 0 THEN '.lock' ELSE '.txt' END)"
+
+
+query(
+    "c6_rule_pack",
+    f"""SELECT CAST(c_custkey AS BIGINT) AS doc_id, CAST(0 AS BIGINT) AS pos, {PACK_NAME} AS rule, {PACK_VALUE} AS secret,
+        CAST(4 AS BIGINT) AS start, CAST(4 + length({PACK_VALUE}) AS BIGINT) AS "end" FROM customer WHERE c_custkey % 2 = 0""",
+)(lambda spark, sf_dir: secret_rows(derived(spark, sf_dir, "customer", "c_custkey", PACK_TEXT), format_pack().rules, allow=format_pack().allow))
+
+
+@query(
+    "c11_rule_pack_paths",
+    f"""SELECT CAST(c_custkey AS BIGINT) AS doc_id, {PACK_VALUE} AS secret FROM customer
+        WHERE c_custkey % 2 = 0 AND c_custkey % 3 <> 0 AND c_custkey % 5 <> 0""",
+)
+def c11_rule_pack_paths(spark, sf_dir):
+    pack = format_pack()
+    docs = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("bigint").alias("doc_id"), F.expr(PACK_TEXT).alias("text"), F.expr(PACK_PATH).alias("path")
+    )
+    found = secret_rows(docs, pack.rules, allow=pack.allow, path=F.col("path"), allowed_paths=pack.paths)
+    return found.select("doc_id", "secret")
+
+
 query(
     "c10_entropy",
     f"SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CAST(round({ENTROPY_SQL.format(v='p_name')}, 6) AS DOUBLE) AS bits FROM part",
