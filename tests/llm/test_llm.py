@@ -478,6 +478,39 @@ def test_jaccard_components_equal_brute_force(spark, monkeypatch, width, percent
     assert {r.doc_id: r.component_id for r in got} == plain_components(sets, percent)
 
 
+def test_jaccard_families_grow_together_before_sets_meet_in_blocks(spark, monkeypatch):
+    """A family of alike texts, each linked with some of the others, leaves few sets to be held against each other."""
+    monkeypatch.setattr(ngram_join, "FREQUENT", 24)
+    rng = random.Random(21)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(2_000)]
+    base, rows = rng.choices(words, k=300), []
+    for i in range(100):
+        own = list(base)
+        for at in rng.sample(range(300), (1, 2, 4)[i % 3]):
+            own[at] = rng.choice(words)
+        rows.append((i, " ".join(own)))
+    sets = {i: set(zip(*[t.split()[k:] for k in range(3)])) for i, t in rows}
+    found, candidates = [], ngram_join.candidates
+
+    def watched(index, info, labels, percent):
+        met = index.join(labels, "node", "left").selectExpr("entry", "node", "coalesce(component, node) as component")
+        by = met.groupBy("entry").agg(F.count_distinct("component").alias("k"), F.count("*").alias("c"))
+        found.append(by.filter("k > 1").agg(F.coalesce(F.sum(F.col("c") * F.col("c")), F.lit(0))).first()[0])
+        return candidates(index, info, labels, percent)
+
+    monkeypatch.setattr(ngram_join, "candidates", watched)
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = plain_components(sets, 90)
+    assert {r.doc_id: r.component_id for r in got} == want and len(set(want.values())) < 50
+    assert found[0] < 500, found
+
+
+def test_entries_fall_into_runs_of_sizes_that_no_link_spans(spark):
+    rows = [(1, 10, 100), (1, 11, 111), (1, 12, 123), (1, 13, 140), (1, 14, 1000), (2, 10, 100), (2, 10, 100)]
+    got = ngram_join.in_runs(spark.createDataFrame(rows, "entry long, node long, n int"), 90).collect()
+    assert sorted(r.node for r in got) == [10, 11, 12] and len({r.entry for r in got}) == 1
+
+
 def test_index_parts_cover_the_differences():
     for percent in (80, 90):
         rule = ngram_join.Rule(3, percent)

@@ -9,9 +9,12 @@ combinations: dealt out by hash to more parts than two linked sets can have
 differences, so that one part at least is equal in both. Rare tokens are indexed
 alone. Pairs of sets under one index entry are verified exactly.
 
-Exact copies are one set from the start. Under each entry all sets are first held
-against one (that with fewest rare tokens); only sets that stay in different components are
-then held against each other, in blocks of bounded size, with filters that lose
+Exact copies are one set from the start. An entry falls into runs of sizes that no link
+spans, and a set alone in its run leaves. Under each entry all sets are first held
+against one (that with fewest rare tokens), which then leaves, being done; while the entry holds
+several components, this is done again with centers of each entry's own, so that families of alike
+texts grow together by as many pairs as they have rows. Only sets that stay in different components after
+`STARS` such rounds are held against each other, in blocks of bounded size. Filters on pairs lose
 nothing: sizes, and the Hamming distances of parity bitmaps (a second, wider one for
 large sets), which are never more than the number of differing tokens. So a group of copies gives about as many pairs as it has
 members. The frequent tokens and the sets to look up are handed to tasks as bitmaps of
@@ -33,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.llm.components import components
-from veilspark.llm.shared import map_arrow, slices, stored
+from veilspark.llm.shared import drop_stored, map_arrow, slices, stored
 from veilspark.llm.wordhash import BatchWords, mix, shingles
 
 U = np.uint64
@@ -41,6 +44,8 @@ U = np.uint64
 FREQUENT, BLOCK = 48, 256
 #: Times that prefixes are counted again without the frequent tokens found so far.
 ROUNDS = 1
+#: Rounds in which each entry that still holds several components is held against a center of its own.
+STARS = 2
 #: Bits of a bitmap that goes to all tasks (8 MB), of a set's parity bitmap, and of the one that is made for pairs.
 BITMAP, PARITY, WIDE = 26, 512, 8192
 #: Sets of so many tokens carry a second parity bitmap: unlike sets differ in half of the bits at most, and the difference
@@ -221,25 +226,57 @@ def linked(pairs: DataFrame, corpus: Corpus, reps: DataFrame) -> DataFrame:
     left, right = [sets.select(F.col("node").alias(c), F.col("tokens").alias(f"tokens_{c}")) for c in "ab"]
     both = F.size(F.array_intersect("tokens_a", "tokens_b"))
     union = F.size("tokens_a") + F.size("tokens_b") - both
-    return pairs.join(left, "a").join(right, "b").filter(both * 100 >= union * percent).select("a", "b")
+    links = stored(pairs.join(left, "a").join(right, "b").filter(both * 100 >= union * percent).select("a", "b"), "jaccard-links")
+    drop_stored(sets)
+    drop_stored(pairs)
+    return links
+
+
+def sizes_link(n: Column, m: Column, percent: int) -> Column:
+    """Whether sets of these sizes can link."""
+    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
 def may_link(percent: int) -> Column:
     """Filters on pairs with n, m (sizes), p, q (parity bitmaps) and v, w (second ones): false only where the sets cannot link."""
-    sizes = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    sizes = sizes_link(F.col("n"), F.col("m"), percent)
     distance = sum((F.bit_count(F.col("p")[k].bitwiseXOR(F.col("q")[k])) for k in range(PARITY // 64)), F.lit(0))
     second = F.aggregate(F.zip_with("v", "w", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, d: n + d)
     near = lambda d: d * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent)
     return sizes & near(distance) & F.when((F.size("v") > 0) & (F.size("w") > 0), near(second)).otherwise(True)
 
 
+def in_runs(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows (entry, node, n, ...) under entries of their own for each run of sizes that no link leaves; sets alone in one are gone."""
+    by = Window.partitionBy("entry").orderBy("n")
+    first = F.coalesce(~sizes_link(F.lag("n").over(by), F.col("n"), percent), F.lit(False))
+    rows = rows.withColumn("first", first.cast("int")).withColumn("run", F.sum("first").over(by))
+    run = Window.partitionBy("entry", "run")
+    rows = rows.withColumn("several", F.min("node").over(run) != F.max("node").over(run)).filter("several")
+    return rows.withColumn("entry", F.xxhash64("entry", "run")).drop("first", "run", "several")
+
+
+def divided(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (entry, node, n) with the component, of entries that hold several components."""
+    rows = rows.join(labels, "node", "left").select("entry", "node", "n", F.coalesce("component", "node").alias("component"))
+    by = Window.partitionBy("entry")
+    return rows.withColumn("apart", F.min("component").over(by) != F.max("component").over(by)).filter("apart").drop("apart")
+
+
+def starred(rows: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a row's node and its center (node, n) that may link."""
+    rows = rows.filter((F.col("node") != F.col("center.node")) & sizes_link(F.col("n"), F.col("center.n"), percent))
+    pairs = rows.select(F.least("node", "center.node").alias("a"), F.greatest("node", "center.node").alias("b")).distinct()
+    pairs = pairs.join(info.select(F.col("node").alias("a"), "n", "p", "v"), "a").join(
+        info.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("v").alias("w")), "b"
+    )
+    return pairs.filter(may_link(percent)).select("a", "b")
+
+
 def candidates(index: DataFrame, info: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes under one entry that may link and are in different components so far."""
     # which entries hold sets of different components is found without the bitmaps, which only their rows carry
-    rows = index.select("entry", "node").join(labels, "node", "left").select("entry", "node", F.coalesce("component", "node").alias("component"))
-    by = Window.partitionBy("entry")
-    rows = rows.withColumn("apart", F.min("component").over(by) != F.max("component").over(by)).withColumn("c", F.count("*").over(by))
-    rows = rows.filter("apart").join(info, "node")
+    rows = divided(index, labels).drop("n").withColumn("c", F.count("*").over(Window.partitionBy("entry"))).join(info, "node")
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # each row goes to the pairs of blocks that hold its own; a bucket of up to BLOCK sets has one
@@ -265,11 +302,13 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         n = len(tokens)
         return n, signed(tokens[: rule.spare(n) + 1]) if n >= least else []
 
-    looked = stored(corpus.run(first_look, "n int, prefix array<long>"), "jaccard-sets")
+    prefixes = stored(corpus.run(first_look, "n int, prefix array<long>"), "jaccard-sets")
+    looked = stored(prefixes.select("id", "node", "n"), "jaccard-sets")
     # one row stands for each distinct set
     reps = stored(looked.filter(F.col("n") >= least).groupBy("node").agg(F.min(F.coalesce("id", F.lit(0))).alias("id")), "jaccard-names")
     all_reps = ids_bitmap(reps)
-    frequent = bitmap_of(_frequent(looked.select(F.explode("prefix").alias("t"))), "t")
+    frequent = bitmap_of(_frequent(prefixes.select(F.explode("prefix").alias("t"))), "t")
+    drop_stored(prefixes)
 
     # tokens that move up in place of frequent ones are counted in turn
     for _ in range(ROUNDS):
@@ -288,23 +327,30 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         found, rare = entries(tokens, shared.value, rule)
         return len(tokens), rare, parity(tokens), parity(tokens, SECOND) if len(tokens) >= LARGE else [], signed(found)
 
-    info = stored(corpus.run(indexed, "n int, rare int, p array<long>, v array<long>, entries array<long>", all_reps), "jaccard-info")
+    found = stored(corpus.run(indexed, "n int, rare int, p array<long>, v array<long>, entries array<long>", all_reps), "jaccard-info")
     corpus.release()
-    info_p = info.select("node", "n", "p", "v")
+    info = stored(found.select("node", "n", "p", "v"), "jaccard-info")
+    index = in_runs(found.select("node", "n", "rare", F.explode("entries").alias("entry")), rule.percent)
     by = Window.partitionBy("entry")
-    index = info.select("node", "rare", F.explode("entries").alias("entry"))
-    index = index.withColumn("center", F.min(F.struct("rare", "node")).over(by))
-    index = index.withColumn("several", F.min("node").over(by) != F.max("node").over(by))
-    index = stored(index.filter("several").select("entry", "node", F.col("center.node").alias("center")), "jaccard-index")
-
-    star = index.filter("node <> center").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
-    ends = star.join(info_p.select(F.col("node").alias("a"), "n", "p", "v"), "a").join(
-        info_p.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("v").alias("w")), "b"
-    )
-    star = stored(ends.filter(may_link(rule.percent)).select("a", "b"), "jaccard-star")
-    links = stored(linked(star, corpus, reps), "jaccard-links")
+    index = stored(index.withColumn("center", F.min(F.struct("rare", "node", "n")).over(by)).select("entry", "node", "n", "center"), "jaccard-index")
+    drop_stored(found)
+
+    # a center is done with its entry
+    def held_against_centers(index: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        pairs = stored(starred(rows, info, rule.percent), "jaccard-star")
+        return linked(pairs, corpus, reps), index.filter(F.col("node") != F.col("center.node")).select("entry", "node", "n")
+
+    links, rest = held_against_centers(index, index)
     labels = stored(components(links), "jaccard-labels")
-    rest = stored(candidates(index, info_p, labels, rule.percent), "jaccard-rest")
+    for _ in range(STARS):
+        before = index
+        center = F.min(F.struct(F.xxhash64("entry", "node"), "node", "n", "component")).over(by)
+        index = stored(divided(rest, labels).withColumn("center", center), "jaccard-index")
+        drop_stored(before)
+        more, rest = held_against_centers(index, index.filter(F.col("component") != F.col("center.component")))
+        links = links.union(more)
+        labels = stored(components(links), "jaccard-labels")
+    rest = stored(candidates(rest, info, labels, rule.percent), "jaccard-rest")
     links = links.union(linked(rest, corpus, reps))
     labels = stored(components(links), "jaccard-labels")
 
