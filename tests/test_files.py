@@ -1,12 +1,15 @@
 import io
 import zipfile
 
+import pyarrow as pa
+
+from veilspark.catalog.intake import as_docx
 from veilspark.operators.admit import MAX_SIZE, file_reject_reason
 from veilspark.operators.secrets import ALLOWED_PATHS
 from veilspark.plans.scan import ScanOptions
 from veilspark.plans.audit import audit_files
 from veilspark.plans.files import scan_files
-from veilspark.sources.files import docx_text, read_files
+from veilspark.sources.files import docx_text, extract_files, read_files, small_parts
 
 NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
@@ -95,3 +98,13 @@ def test_path_allowlist_is_opt_in(spark, tmp_path):
         got = {r["filename"]: r for r in results.collect()}
         assert got["x.js"]["n_secret"] == n_secret
         assert got[".env"]["n_secret"] == 1
+
+
+def test_documents_are_made_and_extracted_in_small_parts(spark):
+    texts = [f"{i} " + "ab\n" * 10_000 for i in range(200)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(200)), "text": texts})
+    made = list(as_docx(iter([batch])))
+    assert sum(b.num_rows for b in made) == 200 and max(b.num_rows for b in made) < 50
+    assert [b.num_rows for b in small_parts(pa.RecordBatch.from_pydict({"c": [b"x" * 9, None, b"", b"x", b"x" * 20, b"y"]}), "c", 10)] == [4, 1, 1]
+    files = spark.createDataFrame([(i, ".docx", docx(t), None) for i, t in enumerate(["a", "b\tc", " "])] + [(3, ".docx", b"no zip", None)], "doc_id long, file_type string, content binary, reject_reason string")
+    assert {r.doc_id: r.text for r in extract_files(files).collect()} == {0: "a\n\n", 1: "b\tc\n\n", 2: None, 3: None}

@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,12 +127,26 @@ def list_files(spark: SparkSession, path: str, include_hidden: bool = True, **op
     )
 
 
+def small_parts(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch, each of about so many bytes in a column of strings or bytes (one row at least)."""
+    first = total = 0
+    for i, size in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        total += size or 0
+        if total >= most:
+            yield batch.slice(first, i + 1 - first)
+            first, total = i + 1, 0
+    if first < batch.num_rows:
+        yield batch.slice(first)
+
+
 def extract_files(df: DataFrame, extractors: dict[str, Callable[[bytes], str]] = EXTRACTORS) -> DataFrame:
     """Text of binary documents; NULL text where extraction fails or gives none.
 
-    Bytes go in and text comes out; the metadata passes through.
+    Bytes go in and text comes out; the metadata passes through. A worker holds the
+    texts of about 1 MB of files at a time, whatever the size of a batch.
     """
-    schema = ", ".join(f"{name} {kind}" for name, kind in df.drop("content", "reject_reason").dtypes) + ", text string"
+    names = df.drop("content", "reject_reason").columns
+    schema = ", ".join(f"{name} {kind}" for name, kind in df.select(names).dtypes) + ", text string"
 
     def extracted(kind: str, content: bytes) -> str | None:
         try:
@@ -139,12 +155,14 @@ def extract_files(df: DataFrame, extractors: dict[str, Callable[[bytes], str]] =
             return None
         return text if text and re.search(r"\S", text) else None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extracted(k, bytes(c)) for k, c in zip(batch["file_type"], batch["content"], strict=True)]
-            yield batch.drop(columns=["content", "reject_reason"]).assign(text=texts)
+            for part in small_parts(batch, "content"):
+                kinds, contents = part.column("file_type").to_pylist(), part.column("content")
+                texts = [extracted(k, bytes(c.as_py())) for k, c in zip(kinds, contents, strict=True)]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(texts, pa.string())], [*names, "text"])
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def read_files(
