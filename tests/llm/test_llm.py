@@ -372,6 +372,31 @@ def test_fertility_norms_are_bounded_and_optional(spark, odd, empty):
     assert fertility.learn_norms(spark.createDataFrame(rows, "lang string, text string"), path, sample=fertility.LEAST_SAMPLE - 1) == {}
 
 
+def test_fertility_norms_are_those_of_all_texts(spark, empty, odd):
+    rng = np.random.default_rng(3)
+    groups = {("a", 5): rng.normal(3, 0.2, 6_001), ("a", 6): np.repeat(rng.random(7), 5), ("b", 5): np.array([0.5, 0.25]), ("c", 1): np.array([2.0])}
+    values = spark.createDataFrame([(*g, 0, float(v)) for g, vs in groups.items() for v in vs], "lang string, kind int, measure int, v double")
+    for share in (0.5, 0.8):
+        got = {(r.lang, r.kind): (r.n, r.value) for r in fertility.quantile(values, share).collect()}
+        assert got == {g: (len(vs), pytest.approx(np.quantile(vs, share), abs=1e-14)) for g, vs in groups.items()}
+    # more texts than any sample of 5,000 held; all of them count, each once
+    rows = [(i, "x", i, 60, 60 / float(v), float(v)) for i, v in enumerate(rng.uniform(0.5, 1, 5_500))]
+    rated = spark.createDataFrame(rows * 2, "doc_id long, lang string, text_key long, word_chars long, chars_per_token double, relative_entropy double")
+    norm = fertility.norms_of_rated(rated.withColumn("base_failed", F.lit(False)))
+    for kind in (4, 5):
+        mine = np.array([r[5] for r in rows if int(np.log2(r[3] / r[4]) + 1e-9) == kind])
+        assert (len(mine) >= 20) == (("x", kind) in norm)
+        if len(mine) >= 20:
+            assert norm["x", kind][2] == pytest.approx(np.median(mine), abs=1e-12)
+    # one pass gives what norms and rows give apart
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one = fertility.rate_by_norms(docs, path).collect()
+    apart = fertility.rate(docs, path, norms=fertility.learn_norms(docs, path)).collect()
+    assert sorted(one) == sorted(apart) and any(r.below_norm is not None for r in one)
+    assert fertility.rate_by_norms(odd, path).count() == odd.count() and fertility.rate_by_norms(empty, path).count() == 0
+
+
 # --- line dedup
 
 def test_line_dedup_deletes_later_runs_only(spark, odd, empty):

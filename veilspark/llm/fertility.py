@@ -16,8 +16,9 @@ least number of characters per token of that one too; the rest have no such meas
 
 Texts of a language lie much closer together than those of a script, so each language of
 the column `lang` also has a norm per length (power of two of the tokens): median and spread of
-characters per token and of relative entropy, learned without labels from a bounded sample of
-different texts that pass the base rule (`learn_norms`). The two distances from the medians, in
+characters per token and of relative entropy, exact over all different texts of the language that
+pass the base rule, without labels (`norms_of_rated`). Texts are encoded once: `rate_by_norms` stores
+their measures and takes the norms from these. The two distances from the medians, in
 spreads, count together; a text too far on the low side is rejected. Languages with too few
 texts, and texts without a language, have the bands of their script alone.
 
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.llm import bpe
-from veilspark.llm.shared import Known, map_arrow, slices
+from veilspark.llm.shared import Known, map_arrow, slices, stored
 from veilspark.llm.wordhash import BatchWords, repeated_trigram_words
 
 #: Words kept per Python worker and half of the cache.
@@ -51,10 +52,10 @@ MOST_NOISE, OWN_SCRIPT = 0.25, 0.25
 #: Most tokens of a window that entropy is taken over.
 WINDOW = 1024
 SYMBOLS = b"#*$%&|<>"
-#: Different texts of a language that its norms are learned from, and the fewest that give one for a length.
-SAMPLE, LEAST_SAMPLE = 5_000, 20
+#: Fewest different texts of a language that give a norm for a length, and bins to a unit in which their measures are ranked.
+LEAST_SAMPLE, BINS = 20, 1024
 #: A text this many spreads below its language's norm is rejected. A spread is the distance that 80 % of the texts keep,
-#: as a share of a normal distribution's, so that a group of copies in the sample narrows it little; at least this share of the median.
+#: as a share of a normal distribution's, so that a group of near copies narrows it little; at least this share of the median.
 MOST_BELOW, SPREAD_SHARE, SPREAD_NORMAL, LEAST_SPREAD = 3.0, 0.8, 1.2816, 0.005
 
 
@@ -234,36 +235,56 @@ def norm_of(norms: Norms, lang: str | None, n_tokens: float) -> Norm | None:
     return norm
 
 
-def learn_norms(docs: DataFrame, path: str, sample: int = SAMPLE) -> Norms:
-    """Norms by language and length, from at most `sample` different texts of each language; no labels are read.
+def learn_norms(docs: DataFrame, path: str, sample: int | None = None) -> Norms:
+    """Norms by language and length of all different texts of each language; no labels are read.
 
-    The texts with the least hashes are taken. The driver holds one number per language to pick them, and then the norms,
-    some ten per language.
+    sample: take so many texts of each language only, those with the least hashes.
     """
     if "lang" not in docs.columns:
         return {}
-    keyed = docs.filter("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("text").alias("key"))
-    order = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-    least = keyed.select("lang", "key").distinct().withColumn("r", order).filter(F.col("r") <= sample)
-    upto = {r.lang: r.upto for r in least.groupBy("lang").agg(F.max("key").alias("upto")).collect()}
-    if not upto:
-        return {}
-    limit = F.create_map(*[F.lit(x) for pair in upto.items() for x in pair])[F.col("lang")]
-    chosen = keyed.filter(F.col("key") <= limit).dropDuplicates(["lang", "key"])
-    rated = rate(chosen.select(F.col("lang").alias("doc_id"), "text"), path).filter("not base_failed and chars_per_token > 0")
+    keyed = docs.filter("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("text").alias("text_key"))
+    keyed = keyed.dropDuplicates(["lang", "text_key"])
+    if sample is not None:
+        order = F.row_number().over(Window.partitionBy("lang").orderBy("text_key"))
+        least = keyed.select("lang", "text_key").withColumn("r", order).filter(F.col("r") <= sample).drop("r")
+        keyed = keyed.join(least, ["lang", "text_key"])
+    return norms_of_rated(rate(keyed.withColumn("doc_id", F.lit(0)), path, keep=("lang", "text_key")))
+
+
+def quantile(values: DataFrame, share: float) -> DataFrame:
+    """(lang, kind, measure, n, value): exact quantiles of the column v, between two neighbours in proportion.
+
+    Equal values are counted first; ranks are those in a bin and those of the bins before it, so no task holds a group.
+    """
+    keys = ["lang", "kind", "measure"]
+    counts = values.groupBy(*keys, F.floor(F.col("v") * BINS).alias("bin"), "v").agg(F.count("*").alias("c"))
+    whole = Window.partitionBy(*keys)
+    bins = counts.groupBy(*keys, "bin").agg(F.sum("c").alias("size"))
+    bins = bins.select(*keys, "bin", (F.sum("size").over(whole.orderBy("bin")) - F.col("size")).alias("before"), F.sum("size").over(whole).alias("n"))
+    rows = counts.withColumn("own", F.sum("c").over(Window.partitionBy(*keys, "bin").orderBy("v"))).join(bins, [*keys, "bin"])
+    upto, at = F.col("before") + F.col("own"), (F.col("n") - 1) * F.lit(share)
+    value_at = lambda k: F.max(F.when((k >= upto - F.col("c")) & (k < upto), F.col("v")))
+    found = rows.groupBy(*keys, "n").agg(value_at(F.floor(at)).alias("low"), value_at(F.ceil(at)).alias("high"))
+    part = at - F.floor(at)
+    between = F.when(part < 0.5, F.col("low") + (F.col("high") - F.col("low")) * part).otherwise(F.col("high") - (F.col("high") - F.col("low")) * (1 - part))
+    return found.select(*keys, "n", ((F.col("low") + F.col("high")) / 2 if share == 0.5 else between).alias("value"))
+
+
+def norms_of_rated(rated: DataFrame) -> Norms:
+    """Norms of rows of rate() with lang and text_key (the same for equal texts). The driver holds the norms, some ten per language."""
     kind = F.floor(F.log2(F.col("word_chars") / F.col("chars_per_token")) + 1e-9).cast("int")
-    rows = rated.select(F.col("doc_id").alias("lang"), kind.alias("kind"), "chars_per_token", "relative_entropy")
-    rows = rows.toPandas()  # at most `sample` rows of four numbers per language
-    norms = {}
-    for (lang, at), group in rows.groupby(["lang", "kind"]):
-        if len(group) >= LEAST_SAMPLE:
-            norm = []
-            for values in (group.chars_per_token.to_numpy(), group.relative_entropy.to_numpy()):
-                middle = float(np.median(values))
-                spread = float(np.quantile(np.abs(values - middle), SPREAD_SHARE)) / SPREAD_NORMAL
-                norm += [middle, max(spread, LEAST_SPREAD * middle)]
-            norms[lang, int(at)] = tuple(norm)
-    return norms
+    passed = rated.filter("lang is not null and text_key is not null and not base_failed and chars_per_token > 0")
+    each = passed.groupBy("lang", "text_key").agg(
+        F.min(kind).alias("kind"), F.array(F.min("chars_per_token"), F.min("relative_entropy")).alias("both")
+    )
+    keys = ["lang", "kind", "measure"]
+    values = stored(each.select("lang", "kind", F.posexplode("both").alias("measure", "v")), "fertility-values")
+    middles = stored(quantile(values, 0.5).filter(F.col("n") >= LEAST_SAMPLE).withColumnRenamed("value", "middle").drop("n"), "fertility-middles")
+    far = quantile(values.join(middles, keys).withColumn("v", F.abs(F.col("v") - F.col("middle"))), SPREAD_SHARE)
+    found = {}
+    for r in middles.join(far, keys).collect():
+        found.setdefault((r.lang, r.kind), {})[r.measure] = r.middle, max(r.value / SPREAD_NORMAL, LEAST_SPREAD * r.middle)
+    return {key: (*of[0], *of[1]) for key, of in found.items()}
 
 
 COLUMNS = (
@@ -273,7 +294,8 @@ COLUMNS = (
 
 
 def rate(
-    docs: DataFrame, path: str, bands: dict[str, Band] | None = None, second: tuple[str, str] | None = None, norms: Norms | None = None
+    docs: DataFrame, path: str, bands: dict[str, Band] | None = None, second: tuple[str, str] | None = None, norms: Norms | None = None,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per document: doc_id, the counts, base_failed, kept, script and the measures of fertility.
 
@@ -281,6 +303,7 @@ def rate(
     kept: the base rule holds, the measures lie in the band of the text's script, and few tokens are noise bytes.
     second: rank file and splitting pattern of the second vocabulary; without it, its limits do not hold.
     norms: of learn_norms(); without them, or a column lang, below_norm is null and rejects nothing.
+    keep: columns of docs that pass through, after the others.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     bands = bands or BANDS
@@ -320,6 +343,29 @@ def rate(
                 out.append(one(part[i], langs[len(out)], words[i], hashes.of(i), ids, vocab))
         kinds = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}
         columns = [pa.array(c, kinds[d.split()[1]]) for c, d in zip(zip(*out), COLUMNS.split(", "))]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *names])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, *[batch.column(c) for c in keep]], ["doc_id", *names, *keep])
+
+    kept = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return map_arrow(docs.select("doc_id", "text", *[c for c in docs.columns if c in keep or with_lang and c == "lang"]), rows, f"doc_id {kind}, {COLUMNS}{kept}")
 
-    return map_arrow(docs.select("doc_id", "text", *["lang"] * with_lang), rows, f"doc_id {kind}, {COLUMNS}")
+
+def rate_by_norms(docs: DataFrame, path: str, bands: dict[str, Band] | None = None, second: tuple[str, str] | None = None) -> DataFrame:
+    """rate() with the norms of all different texts of docs, for one pass over the texts."""
+    if "lang" not in docs.columns:
+        return rate(docs, path, bands, second)
+    key = F.when(F.col("text").isNotNull(), F.xxhash64("text"))
+    keyed = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), key.alias("text_key"))
+    rated = stored(rate(keyed, path, bands, second, keep=("lang", "text_key")), "fertility")
+    norms = norms_of_rated(rated)
+    names = [c for c in rated.columns if c not in ("lang", "text_key")]
+
+    def held(batch: pa.RecordBatch) -> pa.RecordBatch:
+        under = []
+        for lang, chars, per_token, relative in zip(*(batch.column(c).to_pylist() for c in ("lang", "word_chars", "chars_per_token", "relative_entropy"))):
+            norm = norm_of(norms, lang, round(chars / per_token)) if per_token else None
+            under.append(below(per_token, relative, norm) if norm else None)
+        kept = [k and (u is None or u <= MOST_BELOW) for k, u in zip(batch.column("kept").to_pylist(), under)]
+        made = {"kept": pa.array(kept, pa.bool_()), "below_norm": pa.array(under, pa.float64())}
+        return pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in names], names)
+
+    return map_arrow(rated, held, rated.select(names).schema)
