@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -458,6 +459,20 @@ def test_line_dedup_finds_every_repeated_run(spark, sizes):
     assert got <= plain_repeats(docs, line_dedup.GRAM)
 
 
+def test_language_memory_follows_one_part_of_the_texts():
+    """Features of a part are gone before the next one; what is held at a time does not grow with the texts of a batch."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(500)]
+    model = language.fit_model([" ".join(words[:200]), " ".join(words[200:])], ["xx", "yy"], rounds=1)
+    some = [" ".join(rng.choices(words, k=500)) for _ in range(1_000)]
+    language.letters()
+    tracemalloc.start()
+    languages, _ = model.predict(some)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(languages) == 1_000 and peak < 40_000_000, peak
+
+
 # --- n-gram Jaccard
 
 def plain_components(sets, percent):

@@ -30,8 +30,8 @@ from veilspark.llm.shared import map_arrow, renamed, restored, slices, texts
 BITS = 18
 MOST_ROWS = 150
 UNDETERMINED = "und"
-#: Characters whose features are computed together, and characters of texts whose chains run together.
-TOGETHER, CHAINS = 300_000, 3_000_000
+#: Characters whose features are computed together (some 100 bytes each), and characters of texts whose chains run together.
+TOGETHER, CHAINS = 100_000, 500_000
 U = np.uint64
 
 
@@ -145,19 +145,22 @@ class Model:
             score += w[whole]
         return score
 
-    def label(self, some: list[str]) -> tuple[list[Words], np.ndarray]:
-        """The words of the texts, and each word's probabilities."""
-        parts = [words_of(part) for part in slices(some, most=TOGETHER)]
-        emission = np.concatenate([self.emission(part) for part in parts])
-        counts = np.concatenate([part.counts for part in parts])
-        return parts, chains(emission, counts, self.transition, self.begin)
+    def label(self, some: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+        """Letters of each word and words of each text, and each word's probabilities."""
+        lengths, counts, emission = [], [], []
+        for part in slices(some, most=TOGETHER):
+            words = words_of(part)
+            lengths.append(words.lengths)
+            counts.append(words.counts)
+            emission.append(self.emission(words))  # no part's features outlive it
+        counts = np.concatenate(counts)
+        return (np.concatenate(lengths), counts), chains(np.concatenate(emission), counts, self.transition, self.begin)
 
     def predict(self, some: list[str]) -> tuple[list[str], list[float]]:
         languages, scores = [], []
         for group in slices(some, most=CHAINS):
-            parts, share = self.label(group)
-            counts = np.concatenate([part.counts for part in parts])
-            letters_of = np.concatenate([part.lengths for part in parts]).astype(float)
+            (lengths, counts), share = self.label(group)
+            letters_of = lengths.astype(float)
             upto = np.concatenate((np.zeros((1, share.shape[1])), np.cumsum(share * letters_of[:, None], axis=0)))
             ends = np.cumsum(counts)
             total = upto[ends] - upto[ends - counts]
