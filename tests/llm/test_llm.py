@@ -545,6 +545,39 @@ def test_jaccard_families_grow_together_before_sets_meet_in_blocks(spark, monkey
     assert found[0] < 500, found
 
 
+def test_jaccard_families_that_do_not_link_meet_by_their_differences(spark, monkeypatch):
+    """Texts that are alike but too far from each other to link make no rows with the square of their number; links among them stay."""
+    for name, value in (("FREQUENT", 24), ("BLOCK", 8), ("WHOLE", 1)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(3_000)]
+    base, texts = rng.choices(words, k=140), []
+    for i in range(240):
+        own = list(base)
+        for at in rng.sample(range(140), (0, 1, 2, 3, 3, 3, 4, 4)[i % 8]):
+            own[at] = rng.choice(words)
+        texts.append(own)
+        if i % 6 == 0:  # a near copy of this one alone, some words away from both ends of it
+            texts.append([*own[:70], rng.choice(words), *own[71:]])
+    rows = list(enumerate(map(" ".join, texts)))
+    sets = {i: set(zip(*[t.split()[k:] for k in range(3)])) for i, t in rows}
+    found, candidates = [], ngram_join.candidates
+
+    def watched(index, info, labels, percent):
+        rest = ngram_join.divided(index, labels).groupBy("entry").count()
+        found.append(rest.agg(F.coalesce(F.sum(F.expr("count * ceil(count / 8)")), F.lit(0))).first()[0])
+        return candidates(index, info, labels, percent)
+
+    monkeypatch.setattr(ngram_join, "candidates", watched)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for rounds in (0, 2):
+        monkeypatch.setattr(ngram_join, "FINER", rounds)
+        got[rounds] = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs).collect()}
+    assert got[2] == got[0] == plain_components(sets, 90)
+    assert 2 * found[1] < found[0], found
+
+
 def test_entries_fall_into_runs_of_sizes_that_no_link_spans(spark):
     rows = [(1, 10, 100), (1, 11, 111), (1, 12, 123), (1, 13, 140), (1, 14, 1000), (2, 10, 100), (2, 10, 100)]
     got = ngram_join.in_runs(spark.createDataFrame(rows, "entry long, node long, n int"), 90).collect()

@@ -14,7 +14,11 @@ spans, and a set alone in its run leaves. Under each entry all sets are first he
 against one (that with fewest rare tokens), which then leaves, being done; while the entry holds
 several components, this is done again with centers of each entry's own, so that families of alike
 texts grow together by as many pairs as they have rows. Only sets that stay in different components after
-`STARS` such rounds are held against each other, in blocks of bounded size. Filters on pairs lose
+`STARS` such rounds are held against each other. Entries of more than a few blocks of these are first parted into finer
+ones, by what each set differs in from a center: linked sets, not both linked with the center, share one of the
+differences, and of any d + 1 differences of one the other has one, d being how far linked sets differ. So a family of
+alike texts that do not link gives as many rows as it has differences, not as it has pairs. What remains
+meets in blocks of bounded size. Filters on pairs lose
 nothing: sizes, and the Hamming distances of parity bitmaps (a second, wider one for
 large sets), which are never more than the number of differing tokens. So a group of copies gives about as many pairs as it has
 members. The frequent tokens and the sets to look up are handed to tasks as bitmaps of
@@ -46,6 +50,8 @@ FREQUENT, BLOCK = 48, 256
 ROUNDS = 1
 #: Rounds in which each entry that still holds several components is held against a center of its own.
 STARS = 2
+#: Blocks that an entry may have before it is parted into finer ones, and rounds in which this is done.
+WHOLE, FINER = 2, 2
 #: Bits of a bitmap that goes to all tasks (8 MB), of a set's parity bitmap, and of the one that is made for pairs.
 BITMAP, PARITY, WIDE = 26, 512, 8192
 #: Sets of so many tokens carry a second parity bitmap: unlike sets differ in half of the bits at most, and the difference
@@ -68,6 +74,10 @@ class Rule:
         """Size of the smallest sets that link without being equal."""
         return -(-self.percent // (100 - self.percent))
 
+    def apart(self, n: Column) -> Column:
+        """Tokens that stand in one set only, at most, of a set of n and one that it links with."""
+        return F.floor((n + F.floor(n * 100 / self.percent)) * (100 - self.percent) / (100 + self.percent))
+
     def parts(self, n: int) -> list[tuple[int, int]]:
         """(size class, number of parts) under which a set of n tokens is indexed: its own class and the next one.
 
@@ -258,7 +268,7 @@ def in_runs(rows: DataFrame, percent: int) -> DataFrame:
 
 def divided(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows (entry, node, n) with the component, of entries that hold several components."""
-    rows = rows.join(labels, "node", "left").select("entry", "node", "n", F.coalesce("component", "node").alias("component"))
+    rows = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     by = Window.partitionBy("entry")
     return rows.withColumn("apart", F.min("component").over(by) != F.max("component").over(by)).filter("apart").drop("apart")
 
@@ -273,10 +283,53 @@ def starred(rows: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(may_link(percent)).select("a", "b")
 
 
+def finer(index: DataFrame, labels: DataFrame, corpus: Corpus, reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The index (entry, node, n, hub) with its large entries parted by what their sets differ in from a center, and links (a, b) of
+    centers; None without such entries. Entries of one component are gone.
+
+    The center is the hub, or the set under most entries. Its sets' differences are ranked, those that few of them have first;
+    the first ones of a set, one more than linked sets differ by, stand for it.
+    """
+    rule, by = corpus.rule, Window.partitionBy("entry")
+    rows = divided(index, labels).withColumn("c", F.count("*").over(by)).withColumn("most", rule.apart(F.max("n").over(by)))
+    # a set goes to all blocks, or to its differences: where these are many, some more blocks cost less
+    rows = stored(rows.withColumn("large", F.col("c") > BLOCK * F.greatest(F.lit(WHOLE), F.col("most") / 8)), "jaccard-divided")
+    rest, large = rows.filter("not large").select("entry", "node", "n", "hub"), rows.filter("large")
+    if large.isEmpty():
+        return rest, None
+    # one center for many entries, so that a set meets few centers
+    large = large.withColumn("among", F.count("*").over(Window.partitionBy("node")))
+    large = large.withColumn("center", F.coalesce("hub", F.max(F.struct("among", "node")).over(by)["node"]))
+    met = stored(large.filter("node <> center").select("node", "center").distinct(), "jaccard-met")
+    wanted = met.select("node").union(met.select("center")).distinct()
+    chosen = ids_bitmap(reps.join(wanted, "node").select("id"))
+    found = corpus.run(lambda tokens: (signed(tokens),), "tokens array<long>", chosen)
+    sets = stored(found.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets")
+    corpus.release()
+    own = sets.select("node", F.col("tokens").alias("own"))
+    sides = met.join(own, "node").join(own.toDF("center", "its"), "center")
+    delta = F.concat(F.array_except("own", "its"), F.array_except("its", "own"))
+    sides = sides.select("center", "node", F.size("own").alias("n"), F.size("its").alias("m"), delta.alias("delta"))
+    sides = stored(sides, "jaccard-differences")
+    total, x = F.col("n") + F.col("m"), F.size("delta")
+    links = sides.filter((total - x) * 100 >= (total + x) * rule.percent)
+    links = stored(links.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")), "jaccard-links")
+    each = sides.select("center", "node", "n", F.explode("delta").alias("t"))
+    counts = each.groupBy("center", "t").agg(F.count("*").alias("c")).filter("c > 1")
+    # what one set alone has comes first, but parts nothing
+    rank = F.row_number().over(Window.partitionBy("center", "node").orderBy(F.coalesce("c", F.lit(1)), "t"))
+    first = each.join(counts, ["center", "t"], "left").withColumn("rank", rank).filter(F.col("rank") <= rule.apart(F.col("n")) + 1)
+    parted = first.filter("c > 1").select(F.xxhash64("center", "t").alias("entry"), "node", "n", F.lit(None).cast("long").alias("hub"))
+    rest = stored(rest.union(parted), "jaccard-index")
+    for done in (rows, met, sets, sides):
+        drop_stored(done)
+    return rest, links
+
+
 def candidates(index: DataFrame, info: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes under one entry that may link and are in different components so far."""
     # which entries hold sets of different components is found without the bitmaps, which only their rows carry
-    rows = divided(index, labels).drop("n").withColumn("c", F.count("*").over(Window.partitionBy("entry"))).join(info, "node")
+    rows = divided(index.select("entry", "node"), labels).withColumn("c", F.count("*").over(Window.partitionBy("entry"))).join(info, "node")
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # each row goes to the pairs of blocks that hold its own; a bucket of up to BLOCK sets has one
@@ -332,13 +385,13 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     info = stored(found.select("node", "n", "p", "v"), "jaccard-info")
     index = in_runs(found.select("node", "n", "rare", F.explode("entries").alias("entry")), rule.percent)
     by = Window.partitionBy("entry")
-    index = stored(index.withColumn("center", F.min(F.struct("rare", "node", "n")).over(by)).select("entry", "node", "n", "center"), "jaccard-index")
+    index = stored(index.withColumn("center", F.min(F.struct("rare", "node", "n")).over(by)).select("entry", "node", "n", "center", F.col("center.node").alias("hub")), "jaccard-index")
     drop_stored(found)
 
     # a center is done with its entry
     def held_against_centers(index: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         pairs = stored(starred(rows, info, rule.percent), "jaccard-star")
-        return linked(pairs, corpus, reps), index.filter(F.col("node") != F.col("center.node")).select("entry", "node", "n")
+        return linked(pairs, corpus, reps), index.filter(F.col("node") != F.col("center.node")).drop("center", "component")
 
     links, rest = held_against_centers(index, index)
     labels = stored(components(links), "jaccard-labels")
@@ -350,6 +403,12 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         more, rest = held_against_centers(index, index.filter(F.col("component") != F.col("center.component")))
         links = links.union(more)
         labels = stored(components(links), "jaccard-labels")
+    for _ in range(FINER):
+        rest, more = finer(rest, labels, corpus, reps)
+        if more is None:
+            break
+        links = links.union(more)
+        labels = stored(components(links), "jaccard-labels")
     rest = stored(candidates(rest, info, labels, rule.percent), "jaccard-rest")
     links = links.union(linked(rest, corpus, reps))
     labels = stored(components(links), "jaccard-labels")
